@@ -100,3 +100,74 @@ class Tables:
             F.expr(_SPARK_TIME).alias("game_datetime"),
             "ply",
         )
+
+    def moves(self) -> DataFrame:
+        """Two-sided plies from orders and lines, with the move text each line stands for."""
+        return self.spark.sql(f"WITH {MOVES_TEXT} SELECT * FROM moves", orders=self.orders, lineitem=self.lineitem)
+
+    def archive(self) -> DataFrame:
+        """One game text per order: header lines, then moves with clock comments."""
+        moves = self.moves()
+        token = F.concat(
+            F.when(F.col("ply") % 2 == 0, F.concat((F.col("ply") / 2 + 1).cast("int").cast("string"), F.lit(". "))).otherwise(""),
+            "san", F.when(F.col("ply") % 5 == 1, "!?").otherwise(""),
+            F.when(F.col("clk").isNotNull(), F.concat(F.lit(" {[%clk "), "clk", F.lit("]}"))).otherwise(""),
+            F.when(F.col("ply") % 4 == 2, " {compare Nf3 or Qxd5+} (1. e4 e5 (1... c5 {sharp}) 2. Nf3)").otherwise(""),
+        )
+        body = moves.groupBy("game_id").agg(
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct("ply", token.alias("t")))), lambda m: m["t"]), " "
+            ).alias("body"),
+            *[F.first(c).alias(c) for c in HEADER_COLUMNS],
+        )
+        line = lambda tag, c: F.concat(F.lit(f'[{tag} "'), c, F.lit('"]\n'))
+        pgn = F.concat(
+            line("Event", F.lit("rated")), F.when(F.col("link") != "", line("Link", F.col("link"))).otherwise(""),
+            line("Site", F.col("site")), line("UTCDate", F.col("date")), line("UTCTime", F.col("utc_time")),
+            line("White", F.col("white")), line("Black", F.col("black")),
+            line("WhiteElo", F.col("white_rating").cast("int").cast("string")),
+            line("BlackElo", F.col("black_rating").cast("int").cast("string")),
+            line("Result", F.col("result")), line("TimeControl", F.col("time_control")),
+            F.lit("\n"), "body", F.lit(" "), "result",
+        )
+        return body.select(F.col("game_id").alias("order_id"), pgn.alias("pgn"))
+
+
+HEADER_COLUMNS = (
+    "link", "site", "date", "utc_time", "white", "black", "white_rating", "black_rating", "result", "time_control",
+)
+
+_MOVES = f"""lines AS (
+  SELECT o_orderkey AS game_id,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'https://games.example/live/' || CAST(o_orderkey AS STRING) ELSE '' END AS link,
+    'https://site.example/' || CAST(o_orderkey AS STRING) AS site,
+    replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', '.') AS date,
+    lpad(CAST(o_orderkey * 7 % 24 AS STRING), 2, '0') || ':' || lpad(CAST(o_orderkey * 11 % 60 AS STRING), 2, '0')
+      || ':' || lpad(CAST(o_orderkey * 13 % 60 AS STRING), 2, '0') AS utc_time,
+    'Customer#' || CAST(o_custkey AS STRING) AS white,
+    'CUSTOMER#' || CAST((o_custkey * 7 + o_orderkey) % 997 AS STRING) AS black,
+    CAST(1000 + o_custkey % 900 AS DOUBLE) AS white_rating, CAST(1000 + o_orderkey % 900 AS DOUBLE) AS black_rating,
+    CASE o_orderstatus WHEN 'F' THEN '1-0' WHEN 'O' THEN '0-1' ELSE '1/2-1/2' END AS result,
+    CASE o_orderkey % 5 WHEN 0 THEN '60' WHEN 1 THEN '120+1' WHEN 2 THEN '1/86400' WHEN 3 THEN '60+0' ELSE '45+2' END AS time_control,
+    CASE o_orderkey % 5 WHEN 0 THEN 60.0 WHEN 1 THEN 120.0 WHEN 3 THEN 60.0 WHEN 4 THEN 45.0 END AS base_s,
+    CASE o_orderkey % 5 WHEN 1 THEN 1.0 WHEN 4 THEN 2.0 ELSE 0.0 END AS increment_s,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER_SQL}) - 1 AS ply,
+    CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'N' WHEN 2 THEN 'B' WHEN 3 THEN 'R' ELSE 'Q' END AS piece,
+    CASE WHEN l_partkey % 8 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'O-O' ELSE 'O-O-O' END END AS castle,
+    chr(CAST(97 + l_partkey % 8 AS INT)) || CAST(1 + l_suppkey % 8 AS STRING) AS square,
+    l_suppkey % 3 = 0 AND l_partkey % 8 <> 0 AS takes, l_suppkey % 8 = 7 AS last_rank,
+    chr(CAST(97 + l_suppkey % 8 AS INT)) AS from_file, l_tax = 0.02 AS checks,
+    CASE WHEN l_tax < 0.08 THEN l_quantity + l_linenumber / CAST(10 AS DOUBLE) END AS clock_after,
+    CASE WHEN l_tax < 0.08 THEN '0:00:' || lpad(CAST(CAST(l_quantity AS INT) AS STRING), 2, '0') || '.' || CAST(l_linenumber AS STRING) END AS clk
+  FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey),
+moves AS (SELECT *,
+    CASE WHEN ply % 2 = 0 THEN 'white' ELSE 'black' END AS side,
+    piece = '' AND castle IS NULL AND last_rank AS promotes,
+    CASE WHEN castle IS NOT NULL THEN castle
+      ELSE piece || CASE WHEN takes AND piece = '' THEN from_file ELSE '' END || CASE WHEN takes THEN 'x' ELSE '' END
+        || square || CASE WHEN piece = '' AND last_rank THEN '=Q' ELSE '' END END
+      || CASE WHEN checks THEN '+' ELSE '' END AS san
+  FROM lines)"""
+
+MOVES_TEXT = _MOVES
+MOVES_SQL = _MOVES.format(orders="orders", lineitem="lineitem")
