@@ -304,7 +304,7 @@ def phase_time(t):
 
 CURVE_SQL = f"""{PCLEAN}, k AS (SELECT * FROM clean WHERE gap_1_2 IS NOT NULL),
 e AS (SELECT player, count(*) AS c, list_sort(list_distinct(quantile_cont(gap_1_2, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM k GROUP BY player),
-b AS (SELECT k.*, len(list_filter(e[2:len(e) - 1], x -> gap_1_2 > x)) + 1 AS quintile FROM k JOIN e ON e.player = k.player WHERE c > 200 AND len(e) >= 2)
+b AS (SELECT k.*, len(list_filter(e[2:len(e) - 1], lambda x: gap_1_2 > x)) + 1 AS quintile FROM k JOIN e ON e.player = k.player WHERE c > 200 AND len(e) >= 2)
 SELECT player, quintile, count(*) AS n, avg(played_best_move::INT) AS p_best_move, avg(think_time) AS mean_think_time, avg(cp_loss) AS mean_cp_loss FROM b GROUP BY 1, 2"""
 
 
@@ -377,7 +377,7 @@ def raw_attributes(t):
 
 def score_sql(name: str, lo: float, hi: float, up: bool) -> str:
     x = f"greatest(0, least(1, ({name} - {lo}) / ({hi} - {lo}::DOUBLE)))"
-    return f"CASE WHEN {name} IS NOT NULL THEN round_even({x if up else f'1 - {x}'} * 100, 0) END AS {name}_score"
+    return f"CASE WHEN {name} IS NOT NULL THEN round_even({x if up else f'(1 - {x})'} * 100, 0) END AS {name}_score"
 
 
 @query(
@@ -429,7 +429,7 @@ def bucket_career(t):
 @query(
     "clock_decile_baseline", "R13", "player:l decile:l n:l median_think_time:d",
     f"""{PCLEAN}, e AS (SELECT player, list_sort(list_distinct(quantile_cont(clock_before, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM clean GROUP BY player),
-    b AS (SELECT c.*, len(list_filter(e[2:len(e) - 1], x -> clock_before > x)) AS decile FROM clean c JOIN e ON e.player = c.player WHERE len(e) >= 2)
+    b AS (SELECT c.*, len(list_filter(e[2:len(e) - 1], lambda x: clock_before > x)) AS decile FROM clean c JOIN e ON e.player = c.player WHERE len(e) >= 2)
     SELECT player, decile, count(*) AS n, quantile_cont(think_time, 0.5) AS median_think_time FROM b GROUP BY 1, 2""",
 )
 def clock_decile_baseline(t):
