@@ -2,6 +2,7 @@
 
 A query is a build function over the driver's tables plus the list of its output
 columns and their kinds: ``l`` whole number, ``d`` double rounded to six places,
+``e`` double rounded to nine (short decimal fractions that would tie at six),
 ``b`` boolean, ``s`` string.  Both sides are cast the same way.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pacelens.sources.standins import Tables
 
-PLACES = 6
+PLACES = {"d": 6, "e": 9}
 REGISTRY: dict[str, "Query"] = {}
 
 
@@ -40,7 +41,7 @@ class Query:
                 c = c.cast("string")
             else:
                 d = c.cast("double")
-                c = F.when(~F.isnan(d), F.round(d, PLACES))
+                c = F.when(~F.isnan(d), F.round(d, PLACES[kind]))
             out.append(c.alias(name))
         return frame.select(*out)
 
@@ -57,7 +58,7 @@ class Query:
                 c = f"CAST({name} AS VARCHAR)"
             else:
                 d = f"CAST({name} AS DOUBLE)"
-                r = f"round({d}, {PLACES})"
+                r = f"round({d}, {PLACES[kind]})"
                 c = f"CASE WHEN isnan({d}) THEN NULL WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END"
             out.append(f"{c} AS {name}")
         return f"SELECT {', '.join(out)} FROM ({self.sql.strip()}) AS answer"
