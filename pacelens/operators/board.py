@@ -6,7 +6,9 @@ masks on them.  Nothing is exploded or shuffled: distinct positions are scored
 row by row inside generated code and joined back once.
 
 The stages are separate projections on purpose: columns used more than once are
-then computed once, and each projection compiles to a small method.
+then computed once.  A stage gathers its rays in an array and folds the array in
+the next projection; a higher-order function ends a whole-stage span, so each span
+holds one stage and its generated method stays far below the JVM's size limits.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ OPENING_MOVES = 12
 
 STRAIGHT = ((1, 0), (-1, 0), (0, 1), (0, -1))
 DIAGONAL = ((1, 1), (1, -1), (-1, 1), (-1, -1))
+STEPS = (*STRAIGHT, *DIAGONAL)
 JUMPS = tuple((x, y) for x in (-2, -1, 1, 2) for y in (-2, -1, 1, 2) if abs(x) != abs(y))
 
 
@@ -66,6 +69,26 @@ def count(bits: str) -> str:
     return f"bit_count({bits})"
 
 
+def gathered(parts: Sequence[str], name: str) -> str:
+    return f"array({', '.join(parts)}) AS {name}"
+
+
+def union_of(name: str) -> str:
+    return f"aggregate({name}, 0L, (seen, x) -> seen | x)"
+
+
+def total_of(name: str) -> str:
+    """Set squares over all elements, an element at a time."""
+    return f"aggregate({name}, 0, (n, x) -> n + bit_count(x))"
+
+
+def repeated_in(name: str) -> str:
+    """Number of squares set in two or more elements."""
+    start = "named_struct('once', 0L, 'twice', 0L)"
+    step = "named_struct('once', a.once | x, 'twice', a.twice | (a.once & x))"
+    return f"aggregate({name}, {start}, (a, x) -> {step}, a -> bit_count(a.twice))"
+
+
 def placement_text(fen: Column) -> Column:
     """The 64 squares from a8 to h1, dots for empty ones."""
     text = F.regexp_replace(F.split_part(fen, F.lit(" "), F.lit(1)), "/", "")
@@ -111,18 +134,13 @@ def _sliders(side: str, step: tuple[int, int]) -> str:
     return f"({side}_{'r' if step in STRAIGHT else 'b'} | {side}_q)"
 
 
-def _union(terms: Sequence[str]) -> str:
-    return any_of(terms)
-
-
 def attacks(df: DataFrame) -> DataFrame:
     """Add the squares each side attacks (``w_att``, ``b_att``)."""
     for side in "wb":
-        near = [moved(f"{side}_p", x, _forward(side)) for x in (-1, 1)]
-        near += [moved(f"{side}_n", *j) for j in JUMPS] + [moved(f"{side}_k", *s) for s in (*STRAIGHT, *DIAGONAL)]
-        far = [ray(_sliders(side, s), "_empty", s) for s in (*STRAIGHT, *DIAGONAL)]
-        df = df.selectExpr("*", f"{_union(near)} AS _near", f"{_union(far[:4])} AS _straight", f"{_union(far[4:])} AS _diagonal")
-        df = df.selectExpr("*", f"(_near | _straight | _diagonal) AS {side}_att").drop("_near", "_straight", "_diagonal")
+        seen = [moved(f"{side}_p", x, _forward(side)) for x in (-1, 1)]
+        seen += [moved(f"{side}_n", *j) for j in JUMPS] + [moved(f"{side}_k", *s) for s in STEPS]
+        seen += [ray(_sliders(side, s), "_empty", s) for s in STEPS]
+        df = df.selectExpr("*", gathered(seen, "_seen")).selectExpr("*", f"{union_of('_seen')} AS {side}_att").drop("_seen")
     return df
 
 
@@ -211,7 +229,7 @@ def safety(df: DataFrame) -> DataFrame:
     columns = []
     for s in "wb":
         foe = _other(s)
-        zone = any_of([f"{s}_k", *[moved(f"{s}_k", *d) for d in (*STRAIGHT, *DIAGONAL)]])
+        zone = any_of([f"{s}_k", *[moved(f"{s}_k", *d) for d in STEPS]])
         columns.append(f"{count(f'({s}_all & ~{s}_k & {foe}_att & ~{s}_att)')} AS {s}_loose_own")
         columns.append(f"{count(f'({zone} & {foe}_att)')} AS {s}_king_attackers_own")
     return own_opp(df.selectExpr("*", *columns), [("loose_own", "loose_opp"), ("king_attackers_own", "king_attackers_opp")])
@@ -219,13 +237,11 @@ def safety(df: DataFrame) -> DataFrame:
 
 def pins(df: DataFrame) -> DataFrame:
     """Pieces that shield their king from a slider on the same line."""
-    steps = (*STRAIGHT, *DIAGONAL)
     for s in "wb":
-        foe = _other(s)
-        first = [f"({ray(f'{s}_k', '_empty', d)} & {s}_all) AS _first{i}" for i, d in enumerate(steps)]
-        df = df.selectExpr("*", *first)
-        hits = [count(f"({ray(f'_first{i}', '_empty', d)} & {_sliders(foe, d)})") for i, d in enumerate(steps)]
-        df = df.selectExpr("*", f"{' + '.join(hits)} AS {s}_own_pinned").drop(*[f"_first{i}" for i in range(8)])
+        first = [f"({ray(f'{s}_k', '_empty', d)} & {s}_all) AS _first{i}" for i, d in enumerate(STEPS)]
+        behind = [f"({ray(f'_first{i}', '_empty', d)} & {_sliders(_other(s), d)})" for i, d in enumerate(STEPS)]
+        df = df.selectExpr("*", *first).selectExpr("*", gathered(behind, "_behind"))
+        df = df.selectExpr("*", f"{total_of('_behind')} AS {s}_own_pinned").drop("_behind", *[f"_first{i}" for i in range(8)])
     return own_opp(df, [("own_pinned", "opp_pinned")])
 
 
@@ -238,32 +254,27 @@ def forks(df: DataFrame) -> DataFrame:
     for s in "wb":
         foe = _other(s)
         df = df.selectExpr("*", f"({foe}_all & ~{foe}_k) AS _targets")
-        marks = [f"({ray('_targets', '_empty', back(d))} & {_sliders(s, d)})" for d in (*STRAIGHT, *DIAGONAL)]
+        marks = [f"({ray('_targets', '_empty', back(d))} & {_sliders(s, d)})" for d in STEPS]
         marks += [f"({moved('_targets', *j)} & {s}_n)" for j in JUMPS]
         marks += [f"({moved('_targets', x, -_forward(s))} & {s}_p)" for x in (-1, 1)]
-        names = [f"_mark{i}" for i in range(len(marks))]
-        df = df.selectExpr("*", *[f"{m} AS {n}" for m, n in zip(marks, names)])
-        twice = [f"({names[i]} & {any_of(names[:i])})" for i in range(1, len(names))]
-        df = df.selectExpr("*", f"{count(any_of(twice))} AS {s}_own_forking_pieces").drop("_targets", *names)
+        df = df.selectExpr("*", gathered(marks, "_marks"))
+        df = df.selectExpr("*", f"{repeated_in('_marks')} AS {s}_own_forking_pieces").drop("_targets", "_marks")
     return own_opp(df, [("own_forking_pieces", "opp_forking_pieces")])
 
 
 def skewers(df: DataFrame) -> DataFrame:
     """Sliders that attack a piece with a less valuable one right behind it, kings apart."""
-    steps = (*STRAIGHT, *DIAGONAL)
+    behind = {"p": "nbrq", "nb": "rq", "r": "q"}
     for s in "wb":
-        foe = _other(s)
-        behind = {"p": "nbrq", "nb": "rq", "r": "q"}
-        group = lambda kinds: any_of([f"{foe}_{k}" for k in kinds])
-        for half in (steps[:4], steps[4:]):
+        group = lambda kinds: any_of([f"{_other(s)}_{k}" for k in kinds])
+        for part, steps in (("_straight", STRAIGHT), ("_diagonal", DIAGONAL)):
             fronts = []
-            for i, d in enumerate(half):
+            for i, d in enumerate(steps):
                 seen = [f"({ray(group(rear), '_empty', back(d))} & {group(front)})" for rear, front in behind.items()]
                 fronts.append(f"{any_of(seen)} AS _front{i}")
-            df = df.selectExpr("*", *fronts)
-            hits = [count(f"({ray(f'_front{i}', '_empty', back(d))} & {_sliders(s, d)})") for i, d in enumerate(half)]
-            part = "_straight" if half is steps[:4] or half[0] in STRAIGHT else "_diagonal"
-            df = df.selectExpr("*", f"{' + '.join(hits)} AS {part}").drop(*[f"_front{i}" for i in range(4)])
+            hits = [f"({ray(f'_front{i}', '_empty', back(d))} & {_sliders(s, d)})" for i, d in enumerate(steps)]
+            df = df.selectExpr("*", *fronts).selectExpr("*", gathered(hits, "_hits"))
+            df = df.selectExpr("*", f"{total_of('_hits')} AS {part}").drop("_hits", *[f"_front{i}" for i in range(4)])
         df = df.selectExpr("*", f"_straight + _diagonal AS {s}_own_skewers").drop("_straight", "_diagonal")
     return own_opp(df, [("own_skewers", "opp_skewers")])
 

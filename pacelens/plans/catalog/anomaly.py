@@ -128,7 +128,7 @@ LIST_SQL = ", ".join(
     f"('{m}', {'NULL' if r is None else f'{r}::DOUBLE'}, {'NULL' if k is None else k})" for m, r, k in [("clean", 0.0, None), *SCENARIOS]
 )
 FANNED = f"""{RANKED}, sc AS (SELECT * FROM (VALUES {LIST_SQL}) v(mode, rate, k)),
-fan AS (SELECT ranked.*, mode, rate, k FROM ranked, sc),
+fan AS (SELECT ranked.* EXCLUDE (mode), sc.mode, rate, k FROM ranked, sc),
 alt AS {altered_sql('fan', f"(rate IS NOT NULL AND by_draw <= {share_sql('rate')}) OR (k IS NOT NULL AND by_gap <= k)", 'mode', ', mode, rate, k')},
 scored AS (SELECT player, game_id, mode, rate, k, {MEAN_SQL}, {MAX_SQL} FROM alt GROUP BY ALL),
 labelled AS (SELECT *, true AS altered FROM scored WHERE mode <> 'clean'

@@ -171,3 +171,34 @@ moves AS (SELECT *,
 
 MOVES_TEXT = _MOVES
 MOVES_SQL = _MOVES.format(orders="orders", lineitem="lineitem")
+
+
+# --- positions ------------------------------------------------------------------------
+
+def _mixed(x: str, seed: int) -> str:
+    return f"((({x}) % 2147483648) * 2654435761 + {seed}) % 4294967296"
+
+
+_KING_W = f"CAST(floor(({_mixed('o * 17 + 3', 5)}) / 67108864) AS INT)"
+_KING_B = f"CAST(({_KING_W} + 9 + CAST(floor(({_mixed('o * 29 + 5', 11)}) / 65536) AS BIGINT) % 46) % 64 AS INT)"
+_DIE = f"CAST(floor(({_mixed('(o * 64 + i) * (o * 64 + i) % 2147483647 + (o * 64 + i) * 31', 3)}) / 65536) AS BIGINT) % 100"
+# One square (0 = a8 .. 63 = h1) of the position an order stands for.
+SQUARE = f"""CASE WHEN i = {_KING_W} THEN 'K' WHEN i = {_KING_B} THEN 'k'
+  WHEN {_DIE} < 60 THEN '.'
+  WHEN {_DIE} < 67 THEN CASE WHEN i < 8 OR i > 55 THEN '.' ELSE 'P' END
+  WHEN {_DIE} < 74 THEN CASE WHEN i < 8 OR i > 55 THEN '.' ELSE 'p' END
+  WHEN {_DIE} < 77 THEN 'N' WHEN {_DIE} < 80 THEN 'n' WHEN {_DIE} < 83 THEN 'B' WHEN {_DIE} < 86 THEN 'b'
+  WHEN {_DIE} < 89 THEN 'R' WHEN {_DIE} < 92 THEN 'r' WHEN {_DIE} < 96 THEN 'Q' ELSE 'q' END"""
+FEN_TAIL = """CASE WHEN o % 2 = 0 THEN 'w' ELSE 'b' END || ' ' || CASE o % 3 WHEN 0 THEN '-' WHEN 1 THEN 'KQkq' ELSE 'Kq' END
+  || ' - ' || CAST(o % 50 AS STRING) || ' ' || CAST(1 + o % 60 AS STRING)"""
+
+
+def positions(tables: Tables) -> DataFrame:
+    """One position per order, as FEN text built square by square from its number."""
+    ids = tables.orders.select(F.col("o_orderkey").alias("o"))
+    squares = F.expr(f"array_join(transform(sequence(0, 63), i -> {SQUARE}), '')")
+    placed = ids.withColumn("_squares", squares)
+    text = F.regexp_replace("_squares", "(.{8})(?!$)", "$1/")
+    for n in range(8, 0, -1):
+        text = F.replace(text, F.lit("." * n), F.lit(str(n)))
+    return placed.select("o", F.concat(text, F.lit(" "), F.expr(FEN_TAIL)).alias("fen_before"))
