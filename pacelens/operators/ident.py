@@ -91,7 +91,7 @@ def _family(name: str, n_rows: int, n_classes: int, seed: int):
 
     common = {"featuresCol": "_z", "labelCol": "_label", "weightCol": "_weight"}
     if name == "logistic":
-        return LogisticRegression(family="multinomial", regParam=1.0 / max(n_rows, 1), maxIter=100, **common)
+        return LogisticRegression(family="multinomial", regParam=1.0 / max(n_rows, 1), maxIter=100, tol=1e-4, standardization=False, **common)
     if name == "forest":
         return RandomForestClassifier(numTrees=40, maxDepth=8, seed=seed, **common)
     if name == "boosting":
@@ -124,7 +124,7 @@ def out_of_fold(vectors: DataFrame, columns: Sequence[str], families: Sequence[s
     table = materialise(
         weighted.select(*GAME, "fold", "_weight", F.col("player").cast("string").alias("_class"), *[F.col(c).cast("double").alias(c) for c in columns])
     )
-    labels = StringIndexer(inputCol="_class", outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(table)
+    labels = StringIndexer(inputCol="_class", outputCol="_label", stringOrderType="alphabetAsc").fit(table)
     classes = list(labels.labels)
     indexed = labels.transform(table)
     folds = sorted(r[0] for r in indexed.where("fold >= 0").select("fold").distinct().collect())
@@ -138,7 +138,7 @@ def out_of_fold(vectors: DataFrame, columns: Sequence[str], families: Sequence[s
             scored = model.transform(indexed.where(F.col("fold") == fold))
             long = scored.select(
                 F.lit(name).alias("family"), *GAME, "fold", F.posexplode(_probabilities(scored, name, classes)).alias("_i", "p")
-            ).where(F.col("_i") < len(classes))
+            )
             named = long.select(
                 "family", *GAME, "fold", F.array([F.lit(c) for c in classes])[F.col("_i")].cast(vectors.schema["player"].dataType).alias("class"), "p"
             )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pacelens.functions.draws import mix
 from pacelens.operators import anomaly
 from pacelens.plans.catalog import query
-from pacelens.plans.catalog.annotate import opening_book  # noqa: F401
 from pacelens.sources.standins import PLIES_SQL
 
 P = f"WITH {PLIES_SQL}, pool AS (SELECT * REPLACE (player % 10 AS player) FROM plies WHERE NOT is_suspect)"
@@ -335,8 +334,9 @@ def detector_wins(t):
 
 @query("roster_evaluation", "A1 A2 A3 A5 A6 A7", f"{SCENARIO_KINDS} score:s auc:d")
 def roster_evaluation(t):
-    # Games of the stand-in are short, so two of a player's orders make one game.
-    return anomaly.roster(pool(t).withColumn("game_id", F.floor(F.col("game_id") / 40)))
+    # The stand-in's orders are short, so forty neighbouring ones make one game.
+    merged = pool(t).withColumns({"ply": F.col("game_id") % 40 * 50 + F.col("ply"), "game_id": F.floor(F.col("game_id") / 40)})
+    return anomaly.roster(merged)
 
 
 WIN = "1 / (1 + exp(-0.004 * {}))"

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pacelens.functions.storage import shared_folder
-from pacelens.operators import annotate, games, gold, ident, insights, models, parse, profile
+from pacelens.operators import games, gold, ident, insights, models, parse
 from pacelens.plans import build, features
 from pacelens.plans.catalog import players, query
-from pacelens.plans.catalog.annotate import UNSTABLE  # noqa: F401
 from pacelens.plans.catalog.ident import SP, judged
 from pacelens.sources import archive, standins
 
@@ -92,22 +91,21 @@ def profile_scripts(t):
 @query(
     "assembled_features", "X5 E6 B15",
     "player:l game_id:l ply:l eval_before:d n_pieces:l cp_loss:d clock_frac_remaining:d eval_delta_1:d games_played_so_far:l log_think_time:d outcome_bucket:s in_book:b",
-    f"""WITH {standins.PLIES_SQL}, e AS (SELECT * REPLACE (game_id % 97 * 8 + ply % 8 AS eval_before) FROM plies),
-    pc AS (SELECT o, count(*) AS n_pieces FROM (SELECT o, i, {standins.SQUARE} AS ch FROM (SELECT o_orderkey AS o FROM orders WHERE o_orderkey < 1000), range(64) s(i)) WHERE ch <> '.' GROUP BY o),
-    j AS (SELECT e.*, n_pieces FROM e JOIN pc ON pc.o = CAST(eval_before AS BIGINT)),
+    f"""WITH {standins.PLIES_SQL}, e AS (SELECT *, game_id + ply AS o FROM plies),
+    pc AS (SELECT o, count(*) AS n_pieces FROM (SELECT o, i, {standins.SQUARE} AS ch FROM (SELECT o_orderkey AS o FROM orders), range(64) s(i)) WHERE ch <> '.' GROUP BY o),
+    j AS (SELECT e.* REPLACE (CAST(e.o * 37 % 801 - 400 AS DOUBLE) AS eval_before), n_pieces FROM e JOIN pc ON pc.o = e.o),
     g AS (SELECT player, game_id, row_number() OVER (PARTITION BY player ORDER BY min(game_date), game_id) AS k FROM j GROUP BY player, game_id),
-    w AS (SELECT *, lead(eval_before) OVER o AS nx, eval_before - lag(eval_before) OVER o AS delta FROM j WINDOW o AS (PARTITION BY player, game_id ORDER BY ply))
+    w AS (SELECT *, lead(eval_before) OVER i AS nx, eval_before - lag(eval_before) OVER i AS delta FROM j WINDOW i AS (PARTITION BY player, game_id ORDER BY ply))
     SELECT w.player, w.game_id, ply, eval_before, n_pieces, CASE WHEN nx IS NOT NULL THEN greatest(eval_before + nx, 0) END AS cp_loss, clock_before / base_s AS clock_frac_remaining,
-      delta AS eval_delta_1, k AS games_played_so_far, log_think_time, CASE WHEN eval_before > 300 THEN 'winning' ELSE 'balanced' END AS outcome_bucket,
-      CAST(eval_before AS BIGINT) % 3 = 0 AS in_book FROM w JOIN g ON g.player = w.player AND g.game_id = w.game_id""",
+      delta AS eval_delta_1, k AS games_played_so_far, log_think_time, CASE WHEN eval_before > 300 THEN 'winning' WHEN eval_before < -300 THEN 'losing' ELSE 'balanced' END AS outcome_bucket,
+      o % 3 = 0 AS in_book FROM w JOIN g ON g.player = w.player AND g.game_id = w.game_id""",
 )
 def assembled_features(t):
-    # Plies meet about a thousand shared positions, numbered by their evaluation.
-    texts = standins.positions(t).where("o < 1000")
-    number = F.col("game_id") % 97 * 8 + F.col("ply") % 8
+    # A game's plies stand on the positions of its own and the following orders.
+    texts = standins.positions(t)
     plies = t.plies().drop("eval_before", "gap_1_2", "cp_loss", "is_mistake", "is_decided", "played_best_move", "n_moves_within_30cp", "low_time", "log_think_time")
-    numbered = parse.move_index(plies).withColumns({"o": number, "move_uci": F.lit("e2e4")}).join(texts, "o").drop("o")
-    value = F.col("o").cast("double")
+    numbered = parse.move_index(plies.withColumns({"o": F.col("game_id") + F.col("ply"), "move_uci": F.lit("e2e4")})).join(texts, "o").drop("o")
+    value = (F.col("o") * 37 % 801 - 400).cast("double")
     annotated = texts.select(
         "fen_before", value.alias("eval_before"), F.lit("d2d4").alias("best_move"), F.array(value, value - 20).alias("top_cps"),
         F.array(F.lit(None).cast("int"), F.lit(None).cast("int")).alias("top_mate_ins"), F.lit(20.0).alias("gap_1_2"),
@@ -183,7 +181,9 @@ def profile_documents(t):
 def full_build(t):
     from pacelens.operators import sessions
 
-    rows = sessions.experience(players.pool(t).withColumn("game_id", F.floor(F.col("game_id") / 40)).withColumn("ply", F.monotonically_increasing_id()))
+    # The stand-in's orders are short, so forty neighbouring ones make one game.
+    merged = players.pool(t).withColumns({"ply": F.col("game_id") % 40 * 50 + F.col("ply"), "game_id": F.floor(F.col("game_id") / 40)})
+    rows = sessions.experience(merged)
     ready = models.design(rows.withColumn("clock_frac_remaining", F.col("clock_before") / F.col("base_s")), players.WIDE)
     members = t.nation.where("n_nationkey < 10").select(
         F.lit("pool").alias("cohort"), F.col("n_nationkey").cast("bigint").alias("identity"), F.col("n_nationkey").cast("bigint").alias("source_player")
