@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pacelens.functions.draws import SPAN, normal, uniform, xx
 from pacelens.functions.nulls import ratio
 from pacelens.functions.stats import auc, hash_rank, join_per_key, quantiles
+from pacelens.functions.storage import materialise
 from pacelens.operators import logistic
 
 GAME = ("player", "game_id")
@@ -249,7 +250,7 @@ def half_split(games: DataFrame, seed: int = 1, order: Column | None = None) ->
 
 def combiner(labelled: DataFrame, columns: Sequence[str] = ("timing_score", "maia_score"), naive: str = "combined", seed: int = 1, order: Column | None = None) -> DataFrame:
     """Per-player trained combination against the plain sum, on the games not trained on."""
-    split = half_split(labelled, seed, order)
+    split = materialise(half_split(labelled, seed, order))
     able = split.groupBy("player").agg(
         *[F.count_if((F.col("is_train") == t) & (F.col("altered") == a)).alias(f"_{int(t)}{int(a)}") for t in (True, False) for a in (True, False)]
     ).where("_11 > 0 AND _10 > 0 AND _01 > 0 AND _00 > 0")
@@ -284,7 +285,7 @@ def balanced(labelled: DataFrame) -> DataFrame:
 
 def detector(labelled: DataFrame, features: dict[str, Sequence[str]]) -> DataFrame:
     """Cross-validated AUC per player for each named feature set; expects ``fold``."""
-    weighted = balanced(labelled)
+    weighted = materialise(balanced(labelled))
     out = None
     for name, columns in features.items():
         held = logistic.out_of_fold(weighted, ["player"], columns, "altered", 5, "weight")
@@ -295,9 +296,8 @@ def detector(labelled: DataFrame, features: dict[str, Sequence[str]]) -> DataFra
 
 def combination(labelled: DataFrame, first: Sequence[str], second: Sequence[str]) -> DataFrame:
     """AUC of two feature sets alone, joined raw, and stacked on their held-out probabilities."""
-    weighted = balanced(labelled)
-    fit = lambda frame, columns, name: logistic.out_of_fold(frame, ["player"], columns, "altered", 5, "weight", name)
-    a = fit(weighted, first, "p_agreement")
+    fit = lambda frame, columns, name: materialise(logistic.out_of_fold(frame, ["player"], columns, "altered", 5, "weight", name))
+    a = fit(materialise(balanced(labelled)), first, "p_agreement")
     both = fit(a, second, "p_biometric")
     raw = fit(both, [*first, *second], "p_combined_raw")
     stacked = logistic.out_of_fold(raw, ["player"], ["p_agreement", "p_biometric"], "altered", 5, None, "p_combined_stacked")

@@ -293,9 +293,20 @@ FACT_FEATURES = {
 }
 
 
+def distinct_positions(positions: DataFrame, fen: str) -> DataFrame:
+    """Each position once, spread evenly over all tasks.
+
+    Duplicates are combined before the first shuffle, so a position that makes up a
+    third of the plies costs nothing.  The second one is there for the work that
+    follows: it is heavy per byte, and partitions merged by size would be too few.
+    """
+    n = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return positions.select(fen).distinct().repartition(n, fen)
+
+
 def position_features(positions: DataFrame, fen: str = "fen_before") -> DataFrame:
     """Every board feature of each distinct position."""
-    df = bitboards(positions.select(fen).distinct(), fen)
+    df = bitboards(distinct_positions(positions, fen), fen)
     for stage in (material, pawn_structure, attacks, safety, pins, forks, skewers):
         df = stage(df)
     return phase(fen_fields(df, fen)).select(fen, *BOARD_FEATURES)
@@ -331,7 +342,7 @@ def with_position_features(plies: DataFrame, facts: DataFrame | None = None, fen
 
 def material_offered(df: DataFrame, fen_after: str = "fen_after") -> DataFrame:
     """Worth of the mover's most valuable piece left hanging after the move; 0 for none."""
-    seen = attacks(bitboards(df.select(fen_after).distinct(), fen_after))
+    seen = attacks(bitboards(distinct_positions(df, fen_after), fen_after))
     # In the position after the move the mover is the side not to move.
     hanging = [
         f"CASE WHEN _white_moves THEN (b_all & w_att & ~b_att) ELSE (w_all & b_att & ~w_att) END AS _hanging",

@@ -108,7 +108,7 @@ def recency_weights(t):
 
 
 @query(
-    "play_sessions", "X4", "player:l game_id:l session_id:l session_game_index:l minutes_since_prev_game:d",
+    "play_sessions", "X4", "player:l game_id:l session_id:l session_game_index:l minutes_since_prev_game:e",
     """WITH g AS (SELECT user_id AS player, event_id AS game_id, ts,
         (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 6e7 AS gap FROM events),
     s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 360 THEN 1 ELSE 0 END) OVER (PARTITION BY player ORDER BY ts, game_id) AS session_id FROM g)
