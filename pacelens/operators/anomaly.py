@@ -183,37 +183,53 @@ def score(plies: DataFrame, reducer: str = "mean", keys: Sequence[str] = GAME) -
     raise ValueError(f"unknown reducer {reducer!r}")
 
 
-def game_features(plies: DataFrame, keys: Sequence[str] = GAME) -> DataFrame:
-    """Direction-free summary of residuals and surprises, with the selective extras."""
+def _feature_columns() -> list[Column]:
     r, s = residual(), F.col("maia_surprise")
-    return plies.groupBy(*keys).agg(
+    return [
         F.avg(r).alias("resid_mean"), F.stddev_pop(r).alias("resid_std"), F.max(F.abs(r)).alias("resid_max"),
         top3_mean(F.abs(r)).alias("resid_top3_mean"),
         F.avg(s).alias("surprise_mean"), F.stddev_pop(s).alias("surprise_std"), F.max(s).alias("surprise_max"),
         top3_mean(s).alias("surprise_top3_mean"),
-    )
+    ]
 
 
-def agreement(plies: DataFrame, keys: Sequence[str] = GAME) -> DataFrame:
-    """How often the engine's move was played, over all and over informative plies."""
+def _agreement_columns() -> list[Column]:
     match = F.col("played_best_move").cast("double")
     informative = F.col("n_moves_within_30cp") >= 2
-    return plies.groupBy(*keys).agg(
+    return [
         F.avg(match).alias("match_rate_all"),
         F.coalesce(F.avg(F.when(informative, match)), F.avg(match)).alias("match_rate_informative"),
         F.count_if(informative).alias("n_informative"),
-    )
+    ]
+
+
+def game_features(plies: DataFrame, keys: Sequence[str] = GAME) -> DataFrame:
+    """Direction-free summary of residuals and surprises, with the selective extras."""
+    return plies.groupBy(*keys).agg(*_feature_columns())
+
+
+def agreement(plies: DataFrame, keys: Sequence[str] = GAME) -> DataFrame:
+    """How often the engine's move was played, over all and over informative plies."""
+    return plies.groupBy(*keys).agg(*_agreement_columns())
+
+
+def game_evidence(plies: DataFrame, keys: Sequence[str] = GAME) -> DataFrame:
+    """Detector features and engine agreement together, in one aggregation."""
+    return plies.groupBy(*keys).agg(*_feature_columns(), *_agreement_columns())
 
 
 # --- separation ----------------------------------------------------------------------
 
 
 def against_clean(scores: DataFrame, scenarios: Sequence[tuple]) -> DataFrame:
-    """Each scenario's altered games beside the clean ones, labelled ``altered``."""
-    altered = scores.where(F.col("mode") != "clean").withColumn("altered", F.lit(True))
-    clean = scores.where(F.col("mode") == "clean").drop(*SCENARIO)
-    fanned = clean.withColumn("_s", F.explode(_scenario_array(scenarios))).select("*", "_s.*").drop("_s")
-    return altered.unionByName(fanned.withColumn("altered", F.lit(False)))
+    """Each scenario's altered games beside the clean ones, labelled ``altered``.
+
+    A clean game fans out to every scenario, an altered one to its own, in one pass.
+    """
+    clean = F.col("mode") == "clean"
+    own = F.array(F.struct("mode", F.col("rate").cast("double").alias("rate"), F.col("k").cast("int").alias("k")))
+    fanned = scores.withColumns({"altered": ~clean, "_s": F.explode(F.when(clean, _scenario_array(scenarios)).otherwise(own))})
+    return fanned.drop(*SCENARIO).select("*", "_s.*").drop("_s")
 
 
 def scenario_auc(labelled: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("player", *SCENARIO)) -> DataFrame:
@@ -250,7 +266,7 @@ def half_split(games: DataFrame, seed: int = 1, order: Column | None = None) ->
 
 def combiner(labelled: DataFrame, columns: Sequence[str] = ("timing_score", "maia_score"), naive: str = "combined", seed: int = 1, order: Column | None = None) -> DataFrame:
     """Per-player trained combination against the plain sum, on the games not trained on."""
-    split = materialise(half_split(labelled, seed, order))
+    split = materialise(half_split(materialise(labelled), seed, order))
     able = split.groupBy("player").agg(
         *[F.count_if((F.col("is_train") == t) & (F.col("altered") == a)).alias(f"_{int(t)}{int(a)}") for t in (True, False) for a in (True, False)]
     ).where("_11 > 0 AND _10 > 0 AND _01 > 0 AND _00 > 0")
@@ -265,6 +281,7 @@ def combiner(labelled: DataFrame, columns: Sequence[str] = ("timing_score", "mai
 
 def detector_folds(labelled: DataFrame, min_rows: int = 24, seed: int = 0, order: Column | None = None) -> DataFrame:
     """Stratified folds per player: 5 from 50 rows, 4 from 32, else 3; too small players go."""
+    labelled = materialise(labelled)
     sizes = labelled.groupBy("player").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_rows)
     k = F.when(F.col("_size") >= 50, 5).when(F.col("_size") >= 32, 4).otherwise(3)
     hashed = xx("game_id", seed=seed) if order is None else order

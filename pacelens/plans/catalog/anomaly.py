@@ -214,10 +214,7 @@ def paired(t, timing="smart"):
     """Clean and fully altered games of every player with all detector features."""
     one = [(timing, 1.0, None)]
     plies = anomaly.perturb_scenarios(pool(t), one, draw=draw)
-    both = anomaly.game_features(plies, KEYS).join(
-        anomaly.agreement(plies, KEYS).withColumnsRenamed({"rate": "_r", "k": "_k"}).drop("_r", "_k"), [*anomaly.GAME, "mode"]
-    )
-    return anomaly.against_clean(both, one).select(
+    return anomaly.against_clean(anomaly.game_evidence(plies, KEYS), one).select(
         "player", "game_id", "altered", *anomaly.SELECTIVE_FEATURES, *anomaly.AGREEMENT_FEATURES
     )
 
