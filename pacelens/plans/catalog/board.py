@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pacelens.functions.storage import materialise
 from pacelens.operators import board, engine
 from pacelens.plans.catalog import query
 from pacelens.sources import standins
@@ -190,7 +191,7 @@ def _balanced(text: str) -> list[str]:
       pos.o % 4 = 1 AS is_forced, pos.o % 4 AS legal_moves FROM pos JOIN m USING (o)""",
 )
 def position_features(t):
-    plies = standins.positions(t).withColumnRenamed("o", "order_id")
+    plies = materialise(standins.positions(t)).withColumnRenamed("o", "order_id")
     facts = plies.select("fen_before", (F.col("order_id") % 4).alias("legal_moves"))
     return board.with_position_features(plies, facts)
 
@@ -206,7 +207,7 @@ HANGING = f"""WITH {PIECES}, {ATTACKS}, l AS (SELECT p.o, p.v FROM pieces p JOIN
 )
 def material_offered(t):
     o = F.col("o")
-    plies = standins.positions(t).select(
+    plies = materialise(standins.positions(t)).select(
         o.alias("order_id"), F.col("fen_before").alias("fen_after"), (o % 5 == 0).alias("is_recapture"),
         (o % 7 == 0).alias("is_forced"), (o % 150).cast("double").alias("cp_loss"),
     )

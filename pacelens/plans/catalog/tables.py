@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pacelens.functions.storage import shared_folder
+from pacelens.functions.storage import materialise, shared_folder
 from pacelens.operators import games, gold, ident, insights, models, parse
 from pacelens.plans import build, features
 from pacelens.plans.catalog import players, query
@@ -102,7 +102,7 @@ def profile_scripts(t):
 )
 def assembled_features(t):
     # A game's plies stand on the positions of its own and the following orders.
-    texts = standins.positions(t)
+    texts = materialise(standins.positions(t))
     plies = t.plies().drop("eval_before", "gap_1_2", "cp_loss", "is_mistake", "is_decided", "played_best_move", "n_moves_within_30cp", "low_time", "log_think_time")
     numbered = parse.move_index(plies.withColumns({"o": F.col("game_id") + F.col("ply"), "move_uci": F.lit("e2e4")})).join(texts, "o").drop("o")
     value = (F.col("o") * 37 % 801 - 400).cast("double")

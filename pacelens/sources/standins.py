@@ -195,7 +195,9 @@ FEN_TAIL = """CASE WHEN o % 2 = 0 THEN 'w' ELSE 'b' END || ' ' || CASE o % 3 WHE
 
 def positions(tables: Tables) -> DataFrame:
     """One position per order, as FEN text built square by square from its number."""
-    ids = tables.orders.select(F.col("o_orderkey").alias("o"))
+    # One small file is one task; building the texts is heavy, so spread it first.
+    n = int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = tables.orders.select(F.col("o_orderkey").alias("o")).repartition(n, "o")
     kings = ids.selectExpr("o", f"{_KING_W} AS kw", f"{_KING_B} AS kb", f"transform(sequence(0, 63), i -> {_DIE}) AS dice")
     piece = SQUARE.replace(_DIE, "d").replace(_KING_B, "kb").replace(_KING_W, "kw")
     placed = kings.selectExpr("o", f"array_join(transform(dice, (d, i) -> {piece}), '') AS _squares")
