@@ -156,24 +156,6 @@ def auc(df: DataFrame, keys: Sequence[str], label: str, score: str, name: str =
     return sums.select(*keys, ratio(F.col("_wins"), F.col("_p") * F.col("_n")).alias(name))
 
 
-def auc_small(label: Column, score: Column) -> Column:
-    """AUC as an aggregate, for groups whose size is bounded by a sampling parameter."""
-    rows = F.array_sort(F.collect_list(F.struct(score.alias("s"), label.cast("int").alias("p"))))
-    pos = F.filter(rows, lambda r: r["p"] == 1)
-    neg = F.filter(rows, lambda r: r["p"] == 0)
-    wins = F.aggregate(
-        pos,
-        F.lit(0.0),
-        lambda total, r: total
-        + F.aggregate(
-            neg,
-            F.lit(0.0),
-            lambda n, q: n + F.when(q["s"] < r["s"], 1.0).when(q["s"] == r["s"], 0.5).otherwise(0.0),
-        ),
-    )
-    return ratio(wins, F.size(pos) * F.size(neg))
-
-
 def hash_rank(df: DataFrame, keys: Sequence[str], hashed: Column, tie: Sequence[str], name: str) -> DataFrame:
     """1-based position of each row within its key in hash order; balanced for hot keys."""
     blocked = hash_blocks(df.withColumn("_hash", hashed.cast("bigint")), "_hash")
