@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacelens.llm import mix
+from pacelens.llm import langid, mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix.run,
+    "op7_language_id": langid.run,
 }
 
 SQL: dict[str, str] = {
