@@ -11,7 +11,9 @@ Plan: one pass over the texts leaves a narrow stored table (source, key, size).
 Prefix sums run over balanced range blocks of (source, key), so a source with a
 third of all rows is spread like any other.  The result per source is one cut
 key: a document is in the extra pass iff its key is at most the cut, which is a
-map-side comparison and moves no text.
+map-side comparison and moves no text.  The per-source tables are stored, so Spark
+knows their size when it plans the joins with the rows and broadcasts them only
+below its own threshold.
 
 Defined cases: a null text has size 0 and is never worth a word; a null source is
 a source of its own, ordered last; rows equal in identifier and text draw one key
@@ -91,7 +93,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
 def plan(narrow: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row per source: size, target, whole epochs and the cut key of the extra pass (null: none)."""
     sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
-    goal = targets(sizes, weights, share, most)
+    goal = materialise(targets(sizes, weights, share, most))
     by_key = narrow.where("_size > 0").groupBy("_source", "_key").agg(F.sum("_size").alias("_size"))
     summed = ordered(by_key, ["_source"], ["_key"], sums={"_upto": F.col("_size")})
     goal_k = goal.select(F.col("_source").alias("_s"), (F.col("_target") - F.col("_epochs") * F.col("_source_size")).alias("_rest"))
@@ -101,7 +103,7 @@ def plan(narrow: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
         .groupBy("_source").agg(F.max("_key").alias("_cut"))
         .select(F.col("_source").alias("_s"), "_cut")
     )
-    return goal.join(cuts, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return materialise(goal.join(cuts, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"))
 
 
 def copies() -> Column:
