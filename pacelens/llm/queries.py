@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacelens.llm import langid, mix
+from pacelens.llm import bpe, langid, mix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix.run,
+    "op2_bpe_tokens": bpe.run,
+    "op3_toxicity": toxicity.run,
     "op7_language_id": langid.run,
 }
 
