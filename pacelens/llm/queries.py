@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacelens.llm import bpe, langid, mix, near_dup, toxicity
+from pacelens.llm import bpe, htmltext, langid, mix, near_dup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix.run,
     "op2_bpe_tokens": bpe.run,
     "op3_toxicity": toxicity.run,
     "op7_language_id": langid.run,
+    "op9_main_text": htmltext.run,
     "op10_near_duplicates": near_dup.run,
 }
 
