@@ -8,9 +8,10 @@ Mentioning a group therefore moves a score little, whatever labels happened to s
 about texts that mention it.
 
 Fitting uses a hash sample of at most ``per_class`` labelled documents of either
-label; features are hashed, screened by their association with the label, fitted
-with an L1 penalty and refitted without it on the surviving features.  Only the
-sample's feature lists reach the driver.  Every document is scored, whole.
+label; features are hashed, counted by Spark and screened by their association with
+the label, fitted with an L1 penalty and refitted without it on the surviving
+features.  Only the sample's counts of screened features reach the driver.  Every
+document is scored, whole.
 
 Defined cases: null and empty texts score as the intercept alone; repeated words
 count once; documents without a label, with a null label or a null identifier are
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pacelens.functions.storage import materialise
 from pacelens.llm.common import Shared, map_batches, remainder, table
 
 WORDS = re.compile(r"[^\W_]+")
@@ -102,37 +104,30 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(logits, -500, 500)))
 
 
-def fit(rows: list[tuple[int, list[int], list[int]]], pairs: list[tuple[list[int], list[int], list[int], list[int]]], pairing: float = 1.0, l1: float = 0.01, most_features: int = 2048) -> Model:
-    """Fit on (label, slots, counts) rows and counterfactual pairs of (slots, counts, slots, counts)."""
+def sparse(rows: list[tuple[list[int], list[int]]], column: dict[int, int], scale: np.ndarray) -> np.ndarray:
+    """Dense matrix of (slots, counts) rows over the wanted slots."""
+    x = np.zeros((len(rows), len(scale)))
+    for i, (slots, counts) in enumerate(rows):
+        for s, c in zip(slots, counts):
+            if s in column:
+                x[i, column[s]] += c
+    return x / scale
+
+
+def fit(y: np.ndarray, rows: list[tuple[list[int], list[int]]], pairs: list[tuple[list[int], list[int], list[int], list[int]]], wanted: list[int], scale: np.ndarray, pairing: float = 1.0, l1: float = 0.01) -> Model:
+    """Fit labels ``y`` on rows of (slots, counts) and counterfactual pairs of (slots, counts, slots, counts).
+
+    ``wanted`` are the screened slots and ``scale`` the root mean squares of their counts."""
     n = len(rows)
-    y = np.array([r[0] for r in rows], dtype=np.float64)
     if n == 0 or y.min() == y.max():
         share = y.mean() if n else 0.0
         return Model(float(np.log((share + 1e-6) / (1 - share + 1e-6))), {})
-    row = np.repeat(np.arange(n), [len(r[1]) for r in rows])
-    slot = np.concatenate([np.asarray(r[1], dtype=np.int64) for r in rows])
-    value = np.concatenate([np.asarray(r[2], dtype=np.float64) for r in rows])
-    scale = np.sqrt(np.bincount(slot, weights=value * value, minlength=SLOTS) / n)
-    seen_in = np.bincount(slot, minlength=SLOTS)
-    link = np.bincount(slot, weights=value * (y - y.mean())[row], minlength=SLOTS) / n / np.maximum(scale, 1e-12)
-    wanted = np.flatnonzero((np.abs(link) > l1) & (seen_in >= 5))
-    wanted = np.sort(wanted[np.argsort(-np.abs(link[wanted]), kind="stable")][:most_features])
     if not len(wanted):
         return Model(float(np.log(y.mean() / (1 - y.mean()))), {})
-    column = np.full(SLOTS, -1)
-    column[wanted] = np.arange(len(wanted))
-
-    def dense(rows_, slots_, values_, height):
-        at = column[slots_]
-        x = np.zeros((height, len(wanted)))
-        np.add.at(x, (rows_[at >= 0], at[at >= 0]), values_[at >= 0])
-        return x / scale[wanted]
-
-    x = dense(row, slot, value, n)
-    change = np.zeros((len(pairs), len(wanted)))
-    for i, (s, c, s2, c2) in enumerate(pairs):
-        one = dense(np.zeros(len(s) + len(s2), dtype=np.int64), np.array(s + s2, dtype=np.int64), np.array(c + [-v for v in c2], dtype=np.float64), 1)
-        change[i] = one[0]
+    wanted = np.asarray(wanted)
+    column = {s: i for i, s in enumerate(wanted.tolist())}
+    x = sparse(rows, column, scale)
+    change = sparse([(s + s2, c + [-v for v in c2]) for s, c, s2, c2 in pairs], column, scale)
     pair_weight = 2.0 * pairing / max(len(pairs), 1)
 
     def solve(x, change, l1, l2, rounds):
@@ -165,10 +160,30 @@ def fit(rows: list[tuple[int, list[int], list[int]]], pairs: list[tuple[list[int
     if not len(kept):
         return Model(float(first[-1]), {})
     last = solve(x[:, kept], change[:, kept], 0.0, 1e-4, 600)
-    return Model(float(last[-1]), dict(zip(wanted[kept].tolist(), (last[:-1] / scale[wanted[kept]]).tolist())))
+    return Model(float(last[-1]), dict(zip(wanted[kept].tolist(), (last[:-1] / scale[kept]).tolist())))
+
+
+def screened(sample: DataFrame, share: float, n: int, l1: float, most_features: int, least: int = 5) -> list[tuple[int, float]]:
+    """(slot, scale) of the features most strongly linked to the label, counted by Spark over the sample."""
 
+    def count(batches):
+        sums = np.zeros((4, SLOTS))
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                slots, counts = counted(distinct_words(t))
+                c = np.array(counts, dtype=np.float64)
+                sums[:, slots] += (np.ones(len(c)), c, c * c, c * y)
+        seen = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *[pa.array(s[seen]) for s in sums]], names=["slot", "n", "x", "xx", "xy"])
+
+    sums = map_batches(sample, count, "slot int, n double, x double, xx double, xy double").groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")])
+    scale = F.sqrt(F.col("xx") / n)
+    link = F.abs(F.col("xy") - F.col("x") * share) / n / scale
+    best = sums.where(F.col("n") >= least).select("slot", scale.alias("scale"), link.alias("link")).where(F.col("link") > l1)
+    return sorted((r["slot"], r["scale"]) for r in best.orderBy(F.desc("link"), "slot").limit(most_features).collect())
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", identifier: str = "doc_id", toxic: str = "toxic", per_class: int = 6000, terms=IDENTITY_TERMS, **options) -> Model:
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", identifier: str = "doc_id", toxic: str = "toxic", per_class: int = 6000, terms=IDENTITY_TERMS, l1: float = 0.01, most_features: int = 1024, **options) -> Model:
     """Fit on documents joined with their labels, at most ``per_class`` documents of either label."""
     marks = labels.where(F.col(toxic).isNotNull() & F.col(identifier).isNotNull()).groupBy(F.col(identifier).cast("bigint").alias("id")).agg((F.avg(toxic) >= 0.5).cast("int").alias("y"))
     drawn = marks.withColumn("h", F.xxhash64("id"))
@@ -178,27 +193,31 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", identifier: st
         cuts.append((F.col("y") == y) & (F.col("h") <= (last if last is not None else -(2**63))))
     # 2 * per_class identifiers at most, whatever the size of the tables
     picked = F.broadcast(drawn.where(cuts[0] | cuts[1]).select("id", "y"))
-    sample = docs.select(F.col(identifier).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(picked, "id").select("text", "y")
-    change = swaps(terms)
+    sample = docs.select(F.col(identifier).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(picked, "id")
+    sample = materialise(sample.repartition(8, "id").select("text", "y", "id"))
+    n, share = sample.agg(F.count(F.lit(1)), F.avg("y")).first()
+    wanted = screened(sample, share, n, l1, most_features) if n else []
+    slots, change = {s for s, _ in wanted}, swaps(terms)
 
     def extract(batches):
         for batch in batches:
-            out = {"y": [], "s": [], "c": [], "s2": [], "c2": []}
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out = {"id": [], "y": [], "swapped": [], "s": [], "c": [], "s2": [], "c2": []}
+            for t, y, i in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = distinct_words(t)
-                s, c = counted(words)
                 other = {change.get(w, w) for w in words}
-                s2, c2 = counted(other) if other != words else ([], [])
-                for k, v in zip(out, (y, s, c, s2, c2)):
+                lists = []
+                for found in (words, other if other != words else ()):
+                    kept = [(s, c) for s, c in zip(*counted(found)) if s in slots]
+                    lists += [[s for s, _ in kept], [c for _, c in kept]]
+                for k, v in zip(out, (i, y, other != words, *lists)):
                     out[k].append(v)
-            kinds = [pa.int32(), *[pa.list_(pa.int32())] * 4]
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.list_(pa.int32())] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    lists = map_batches(sample, extract, "y int, s array<int>, c array<int>, s2 array<int>, c2 array<int>").toArrow()
-    columns = [lists.column(i).to_pylist() for i in range(5)]
-    rows = sorted(zip(columns[0], columns[1], columns[2]), key=lambda r: (r[0], r[1]))
-    pairs = sorted((s, c, s2, c2) for s, c, s2, c2 in zip(*columns[1:]) if s2)
-    return fit(rows, pairs, **options)
+    lists = map_batches(sample, extract, "id long, y int, swapped boolean, s array<int>, c array<int>, s2 array<int>, c2 array<int>").toArrow().sort_by("id").to_pydict()
+    rows = list(zip(lists["s"], lists["c"]))
+    pairs = [p for p, swapped in zip(zip(lists["s"], lists["c"], lists["s2"], lists["c2"]), lists["swapped"]) if swapped]
+    return fit(np.array(lists["y"], dtype=np.float64), rows, pairs, [s for s, _ in wanted], np.array([v for _, v in wanted]), l1=l1, **options)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", identifier: str = "doc_id") -> DataFrame:

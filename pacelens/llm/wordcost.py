@@ -45,7 +45,7 @@ class WordCosts:
     def __init__(self, price: Callable[[np.ndarray], np.ndarray], width: int, order: int, most_words: int = 400_000, most_grams: int = 400_000):
         self.price, self.width, self.order = price, width, order
         self.most_words, self.most_grams = most_words, most_grams
-        self.words: dict[str, int] = {}
+        self.words: dict[str | bytes, int] = {}
         self.grams: dict[int, int] = {}
         self.word_rows = np.zeros((1024, width), dtype=np.float32)
         self.gram_rows = np.zeros((1024, width), dtype=np.float32)
@@ -73,15 +73,15 @@ class WordCosts:
             known.update(zip(unique[missing].tolist(), range(first, first + n)))
         return self.gram_rows[ids[inverse]]
 
-    def _learn(self, new: list[str]) -> None:
-        packed, starts = frames([w.encode("utf-8", "surrogatepass") for w in new], self.order)
+    def _learn(self, new: list) -> None:
+        packed, starts = frames([w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in new], self.order)
         first = len(self.words)
         self.word_rows = self._grown(self.word_rows, first + len(new))
         self.word_rows[first : first + len(new)] = np.add.reduceat(self._gram_costs(packed), starts, axis=0)
         self.words.update(zip(new, range(first, first + len(new))))
 
-    def totals(self, texts: list[list[str]]) -> np.ndarray:
-        """Summed cost rows of each list of words."""
+    def totals(self, texts: list[list]) -> np.ndarray:
+        """Summed cost rows of each list of words (str, or bytes without a space)."""
         out = np.zeros((len(texts), self.width))
         distinct = set(chain.from_iterable(texts))
         if len(self.words) + len(distinct) > self.most_words:
