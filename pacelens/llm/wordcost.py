@@ -40,10 +40,10 @@ def frames(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordCosts:
-    """Rows of costs by word; ``price`` gives the cost rows of unique packed grams."""
+    """Rows of costs by word; ``price`` gives the cost rows of unique packed grams, ``finish`` may rework a word's summed row."""
 
-    def __init__(self, price: Callable[[np.ndarray], np.ndarray], width: int, order: int, most_words: int = 400_000, most_grams: int = 400_000):
-        self.price, self.width, self.order = price, width, order
+    def __init__(self, price: Callable[[np.ndarray], np.ndarray], width: int, order: int, most_words: int = 400_000, most_grams: int = 400_000, finish: Callable[[np.ndarray], np.ndarray] | None = None):
+        self.price, self.width, self.order, self.finish = price, width, order, finish
         self.most_words, self.most_grams = most_words, most_grams
         self.words: dict[str | bytes, int] = {}
         self.grams: dict[int, int] = {}
@@ -77,7 +77,8 @@ class WordCosts:
         packed, starts = frames([w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in new], self.order)
         first = len(self.words)
         self.word_rows = self._grown(self.word_rows, first + len(new))
-        self.word_rows[first : first + len(new)] = np.add.reduceat(self._gram_costs(packed), starts, axis=0)
+        rows = np.add.reduceat(self._gram_costs(packed), starts, axis=0)
+        self.word_rows[first : first + len(new)] = rows if self.finish is None else self.finish(rows)
         self.words.update(zip(new, range(first, first + len(new))))
 
     def totals(self, texts: list[list]) -> np.ndarray:
