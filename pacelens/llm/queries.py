@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacelens.llm import bpe, htmltext, langid, mix, near_dup, quality, toxicity
+from pacelens.llm import bpe, htmltext, interpolation, langid, mix, near_dup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix.run,
     "op2_bpe_tokens": bpe.run,
     "op3_toxicity": toxicity.run,
+    "op5_lm_score": interpolation.run,
     "op6_quality_rules": quality.run,
     "op7_language_id": langid.run,
     "op9_main_text": htmltext.run,
