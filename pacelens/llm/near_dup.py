@@ -13,12 +13,13 @@ accepts a pair iff L / (n_a + n_b - L) reaches the threshold.  Accepted pairs ar
 links, and the connected components of the links are the classes.
 
 Scale: exact copies are one node from the start, keyed by a 128-bit text hash.  A
-bucket of at most ``SMALL`` nodes tests all its pairs.  A larger one is dealt into
-salted parts of about ``PART`` nodes; each node is tested against its neighbour by
-length in its part and against the bucket's first node.  Where a larger bucket is
-left with several classes, its nodes are re-bucketed by (bucket, second sketch
-value) and tested again, so a class is not lost in a crowd that shares a passage,
-and no bucket emits the square of its size.
+bucket of at most ``SMALL`` nodes tests all its pairs; in a larger one each node is
+tested against the bucket's first node.  Larger buckets that are left with several
+classes are dealt into salted parts of about ``PART`` nodes, where each node is
+tested against its neighbour by length, and their nodes are re-bucketed by (bucket,
+second sketch value) and tested again, pairs of one class left out.  So a class is
+not lost in a crowd that shares a passage, and no bucket emits the square of its
+size.
 
 Defined cases: words are runs of letters and digits, lower-cased (a text without
 any is split at white space); a text of fewer than five words is one shingle; null
@@ -160,25 +161,27 @@ def sketched(docs: DataFrame, text: str = "text", identifier: str = "doc_id") ->
     return map_batches(rows, run_batches, "id long, key binary, n int, sketches array<long>")
 
 
-def similar_lengths(n: str, m: str) -> F.Column:
-    return F.least(F.col(n), F.col(m)) >= LEAST * F.greatest(F.col(n), F.col(m))
+def candidates(buckets: DataFrame, chained: bool) -> tuple[DataFrame, DataFrame]:
+    """(pairs to test, members of buckets too large to test all pairs) of (bucket, key, n, root) rows.
 
-
-def candidates(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs to test, members of buckets too large to test all pairs) of (bucket, key, n) rows."""
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "key")).alias("first")).where("size > 1")
+    Pairs of one root are left out.  Members of a large bucket are tested against its
+    first node, and if ``chained`` also against their neighbours by length."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("key", "n", "root")).alias("first")).where("size > 1")
     members = buckets.join(sizes, "bucket")
-    listed = members.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("m"))
-    rest = lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x["key"].alias("a"), x["n"].alias("na"), y["key"].alias("b"), y["n"].alias("nb")))
-    small = listed.select(F.explode(F.flatten(F.transform("m", rest))).alias("p")).select("p.*")
-    large = members.where(F.col("size") > SMALL).withColumn("o", F.xxhash64("key", "bucket"))
-    part = large.withColumn("part", F.pmod("o", F.ceil(F.col("size") / PART)))
-    near = Window.partitionBy("bucket", "part").orderBy("n", "o")
-    chained = part.withColumn("l", F.lag(F.struct("key", "n")).over(near))
-    chain = chained.where("l is not null").select(F.col("l.key").alias("a"), F.col("l.n").alias("na"), F.col("key").alias("b"), F.col("n").alias("nb"))
-    star = large.select(F.col("first.key").alias("a"), F.col("first.n").alias("na"), F.col("key").alias("b"), F.col("n").alias("nb"))
-    pairs = small.union(chain).union(star).where((F.col("a") != F.col("b")) & similar_lengths("na", "nb"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), large.select("bucket", "key", "n")
+    listed = members.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "n", "root"))).alias("m"))
+    rest = lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y")))
+    pairs = listed.select(F.explode(F.flatten(F.transform("m", rest))).alias("p")).select("p.x", "p.y")
+    large = members.where(F.col("size") > SMALL)
+    me = F.struct("key", "n", "root")
+    pairs = pairs.union(large.select(F.col("first").alias("x"), me.alias("y")))
+    if chained:
+        order = F.xxhash64("key", "bucket")
+        near = Window.partitionBy("bucket", "part").orderBy("n", "o")
+        part = large.withColumn("o", order).withColumn("part", F.pmod("o", F.ceil(F.col("size") / PART)))
+        pairs = pairs.union(part.select(F.lag(me).over(near).alias("x"), me.alias("y")).where("x is not null"))
+    differ = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n"))
+    pairs = pairs.where(differ).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    return pairs, large.select("bucket", "key", "n")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
@@ -213,36 +216,26 @@ def classes(docs: DataFrame, text: str = "text", identifier: str = "doc_id", lea
     rows = materialise(sketched(docs, text, identifier))
     nodes = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")).where("n > 0")
     spread = nodes.select("key", "n", F.posexplode("sketches").alias("at", "value"))
-    buckets = spread.select(F.xxhash64("at", "value").alias("bucket"), "key", "n")
-    pairs, large = candidates(buckets)
-    links = materialise(verified(materialise(pairs), docs, text, least))
+    buckets = spread.select(F.xxhash64("at", "value").alias("bucket"), "key", "n", F.col("key").alias("root"))
+    pairs, large = candidates(buckets, chained=False)
+    tested = materialise(pairs)
+    links = materialise(verified(tested, docs, text, least))
     roots = materialise(components(links))
-    # crowded buckets that are left with several classes: look again, by a second sketch value
+    # crowded buckets that are left with several classes: look again, also by a second sketch value
     rooted = large.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     crowd = materialise(rooted.join(mixed, "bucket"))
     if not crowd.isEmpty():
-        again = crowd.join(spread.select("key", "at", "value"), "key").select(F.xxhash64("bucket", "at", "value").alias("bucket"), "key", "n")
-        more, _ = candidates(again.join(again.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"), "bucket"))
-        more = more.join(pairs_seen(pairs_of(roots, more)), ["a", "b"])
-        new = materialise(verified(materialise(more), docs, text, least))
+        again = crowd.join(spread.select("key", "at", "value"), "key").select(F.xxhash64("bucket", "at", "value").alias("bucket"), "key", "n", "root")
+        more, _ = candidates(again.union(crowd.select("bucket", "key", "n", "root")), chained=True)
+        more = materialise(more.join(tested, ["a", "b"], "left_anti"))
+        new = materialise(verified(more, docs, text, least))
         if not new.isEmpty():
             roots = materialise(components(links.union(new)))
     known = rows.select("id", "key").join(roots, F.col("key") == F.col("node"), "left")
     return known.select("id", "key", F.coalesce("root", "key").alias("root"))
 
 
-def pairs_of(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with the roots of both ends."""
-    one, two = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-
-
-def pairs_seen(rooted: DataFrame) -> DataFrame:
-    """The pairs that are not yet in one class."""
-    return rooted.where("ra <> rb").select("a", "b")
-
-
 def class_ids(docs: DataFrame, text: str = "text", identifier: str = "doc_id", least: float = LEAST) -> DataFrame:
     """(identifier, class_id, class_size) of every row."""
     found = materialise(classes(docs, text, identifier, least))

@@ -31,7 +31,7 @@ def frames(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     last = np.maximum.accumulate(np.where(space, at, 0))
     depth = np.minimum(at[1:] - last[:-1], order)
     packed = a[1:].copy()
-    for j in range(1, order + 1):
+    for j in range(1, min(order, len(packed)) + 1):
         inside = depth >= j
         back = np.zeros(len(packed), dtype=np.int64)
         back[j - 1 :] = a[: len(a) - j]
