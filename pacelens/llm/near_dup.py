@@ -12,7 +12,10 @@ first-occurrence shingle sequences (longest common subsequence L, bit-parallel)
 accepts a pair iff L / (n_a + n_b - L) reaches the threshold.  Accepted pairs are
 links, and the connected components of the links are the classes.
 
-Scale: exact copies are one node from the start, keyed by a 128-bit text hash.  A
+Scale: exact copies are one class from the start, by a 128-bit text hash, and one
+node of the link graph, numbered by 64 bits of it.  Texts are read again only for
+nodes in a candidate pair; others are passed over in the scan by a bit table of
+bounded size.  A
 bucket of at most ``SMALL`` nodes tests all its pairs; in a larger one each node is
 tested against the bucket's first node.  Larger buckets that are left with several
 classes are dealt into salted parts of about ``PART`` nodes, where each node is
@@ -39,15 +42,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacelens.functions.storage import materialise
-from pacelens.llm.common import map_batches, table, text_key, text_of
+from pacelens.llm.common import Shared, map_batches, table, text_key, text_of
 from pacelens.llm.components import components
 
 SHINGLE = 5
-SKETCHES = 24
-TAKE = 4
+SKETCHES = 10
+TAKE = 2
 LEAST = 0.8
 SMALL = 16
 PART = 500
+MOST_BITS = 1 << 28  #: bound of the broadcast membership bits (32 MB)
 WORDS = re.compile(r"[^\W_]+")
 
 _draw = np.random.Generator(np.random.PCG64(20240607))
@@ -162,36 +166,66 @@ def sketched(docs: DataFrame, text: str = "text", identifier: str = "doc_id") ->
 
 
 def candidates(buckets: DataFrame, chained: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs to test, members of buckets too large to test all pairs) of (bucket, key, n, root) rows.
+    """(pairs to test, members of buckets too large to test all pairs) of (bucket, node, n, root) rows.
 
     Pairs of one root are left out.  Members of a large bucket are tested against its
     first node, and if ``chained`` also against their neighbours by length."""
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("key", "n", "root")).alias("first")).where("size > 1")
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n", "root")).alias("first")).where("size > 1")
     members = buckets.join(sizes, "bucket")
-    listed = members.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "n", "root"))).alias("m"))
+    listed = members.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "n", "root"))).alias("m"))
     rest = lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y")))
     pairs = listed.select(F.explode(F.flatten(F.transform("m", rest))).alias("p")).select("p.x", "p.y")
     large = members.where(F.col("size") > SMALL)
-    me = F.struct("key", "n", "root")
+    me = F.struct("node", "n", "root")
     pairs = pairs.union(large.select(F.col("first").alias("x"), me.alias("y")))
     if chained:
-        order = F.xxhash64("key", "bucket")
+        order = F.xxhash64("node", "bucket")
         near = Window.partitionBy("bucket", "part").orderBy("n", "o")
         part = large.withColumn("o", order).withColumn("part", F.pmod("o", F.ceil(F.col("size") / PART)))
         pairs = pairs.union(part.select(F.lag(me).over(near).alias("x"), me.alias("y")).where("x is not null"))
     differ = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n"))
-    pairs = pairs.where(differ).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    return pairs, large.select("bucket", "key", "n")
+    pairs = pairs.where(differ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return pairs, large.select("bucket", "node", "n")
+
+
+def membership(nodes: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits set at the hashes of all nodes: 16 bits a node, ``MOST_BITS`` at most (then more texts pass than needed)."""
+    size = 1 << max(16, min(MOST_BITS.bit_length() - 1, (16 * nodes.count()).bit_length()))
+
+    def pack(group: pa.Table) -> pa.Table:
+        slots = group.column("slot").to_numpy()
+        bits = np.zeros(1 << 16, dtype=bool)
+        bits[slots & 0xFFFF] = True
+        return pa.Table.from_arrays([pa.array([int(slots[0]) >> 16], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
+
+    slots = nodes.select((F.col("node").bitwiseAND(size - 1)).alias("slot")).distinct().withColumn("part", F.shiftright("slot", 16))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for row in slots.groupBy("part").applyInArrow(pack, "part long, bits binary").collect():
+        out[row["part"] << 13 : (row["part"] + 1) << 13] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out, size
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, t) of the wanted nodes.  Texts that are not wanted are left out where they are read."""
+    shared = Shared(docs.sparkSession, membership(nodes))
+
+    def keep(batches):
+        bits, size = shared.ready(lambda x: x)
+        for batch in batches:
+            slot = batch.column(0).to_numpy() & (size - 1)
+            yield batch.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+
+    near = map_batches(docs.select(F.xxhash64(text_key(text)).alias("node"), text_of(text).alias("t")), keep, "node long, t string")
+    return materialise(near.groupBy("node").agg(F.first("t").alias("t")).join(nodes, "node", "left_semi"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
-    """The pairs of text keys whose texts align; texts are fetched only for keys in a pair."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = docs.select(text_key(text).alias("key"), text_of(text).alias("t")).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
-    texts = materialise(texts)
+    """The pairs of nodes whose texts align; texts are fetched only for nodes in a pair."""
+    wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    texts = texts_of(wanted, docs, text)
     both = (
-        pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a")
-        .join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+        pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
     )
 
     def test(batches):
@@ -208,32 +242,32 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> Data
                     keep.append(aligned(x[occurrence(x) == 0], last[1], least) > 0)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(both, test, "a binary, b binary")
+    return map_batches(both, test, "a long, b long")
 
 
 def classes(docs: DataFrame, text: str = "text", identifier: str = "doc_id", least: float = LEAST) -> DataFrame:
     """(id, key, root) of every row: rows with equal roots are one class."""
     rows = materialise(sketched(docs, text, identifier))
-    nodes = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")).where("n > 0")
-    spread = nodes.select("key", "n", F.posexplode("sketches").alias("at", "value"))
-    buckets = spread.select(F.xxhash64("at", "value").alias("bucket"), "key", "n", F.col("key").alias("root"))
+    nodes = rows.groupBy(F.xxhash64("key").alias("node")).agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")).where("n > 0")
+    spread = nodes.select("node", "n", F.posexplode("sketches").alias("at", "value"))
+    buckets = spread.select(F.xxhash64("at", "value").alias("bucket"), "node", "n", F.col("node").alias("root"))
     pairs, large = candidates(buckets, chained=False)
     tested = materialise(pairs)
     links = materialise(verified(tested, docs, text, least))
     roots = materialise(components(links))
     # crowded buckets that are left with several classes: look again, also by a second sketch value
-    rooted = large.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
+    rooted = large.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     crowd = materialise(rooted.join(mixed, "bucket"))
     if not crowd.isEmpty():
-        again = crowd.join(spread.select("key", "at", "value"), "key").select(F.xxhash64("bucket", "at", "value").alias("bucket"), "key", "n", "root")
-        more, _ = candidates(again.union(crowd.select("bucket", "key", "n", "root")), chained=True)
+        again = crowd.join(spread.select("node", "at", "value"), "node").select(F.xxhash64("bucket", "at", "value").alias("bucket"), "node", "n", "root")
+        more, _ = candidates(again.union(crowd.select("bucket", "node", "n", "root")), chained=True)
         more = materialise(more.join(tested, ["a", "b"], "left_anti"))
         new = materialise(verified(more, docs, text, least))
         if not new.isEmpty():
             roots = materialise(components(links.union(new)))
-    known = rows.select("id", "key").join(roots, F.col("key") == F.col("node"), "left")
-    return known.select("id", "key", F.coalesce("root", "key").alias("root"))
+    known = rows.select("id", "key", F.xxhash64("key").alias("node")).join(roots, "node", "left")
+    return known.select("id", "key", F.coalesce(F.col("root").cast("string").cast("binary"), "key").alias("root"))
 
 
 def class_ids(docs: DataFrame, text: str = "text", identifier: str = "doc_id", least: float = LEAST) -> DataFrame:
