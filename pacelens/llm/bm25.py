@@ -204,7 +204,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
     spark = docs.sparkSession
     ship(spark)
     index = build(docs, text, identifier)
-    n, total = index.agg(F.sum("n"), F.sum("size")).first()
+    n, total = (x or 0 for x in index.agg(F.sum("n"), F.sum("size")).first())
     names = ["query_id", "null_last", "doc_id", "score"]
     lists = None
     for block in blocks_of(queries, query_text, query_id):
