@@ -1,8 +1,11 @@
 """From game archives to the two-sided ply table and the tracked player's view.
 
 Text is taken apart with JVM regular expressions and higher-order functions; no
-board is replayed.  ``plies`` keeps both colours, so clocks, opponent times,
-recaptures and castling become windows over one game.
+board is replayed.  All moves of a game stand in one record, so ``plies`` folds
+clocks, opponent times, recaptures and castling over the record's own moves and
+explodes last: no shuffle, and a record that occurs twice cannot mix with its copy.
+The frame functions (``think_times``, ...) do the same as windows, for tables whose
+plies arrive one by one.
 """
 
 from __future__ import annotations
@@ -97,41 +100,49 @@ def headers(games: DataFrame, pgn: str = "pgn") -> DataFrame:
 
 
 def main_line(pgn: Column) -> Column:
-    """Move text without side lines and without comments that carry no clock."""
+    """Move text without side lines, however deep, and without comments that carry no clock."""
     text = F.regexp_replace(F.regexp_replace(pgn, r"^(?:\s*\[[^\n]*\]\s*\n)+", ""), r"\{(?![^}]*%clk)[^}]*\}", " ")
-    for _ in range(4):  # innermost side lines first
-        text = F.regexp_replace(text, r"\((?:[^(){}]|\{[^}]*\})*\)", " ")
-    return text
+    pieces = F.regexp_extract_all(text, F.lit(r"\{[^}]*\}|[()]|[^(){}]+|[{}]"), 0)
+
+    def outside(state, piece):
+        depth = F.when(piece == "(", state["depth"] + 1).when(piece == ")", F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+        kept = (state["depth"] == 0) & ~piece.isin("(", ")")
+        return F.struct(depth.alias("depth"), F.when(kept, F.array_append(state["kept"], piece)).otherwise(state["kept"]).alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    lines = F.aggregate(pieces, start, outside, lambda state: F.array_join(state["kept"], " "))
+    return F.when(text.contains("("), lines).otherwise(text)
+
+
+def token_array(pgn: Column) -> Column:
+    """Every move's text and clock comment, in order."""
+    tokens = F.regexp_extract_all(main_line(pgn), F.lit(MOVE_TOKEN), 0)
+    after = lambda x: F.when(F.instr(x, "{") > 0, x.substr(F.instr(x, "{"), F.length(x))).otherwise("")
+    return F.transform(tokens, lambda x: F.struct(F.regexp_extract(x, rf"^({SAN})(?![\w-])", 1).alias("san"), after(x).alias("comment")))
 
 
 def move_tokens(games: DataFrame, pgn: str = "pgn") -> DataFrame:
     """One row per ply: its number, move text and clock comment."""
-    text = main_line(F.col(pgn))
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(MOVE_TOKEN), 1).alias("san"),
-        F.regexp_extract_all(text, F.lit(MOVE_TOKEN), 2).alias("comment"),
-    )
     kept = [c for c in games.columns if c != pgn]
-    return games.select(*kept, F.posexplode(zipped).alias("ply", "_m")).select(
+    return games.select(*kept, F.posexplode(token_array(F.col(pgn))).alias("ply", "_m")).select(
         *kept, "ply", F.col("_m.san").alias("move_san"), F.col("_m.comment").alias("comment")
     )
 
 
-def san_facts(moves: DataFrame, san: str = "move_san") -> DataFrame:
-    """What the move text itself says: capture, check, target, castling, promotion."""
-    s = F.col(san)
+def facts_of(s: Column) -> dict[str, Column]:
+    """What a move's text itself says: capture, check, target, castling, promotion."""
     plain = F.regexp_replace(s, "[+#]", "")
-    long = plain.isin("O-O-O", "0-0-0")
-    short = plain.isin("O-O", "0-0")
-    return moves.withColumns(
-        {
-            "is_capture": s.contains("x"),
-            "gives_check": s.rlike("[+#]"),
-            "to_square": F.nullif(F.regexp_extract(plain, r"([a-h][1-8])(?:=?[NBRQ])?$", 1), F.lit("")),
-            "castle_side": F.when(long, "queenside").when(short, "kingside"),
-            "promotion": F.nullif(F.regexp_extract(plain, r"[a-h][1-8]=?([NBRQ])$", 1), F.lit("")),
-        }
-    )
+    return {
+        "is_capture": s.contains("x"),
+        "gives_check": s.rlike("[+#]"),
+        "to_square": F.nullif(F.regexp_extract(plain, r"([a-h][1-8])(?:=?[NBRQ])?$", 1), F.lit("")),
+        "castle_side": F.when(plain.isin("O-O-O", "0-0-0"), "queenside").when(plain.isin("O-O", "0-0"), "kingside"),
+        "promotion": F.nullif(F.regexp_extract(plain, r"[a-h][1-8]=?([NBRQ])$", 1), F.lit("")),
+    }
+
+
+def san_facts(moves: DataFrame, san: str = "move_san") -> DataFrame:
+    return moves.withColumns(facts_of(F.col(san)))
 
 
 def _game_window(keys) -> Window:
@@ -191,17 +202,82 @@ def castling_state(plies: DataFrame, keys=("game_id",)) -> DataFrame:
     ).withColumn("opposite_side_castling", truthy(F.col("own_castled_side") != F.col("opp_castled_side")))
 
 
-def plies(games: DataFrame, pgn: str = "pgn") -> DataFrame:
-    """Both sides' plies of every game, from raw game text."""
-    moves = san_facts(move_tokens(headers(games, pgn), pgn))
-    sided = moves.withColumns(
-        {
-            "side": F.when(F.col("ply") % 2 == 0, "white").otherwise("black"),
-            "move_number": (F.col("ply") / 2).cast("int") + 1,
-            "clock_after": clock_seconds(F.col("comment")),
-        }
-    ).drop("comment")
-    return castling_state(recaptures(think_times(sided)))
+PLY = (
+    "struct<ply: int, move_san: string, is_capture: boolean, gives_check: boolean, to_square: string, castle_side: string, promotion: string, "
+    "side: string, move_number: int, clock_after: double, clock_before: double, opp_clock: double, think_time: double, opp_think_time_prev: double, "
+    "is_recapture: boolean, own_castled_side: string, opp_castled_side: string, opposite_side_castling: boolean, timed_index: int>"
+)
+
+
+def folded_plies(tokens: Column, base: Column, increment: Column, alone: Column) -> Column:
+    """The plies of one record as an array, each with the clocks and castling before it.
+
+    ``alone``: one player holds both sides, so both sides' timed plies are numbered together."""
+
+    def described(token, i):
+        facts = facts_of(token["san"])
+        return F.struct(
+            i.alias("ply"), token["san"].alias("move_san"), *[c.alias(n) for n, c in facts.items()],
+            F.when(i % 2 == 0, "white").otherwise("black").alias("side"), clock_seconds(token["comment"]).alias("clock_after"),
+        )
+
+    def step(state, m):
+        white = m["side"] == "white"
+        own = lambda a, b: F.when(white, state[a]).otherwise(state[b])
+        clock, think = own("wc", "bc"), own("wc", "bc") - m["clock_after"] + state["inc"]
+        own_castle, opp_castle = own("wk", "bk"), own("bk", "wk")
+        timed = m["clock_after"].isNotNull()
+        ply = F.struct(
+            m["ply"], m["move_san"], m["is_capture"], m["gives_check"], m["to_square"], m["castle_side"], m["promotion"], m["side"],
+            (m["ply"] / 2).cast("int") + 1, m["clock_after"], clock, own("bc", "wc"), think, own("bs", "ws"),
+            truthy(m["is_capture"] & (m["to_square"] == state["taken"])), own_castle, opp_castle, truthy(own_castle != opp_castle),
+            F.when(timed, F.when(alone, state["wn"] + state["bn"]).otherwise(own("wn", "bn"))),
+        ).cast(PLY)
+        put = lambda name, mine, value, when: F.when(mine & when, value).otherwise(state[name]).alias(name)
+        return F.struct(
+            put("wc", white, m["clock_after"], timed), put("bc", ~white, m["clock_after"], timed),
+            put("ws", white, think, think.isNotNull()), put("bs", ~white, think, think.isNotNull()),
+            F.when(m["is_capture"], m["to_square"]).alias("taken"),
+            put("wk", white, m["castle_side"], m["castle_side"].isNotNull()), put("bk", ~white, m["castle_side"], m["castle_side"].isNotNull()),
+            put("wn", white, state["wn"] + 1, timed), put("bn", ~white, state["bn"] + 1, timed),
+            state["inc"].alias("inc"), F.array_append(state["plies"], ply).alias("plies"),
+        )
+
+    none = lambda kind: F.lit(None).cast(kind)
+    start = F.struct(
+        base.cast("double").alias("wc"), base.cast("double").alias("bc"), none("double").alias("ws"), none("double").alias("bs"), none("string").alias("taken"),
+        none("string").alias("wk"), none("string").alias("bk"), F.lit(0).alias("wn"), F.lit(0).alias("bn"),
+        increment.cast("double").alias("inc"), F.array().cast(f"array<{PLY}>").alias("plies"),
+    )
+
+    def finish(state):
+        total = lambda p: F.when(alone, state["wn"] + state["bn"]).when(p["side"] == "white", state["wn"]).otherwise(state["bn"])
+        return F.transform(state["plies"], lambda p: p.withField("timed_total", total(p)))
+
+    return F.aggregate(F.transform(tokens, described), start, step, finish)
+
+
+def unique_games(games: DataFrame, pgn: str = "pgn") -> DataFrame:
+    """One record per game, where archives of several players hold the same game.
+
+    Records are one game if identifier, players and start agree; the game's longest
+    text stays.  This is the only step that moves records, and it moves each once."""
+    named = headers(games, pgn)
+    best = F.max(F.struct(F.length(pgn), F.struct(*[games[c] for c in games.columns]).alias("_row"))).alias("_best")
+    return named.groupBy("game_id", "white", "black", "date", "utc_time").agg(best).select("_best._row.*")
+
+
+def plies(games: DataFrame, pgn: str = "pgn", unique: bool = False) -> DataFrame:
+    """Both sides' plies of every game, from raw game text.
+
+    ``unique`` first drops the copies of games read from several players' archives.
+    ``timed_index`` and ``timed_total`` number each player's plies that carry a clock."""
+    named = headers(unique_games(games, pgn) if unique else games, pgn)
+    kept = [c for c in named.columns if c != pgn]
+    alone = F.lower("white") == F.lower("black")
+    folded = named.select(*kept, folded_plies(token_array(F.col(pgn)), F.col("base_s"), F.col("increment_s"), alone).alias("_plies"))
+    # outer: a plain explode would be given a filter that folds every record once more
+    return folded.select(*kept, F.explode_outer("_plies").alias("_p")).where("_p.ply IS NOT NULL").select(*kept, "_p.*")
 
 
 def player_view(plies_all: DataFrame, players: DataFrame) -> DataFrame:
@@ -224,7 +300,9 @@ def player_view(plies_all: DataFrame, players: DataFrame) -> DataFrame:
         )
         .drop("_name", "side", "white", "black", "white_rating", "black_rating")
     )
-    return move_index(own)
+    if "timed_index" not in own.columns:
+        return move_index(own)
+    return own.withColumnsRenamed({"timed_index": "player_move_index", "timed_total": "player_moves_total"})
 
 
 def resolve_players(games: DataFrame, players: DataFrame) -> DataFrame:

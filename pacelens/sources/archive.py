@@ -13,7 +13,7 @@ from pacelens.functions.nulls import nan_to_null
 GAME_SCHEMA = "struct<time_class: string, rated: boolean, rules: string, pgn: string, url: string, end_time: bigint>"
 ARCHIVE_SCHEMA = f"games array<{GAME_SCHEMA}>"
 LIVE_CLASSES = ("bullet", "blitz", "rapid")
-GAME_START = "[Event "
+GAME_START = '[Event "'
 
 
 def read_archives(spark: SparkSession, path: str, schema: str = ARCHIVE_SCHEMA) -> DataFrame:
@@ -30,13 +30,17 @@ def _right_kind(time_class: str, rated_only: bool) -> Column:
     return ok & (F.coalesce(F.col("pgn"), F.lit("")) != "")
 
 
-def eligible_games(games: DataFrame, time_class: str = "bullet", rated_only: bool = True, max_games: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+def eligible_games(games: DataFrame, time_class: str = "bullet", rated_only: bool = True, max_games: int | None = None, order: Sequence[str] = (), keys: Sequence[str] = ("player",)) -> DataFrame:
     """Live games of one time class under standard rules that carry clock tags.
 
-    ``max_games`` keeps the first games in ``order``.
+    ``max_games`` keeps each player's first games in ``order`` (``keys`` that are no
+    columns are passed over; with none left the whole table is one player's archive).
     """
     kept = games.where(_right_kind(time_class, rated_only) & F.col("pgn").contains("[%clk"))
-    return kept if max_games is None else kept.orderBy(*order).limit(max_games)
+    if max_games is None:
+        return kept
+    drawn = Window.partitionBy(*[k for k in keys if k in games.columns]).orderBy(*order)
+    return kept.withColumn("_rank", F.row_number().over(drawn)).where(F.col("_rank") <= max_games).drop("_rank")
 
 
 def clockless_count(games: DataFrame, time_class: str = "bullet", rated_only: bool = True, keys: Sequence[str] = ()) -> DataFrame:
@@ -61,12 +65,14 @@ def recent_months(games: DataFrame, n: int, month: str = "month", keys: Sequence
 def read_games(spark: SparkSession, path: str) -> DataFrame:
     """Game texts from files of concatenated games, split at each game's first header.
 
-    The separator keeps the scan splittable; bytes that are no text become
-    replacement characters.  Records without players or moves are marked, not lost.
+    The separator is the start of a line, whether lines end in LF or CRLF, so the scan
+    stays splittable; bytes that are no text become replacement characters.  Records
+    without players or moves are marked, not lost.
     """
-    raw = spark.read.option("lineSep", f"\n\n{GAME_START}").text(path)
-    text = F.when(F.col("value").startswith(GAME_START), F.col("value")).otherwise(F.concat(F.lit(GAME_START), "value"))
-    return mark_malformed(raw.select(F.rtrim(F.regexp_replace(text, "\r", "")).alias("pgn")).where(F.trim("pgn") != GAME_START.strip()))
+    raw = spark.read.option("lineSep", f"\n{GAME_START}").text(path)
+    clean = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r", "")
+    text = F.when(clean.startswith(GAME_START), clean).otherwise(F.concat(F.lit(GAME_START), clean))
+    return mark_malformed(raw.where(F.trim(clean) != "").select(F.rtrim(F.regexp_replace(text, r"\s+$", "")).alias("pgn")))
 
 
 def mark_malformed(games: DataFrame, pgn: str = "pgn") -> DataFrame:
