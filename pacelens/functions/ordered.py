@@ -37,6 +37,19 @@ def hash_blocks(df: DataFrame, hash_column: str, bits: int = 10) -> DataFrame:
     return df.withColumn(BLOCK, F.shiftright(F.col(hash_column), 32 - bits).cast("int"))
 
 
+def sized_slices(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], rows_per_slice: int) -> DataFrame:
+    """Lay rows out by (keys, slice), a key having as many slices as its size asks for.
+
+    A small key is one slice; a key with most of the rows is spread over tasks of
+    ``rows_per_slice`` rows, whatever its share."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_key_rows"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = df.join(counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_key_rows"), same).drop(*[f"_k_{k}" for k in keys])
+    parts = F.ceil(F.col("_key_rows") / F.lit(rows_per_slice))
+    cut = joined.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), parts)).drop("_key_rows")
+    return cut.repartition(*keys, "_slice").drop("_slice")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pacelens.functions.draws import SPAN, normal, uniform, xx
 from pacelens.functions.nulls import ratio
+from pacelens.functions.ordered import ordered
 from pacelens.functions.stats import auc, hash_rank, join_per_key, quantiles
 from pacelens.functions.storage import materialise
 from pacelens.operators import logistic
@@ -238,8 +239,10 @@ def scenario_auc(labelled: DataFrame, columns: Sequence[str], keys: Sequence[str
     return auc(long, [*keys, "score"], "altered", "value")
 
 
-def held_out_games(plies: DataFrame, n_games: int, seed: int = 0, order: Column | None = None) -> DataFrame:
-    """Plies of a seeded sample of each player's games; each task forwards at most that many."""
+def held_out_games(plies: DataFrame, n_games: int | None, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """Plies of a seeded sample of each player's games (None: all); each task forwards at most that many."""
+    if n_games is None:
+        return plies
     hashed = xx("game_id", seed=seed) if order is None else order
     games = plies.select(*GAME).distinct().withColumn("_hash", hashed)
     drawn = Window.partitionBy("player").orderBy("_hash", "game_id")
@@ -323,36 +326,46 @@ def combination(labelled: DataFrame, first: Sequence[str], second: Sequence[str]
     return auc(long, ["player", "model"], "altered", "p")
 
 
-def bootstrap_evidence(scores: DataFrame, sizes: Sequence[int] = BOOTSTRAP_SIZES, b: int = BOOTSTRAP_RESAMPLES, n_games: int = 40, pick: Callable | None = None, keys: Sequence[str] = ("player",), seed: int = 0) -> DataFrame:
+def bootstrap_evidence(scores: DataFrame, sizes: Sequence[int] = BOOTSTRAP_SIZES, b: int = BOOTSTRAP_RESAMPLES, listed: int = 10_000, pick: Callable | None = None, keys: Sequence[str] = ("player",), seed: int = 0) -> DataFrame:
     """Mean score of N resampled games, ``b`` times per player, label and N.
 
-    ``scores`` has ``game_id``, ``altered`` and ``score``.  At most ``n_games`` games
-    per player and label enter, the sampling parameter of the experiment, so the
-    array a resample indexes into is that small.
+    ``scores`` has ``game_id``, ``altered`` and ``score``; all games of a player and
+    label are drawn from.  Up to ``listed`` games are indexed as a list inside the
+    task; the draws of larger players are joined with numbered games instead.
     """
     pick = pick or (lambda resample, draw, n, altered: xx(*keys, resample, draw, n, altered, seed=seed))
     by = [*keys, "altered"]
-    drawn = Window.partitionBy(*by).orderBy("game_id")
-    capped = scores.withColumn("_rank", F.row_number().over(drawn)).where(F.col("_rank") <= n_games)
-    lists = capped.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("game_id", "score"))), lambda r: r["score"]).alias("_scores")
-    )
-    sized = lists.withColumn("n_games", F.explode(F.array([F.lit(n) for n in sizes]))).where(F.size("_scores") >= F.col("n_games"))
     label = F.col("altered").cast("int")
+    counts = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("_games"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]
+    sized = scores.select(*by, "game_id", "score").join(counts.select(*[F.col(k).alias(f"_k_{k}") for k in by], "_games"), same).select(*by, "game_id", "score", "_games")
+    resamples = F.explode(F.array([F.lit(n) for n in sizes]))
+
+    def drawn(resample: Column, j: Column) -> Column:
+        return (F.floor(pick(resample, j, F.col("n_games"), label) * F.col("_games") / F.lit(float(SPAN))) + 1).cast("int")
 
     def mean_of(resample: Column) -> Column:
-        total = F.aggregate(
-            F.sequence(F.lit(1), F.col("n_games")),
-            F.lit(0.0),
-            lambda s, j: s + F.element_at(
-                "_scores", (F.floor(pick(resample, j, F.col("n_games"), label) * F.size("_scores") / F.lit(float(SPAN))) + 1).cast("int")
-            ),
-        )
+        total = F.aggregate(F.sequence(F.lit(1), F.col("n_games")), F.lit(0.0), lambda s, j: s + F.element_at("_scores", drawn(resample, j)))
         return total / F.col("n_games")
 
-    return sized.select(
-        *by, "n_games", F.explode(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), mean_of)).alias("evidence")
+    lists = sized.where(F.col("_games") <= listed).groupBy(*by, "_games").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("game_id", "score"))), lambda r: r["score"]).alias("_scores")
     )
+    small = (
+        lists.withColumn("n_games", resamples).where(F.col("_games") >= F.col("n_games"))
+        .select(*by, "n_games", F.explode(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), mean_of)).alias("evidence"))
+    )
+    large = counts.where(F.col("_games") > listed)
+    if large.isEmpty():
+        return small
+    numbered = ordered(sized.where(F.col("_games") > listed).drop("_games"), by, ["game_id"], number="_at")
+    asked = (
+        large.withColumn("n_games", resamples).where(F.col("_games") >= F.col("n_games"))
+        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("n_games"))))
+        .withColumn("_at", drawn(F.col("_b"), F.col("_j")))
+    )
+    found = asked.join(numbered, [*by, "_at"])
+    return small.union(found.groupBy(*by, "n_games", "_b").agg((F.sum("score") / F.col("n_games")).alias("evidence")).select(*by, "n_games", "evidence"))
 
 
 def bootstrap_auc(scores: DataFrame, sizes: Sequence[int] = BOOTSTRAP_SIZES, b: int = BOOTSTRAP_RESAMPLES, keys: Sequence[str] = ("player",), **options) -> DataFrame:
@@ -392,7 +405,7 @@ def wins(aucs: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
-def roster(plies: DataFrame, n_games: int = 20, seed: int = 0) -> DataFrame:
+def roster(plies: DataFrame, n_games: int | None = None, seed: int = 0) -> DataFrame:
     """AUC of every score in every flat and selective scenario, all players in one job.
 
     ``plies`` are clean held-out plies with ``pred_log_think_time``.

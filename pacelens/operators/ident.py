@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pacelens.functions.draws import mix, xx
+from pacelens.functions.draws import mix, unit, xx
 from pacelens.functions.nulls import ratio
 from pacelens.functions.ordered import ordered
 from pacelens.functions.stats import bin_of, guarded_corr, hash_rank, join_per_key, quantile_edges
@@ -473,24 +473,27 @@ def confidence_trace(scores: DataFrame, games: DataFrame, min_games: int = 25, o
 
 
 def sample_pairs(players: DataFrame, n_pairs: int = 40, seed: int = 0) -> DataFrame:
-    """``n_pairs`` distinct player pairs drawn in hash order.
+    """``n_pairs`` distinct player pairs, every pair of players as likely as any other.
 
-    Pair numbers of the triangle over at most ``2 * n_pairs`` drawn players are
-    drawn and unranked by arithmetic, so the pairs themselves are never enumerated
-    by a join.
+    All players are numbered; pair numbers are drawn from the whole triangle of pairs
+    and unranked by arithmetic, so pairs are enumerated only where there are hardly
+    more of them than are asked for.
     """
     spark = players.sparkSession
-    limit = 2 * n_pairs
-    drawn = players.select("player").distinct().orderBy(xx("player", seed=seed), "player").limit(limit)
-    indexed = drawn.agg(F.array_sort(F.collect_list("player")).alias("_all")).select(F.posexplode("_all").alias("i", "player"))
-    size = scalar(drawn, F.count(F.lit(1)))
+    numbered = ordered(players.select("player").distinct(), [], ["player"], number="_at")
+    n = numbered.count()
+    total = n * (n - 1) // 2
+    if total <= 4 * n_pairs:
+        numbers = spark.range(total).select(F.col("id").alias("t"), mix("id", seed).alias("o"))
+    else:  # distinct draws; of 4 n draws from more than 4 n numbers far more than n differ
+        draws = spark.range(4 * n_pairs).select(F.col("id").alias("o"), F.floor(unit(xx("id", seed=seed)) * F.lit(float(total))).cast("bigint").alias("t"))
+        numbers = draws.groupBy("t").agg(F.min("o").alias("o"))
+    picked = numbers.orderBy("o", "t").limit(n_pairs)
     # Pair number t belongs to the pair (i, j) with i < j and t = j * (j - 1) / 2 + i.
     j = F.floor((1 + F.sqrt(1 + 8 * F.col("t").cast("double"))) / 2)
-    numbers = spark.range(limit * (limit - 1) // 2).withColumnRenamed("id", "t").where(F.col("t") < size * (size - 1) / 2)
-    picked = numbers.orderBy(mix("t", seed), "t").limit(n_pairs)
-    pairs = picked.select(F.col("t").alias("pair"), (F.col("t") - j * (j - 1) / 2).cast("int").alias("i"), j.cast("int").alias("j"))
-    a = indexed.select("i", F.col("player").alias("a"))
-    b = indexed.select(F.col("i").alias("j"), F.col("player").alias("b"))
+    pairs = picked.select(F.col("t").alias("pair"), (F.col("t") - j * (j - 1) / 2).cast("bigint").alias("i"), j.cast("bigint").alias("j"))
+    a = numbered.select((F.col("_at") - 1).alias("i"), F.col("player").alias("a"))
+    b = numbered.select((F.col("_at") - 1).alias("j"), F.col("player").alias("b"))
     return pairs.join(a, "i").join(b, "j").select("pair", "a", "b")
 
 

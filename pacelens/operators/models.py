@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pacelens.functions.draws import xx
 from pacelens.functions.nulls import ratio
+from pacelens.functions.ordered import sized_slices
 from pacelens.functions.stats import guarded_corr, join_per_key, qcut, quantiles
 
 # Feature names, category codes and guards of the two models.
@@ -49,6 +49,8 @@ MIN_ROWS = 500
 LIVE_WINDOW_DAYS = 270
 TEST_SHARE = 0.15
 
+HELD_BYTES = 64_000_000  #: matrices a task holds before it sends partial sums
+
 
 def model_rows(features: DataFrame, needed: Sequence[str] = ("think_time", "log_think_time", "player_rating")) -> DataFrame:
     """Rows a model may use: not suspect and with every needed column."""
@@ -136,17 +138,27 @@ def _moment_schema(keys: T.StructType) -> T.StructType:
 
 
 def _add_moments(keys: list[str], columns: list[str], target: str, weight: str | None):
+    most = max(1, HELD_BYTES // (8 * (len(columns) + 2) ** 2))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
+
+        def sums() -> pd.DataFrame:
+            out = pd.DataFrame(list(held), columns=keys)
+            out["moments"] = [m.ravel() for m in held.values()]
+            held.clear()
+            return out
+
         for batch in batches:
             for key, rows in batch.groupby(keys, sort=False, dropna=False):
                 z = np.column_stack([np.ones(len(rows)), rows[columns].to_numpy(float), rows[target].to_numpy(float)])
                 w = rows[weight].to_numpy(float)[:, None] if weight else 1.0
                 m = (z * w).T @ z
                 held[key] = held[key] + m if key in held else m
-        out = pd.DataFrame(list(held), columns=keys) if held else pd.DataFrame({k: [] for k in keys})
-        out["moments"] = [m.ravel() for m in held.values()]
-        yield out
+                if len(held) >= most:  # partial sums of a key may come more than once; they are added up later
+                    yield sums()
+        if held:
+            yield sums()
 
     return run
 
@@ -180,18 +192,18 @@ def fit_ridge(
     weight: str | None = None,
     penalty: float = 1.0,
     keys: Sequence[str] = ("player",),
-    slices: int = 32,
+    rows_per_slice: int = 100_000,
     spread_by: str = "game_id",
 ) -> DataFrame:
     """Ridge regression on standardised columns, one per key, all keys in one job.
 
-    Rows go to (key, slice) partitions; a task holds one small matrix per key it
-    meets.  At most ``slices`` matrices per key and partition are combined.
+    Rows go to (key, slice) partitions of about ``rows_per_slice`` rows of a key; a
+    task holds a bounded number of small matrices, and only these are combined.
     """
     keys, columns = list(keys), list(columns)
     needed = [*keys, *columns, target, *([weight] if weight else [])]
     rows = df.na.drop(subset=[target])
-    sliced = rows.withColumn("_slice", F.pmod(xx(spread_by), F.lit(slices))).repartition(*keys, "_slice").select(*needed)
+    sliced = sized_slices(rows.select(*dict.fromkeys([*needed, spread_by])), keys, [spread_by], rows_per_slice).select(*needed)
     key_types = T.StructType([df.schema[k] for k in keys])
     partial = sliced.mapInPandas(_add_moments(keys, columns, target, weight), _moment_schema(key_types))
     result = T.StructType(

@@ -259,8 +259,8 @@ def pick(resample, j, n, altered):
 
 
 BOOT_SQL = f"""{P}, g AS (SELECT player, game_id, sum(think_time) AS score, game_id % 3 = 0 AS altered FROM pool GROUP BY player, game_id),
-l AS (SELECT player, altered, list(score ORDER BY game_id)[1:40] AS s FROM g GROUP BY player, altered),
-z AS (SELECT l.*, n, b FROM l, (VALUES (1), (3), (5), (10), (20)) v(n), range(100) r(b) WHERE len(s) >= n),
+l AS (SELECT player, altered, list(score ORDER BY game_id) AS s FROM g GROUP BY player, altered),
+z AS (SELECT l.*, n, b FROM l, (VALUES (1), (3), (5), (10), (20)) v(n), range(400) r(b) WHERE len(s) >= n),
 d AS (SELECT player, altered, n, b, s, unnest(range(1, n + 1)) AS j FROM z),
 e AS (SELECT player, altered, n AS n_games, b, sum(s[1 + CAST(floor({PICK_SQL} * len(s) / 4294967296.0::DOUBLE) AS BIGINT)]) / n AS evidence FROM d GROUP BY ALL)"""
 BOOT_SQL = BOOT_SQL.replace("GROUP BY ALL)", "GROUP BY player, altered, n, b)")
@@ -271,9 +271,9 @@ def game_sums(t):
     return g.withColumn("altered", F.col("game_id") % 3 == 0)
 
 
-@query("bootstrap_auc", "A13", "player:l n_games:l auc:d", f"{BOOT_SQL} SELECT * FROM ({auc_sql('player, n_games', 'e', 'evidence')}) WHERE auc IS NOT NULL")
+@query("bootstrap_auc", "A13", "player:l n_games:l auc:e", f"{BOOT_SQL} SELECT * FROM ({auc_sql('player, n_games', 'e', 'evidence')}) WHERE auc IS NOT NULL")
 def bootstrap_auc(t):
-    return anomaly.bootstrap_auc(game_sums(t), b=100, pick=pick)
+    return anomaly.bootstrap_auc(game_sums(t), pick=pick)
 
 
 QUARTS = "quantile_cont(auc, 0.25) AS q25, quantile_cont(auc, 0.5) AS median, quantile_cont(auc, 0.75) AS q75, min(auc) AS min, max(auc) AS max, count(*) AS n"
@@ -284,7 +284,7 @@ QUARTS = "quantile_cont(auc, 0.25) AS q25, quantile_cont(auc, 0.5) AS median, qu
     f"{BOOT_SQL}, a AS (SELECT * FROM ({auc_sql('player, n_games', 'e', 'evidence')}) WHERE auc IS NOT NULL) SELECT n_games, {QUARTS} FROM a GROUP BY n_games",
 )
 def bootstrap_curve(t):
-    return anomaly.summary(anomaly.bootstrap_auc(game_sums(t), b=100, pick=pick), ["n_games"])
+    return anomaly.summary(anomaly.bootstrap_auc(game_sums(t), pick=pick), ["n_games"])
 
 
 @query(

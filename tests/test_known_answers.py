@@ -172,3 +172,22 @@ def test_moved_half_even(rows):
     df = rows([(0.5,), (1.5,), (2.5,)], "x double")
     assert [r.s for r in df.select(F.bround("x", 0).alias("s")).collect()] == [0.0, 2.0, 2.0]
     assert math.isclose(games.FRESH_SESSION_GAP_MINUTES, 1440.0)
+
+
+def test_side_lines_of_any_depth(spark):
+    for depth in (1, 4, 6, 9):
+        line = "".join(f"({k}. d4 {{[%clk 0:00:0{k}]}} " for k in range(1, depth + 1)) + ")" * depth
+        pgn = f'[White "a"]\n[Black "b"]\n[TimeControl "60"]\n\n1. e4 {{[%clk 0:00:58]}} {line} e5 {{(well) [%clk 0:00:57]}} 2. Nf3 (2. f4 1-0'
+        out = parse.plies(spark.createDataFrame([(pgn,)], "pgn string")).orderBy("ply").collect()
+        assert [(r.move_san, r.side, r.clock_after) for r in out] == [("e4", "white", 58.0), ("e5", "black", 57.0), ("Nf3", "white", None)]
+
+
+def test_a_game_read_twice_counts_once(spark):
+    pgn = '[Link "http://x/live/7"]\n[White "a"]\n[Black "b"]\n[TimeControl "60+1"]\n\n1. e4 {[%clk 0:00:59]} e5 {[%clk 0:01:00]} 2. Nf3 {[%clk 0:00:52]} *'
+    twice = spark.createDataFrame([(pgn, "a"), (pgn, "b")], "pgn string, archive string")
+    both = parse.plies(twice)
+    assert sorted(r.think_time for r in both.collect()) == [1.0, 1.0, 2.0, 2.0, 8.0, 8.0]
+    one = parse.plies(twice, unique=True)
+    assert [(r.ply, r.think_time, r.timed_index, r.timed_total) for r in one.orderBy("ply").collect()] == [(0, 2.0, 0, 2), (1, 1.0, 0, 1), (2, 8.0, 1, 2)]
+    plan = parse.plies(twice)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan

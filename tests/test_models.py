@@ -99,3 +99,45 @@ def test_detector_tells_shifted_games_apart(spark):
     df = spark.createDataFrame(rows, "player string, game_id int, altered boolean, good double, noise double")
     out = anomaly.detector(anomaly.detector_folds(df), {"rich": ("good", "noise"), "thin": ("noise",)}).collect()
     assert all(r.auc_rich > 0.9 and r.auc_rich > r.auc_thin for r in out)
+
+
+def test_bootstrap_draws_from_all_games_either_way(spark):
+    from pacelens.operators import anomaly
+
+    rows = [(p, g, g % 2 == 0, float(g * g % 101)) for p, n in (("a", 120), ("b", 30)) for g in range(n)]
+    scores = spark.createDataFrame(rows, "player string, game_id int, altered boolean, score double")
+    lists = anomaly.bootstrap_evidence(scores, (1, 3), b=50)
+    joined = anomaly.bootstrap_evidence(scores, (1, 3), b=50, listed=20)
+    plain = lambda df: sorted((r.player, r.altered, r.n_games, round(r.evidence, 9)) for r in df.collect())
+    assert plain(lists) == plain(joined) and len(plain(lists)) == 2 * 2 * 2 * 50
+    drawn = {r.evidence for r in lists.where("player = 'a' AND n_games = 1 AND altered").collect()}
+    late = {float(g * g % 101) for g in range(80, 120, 2)} - {float(g * g % 101) for g in range(0, 80, 2)}
+    assert drawn & late or not late
+
+
+def test_pairs_are_drawn_from_all_players(spark):
+    from pacelens.operators import ident
+
+    players = spark.range(1000).selectExpr("concat('p', id) AS player")
+    pairs = ident.sample_pairs(players, 40).collect()
+    assert len({(r.a, r.b) for r in pairs}) == 40 and all(r.a < r.b for r in pairs)
+    assert len({x for r in pairs for x in (r.a, r.b)}) > 65
+    few = ident.sample_pairs(spark.range(4).selectExpr("concat('p', id) AS player"), 40).collect()
+    assert len(few) == 6
+
+
+def test_many_groups_under_a_bounded_task(spark, monkeypatch):
+    from pacelens.operators import models
+
+    monkeypatch.setattr(models, "HELD_BYTES", 8 * 9 * 5)
+    frame = spark.range(6000).selectExpr("concat('p', id % 300) AS player", "id AS game_id", "CAST(id % 17 AS DOUBLE) AS x", "2.0 * (id % 17) + 1 AS y")
+    fitted = models.fit_ridge(frame, ["x"], "y", penalty=0.0, rows_per_slice=7).collect()
+    assert len(fitted) == 300 and all(abs(r.coef[0] - 2) < 1e-6 and r.n_rows == 20 for r in fitted)
+
+
+def test_separable_groups_settle(spark):
+    from pacelens.operators import logistic
+
+    frame = spark.range(200).selectExpr("'a' AS player", "id AS game_id", "CAST(id AS DOUBLE) / 100 AS x", "id >= 100 AS y")
+    fitted = logistic.fit_logistic(frame, ["player"], ["x"], "y", penalty=1e-4).first()
+    assert fitted.moved < logistic.SETTLED

@@ -24,6 +24,22 @@ def test_game_scan_splits_and_marks_broken_records(spark, tmp_path):
     assert parse.plies(archive.read_games(spark, str(tmp_path)).where("malformed IS NULL")).count() == 4
 
 
+def test_game_scan_reads_both_line_ends(spark, tmp_path):
+    body = "\n\n".join(game(n) for n in ("Ann", "Bo", "Cy")) + "\n"
+    for name, text in (("lf", body), ("crlf", body.replace("\n", "\r\n"))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.pgn").write_bytes(text.encode())
+    one, two = (sorted(r.pgn for r in archive.read_games(spark, str(tmp_path / n)).collect()) for n in ("lf", "crlf"))
+    assert len(one) == 3 and one == two
+
+
+def test_game_limit_holds_per_player(spark):
+    rows = [(p, k, "bullet", True, "chess", game(p)) for p in ("a", "b") for k in range(4)]
+    games = spark.createDataFrame(rows, "player string, position int, time_class string, rated boolean, rules string, pgn string")
+    kept = archive.eligible_games(games, max_games=2, order=("position",)).collect()
+    assert sorted((r.player, r.position) for r in kept) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+
+
 def test_archives_and_eligibility(spark, tmp_path):
     games = [
         {"time_class": "bullet", "rated": True, "rules": "chess", "pgn": game("Ann")},
