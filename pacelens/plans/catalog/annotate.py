@@ -283,15 +283,15 @@ def candidate_spread(t):
 @query(
     "annotated_plies", "E6", "l_orderkey:l l_linenumber:l fen_before:s eval_before:d best_move:s",
     f"""WITH {FINAL_SQL} SELECT l_orderkey, l_linenumber, c.fen_before, cps[1] AS eval_before, moves[1] AS best_move
-    FROM lineitem JOIN c ON c.fen_before = {FEN} WHERE l_linenumber <= 4""",
+    FROM lineitem JOIN c ON c.fen_before = {FEN}""",
 )
 def annotated_plies(t):
-    plies = t.lineitem.where("l_linenumber <= 4").select("l_orderkey", "l_linenumber", F.expr(FEN).alias("fen_before"))
+    plies = t.lineitem.select("l_orderkey", "l_linenumber", F.expr(FEN).alias("fen_before"))
     return engine.join_annotations(plies, annotate.candidates(annotate.latest_lines(search_log(t))))
 
 
 def booked(t):
-    """Plies with a position name and a move; parts of the first sizes form the book."""
+    """Plies with a position name and a move; the parts form the book."""
     plies = t.plies().select("player", "game_id", "ply", "eval_before", "maia_surprise", "player_rating")
     return plies.select(
         "player", "game_id", "ply", "player_rating",
@@ -308,14 +308,14 @@ BOOKED_SQL = f"""{PLIES_SQL}, b AS (SELECT player, game_id, ply, player_rating,
 def opening_book(t):
     key = (F.col("p_partkey") % 801 - 400).cast("string")
     move = F.concat(F.lit("m"), (F.col("p_partkey") % 13).cast("string"))
-    entries = t.part.where("p_size % 3 = 0").select(F.concat(F.lit("e"), key).alias("fen_before"), move.alias("m"))
+    entries = t.part.select(F.concat(F.lit("e"), key).alias("fen_before"), move.alias("m"))
     return entries.groupBy("fen_before").agg(F.collect_set("m").alias("book_moves"))
 
 
 @query(
     "book_columns", "L1 L2", "player:l game_id:l ply:l in_book:b played_book_move:b plies_since_book:l",
     f"""WITH {BOOKED_SQL}, k AS (SELECT 'e' || CAST(p_partkey % 801 - 400 AS VARCHAR) AS f, list('m' || CAST(p_partkey % 13 AS VARCHAR)) AS ms
-      FROM part WHERE p_size % 3 = 0 GROUP BY 1),
+      FROM part GROUP BY 1),
     j AS (SELECT b.*, ms IS NOT NULL AS in_book, coalesce(list_contains(ms, move_uci), false) AS played_book_move FROM b LEFT JOIN k ON f = fen_before),
     g AS (SELECT *, sum(in_book::INT) OVER (PARTITION BY player, game_id ORDER BY ply) AS grp FROM j)
     SELECT player, game_id, ply, in_book, played_book_move, row_number() OVER (PARTITION BY player, game_id, grp ORDER BY ply)
@@ -371,7 +371,7 @@ def sacrifice_flags(t):
 @query(
     "endgame_table_columns", "L3", "player:l game_id:l ply:l tb_wdl:l tb_dtz:l tb_move_optimal:b",
     f"""WITH {BOOKED_SQL}, n AS (SELECT *, lead(fen_before) OVER (PARTITION BY player, game_id ORDER BY ply) AS fen_after, 3 + ply % 4 AS n_pieces FROM b),
-    k AS (SELECT 'e' || CAST(p_partkey % 801 - 400 AS VARCHAR) AS fen, max(p_size % 5 - 2) AS wdl, max(p_size) AS dtz FROM part WHERE p_size % 2 = 0 GROUP BY 1)
+    k AS (SELECT 'e' || CAST(p_partkey % 801 - 400 AS VARCHAR) AS fen, max(p_size % 5 - 2) AS wdl, max(p_size) AS dtz FROM part GROUP BY 1)
     SELECT player, game_id, ply, CASE WHEN n_pieces <= 5 THEN a.wdl END AS tb_wdl, CASE WHEN n_pieces <= 5 THEN a.dtz END AS tb_dtz,
       -z.wdl >= CASE WHEN n_pieces <= 5 THEN a.wdl END AS tb_move_optimal
     FROM n LEFT JOIN k a ON a.fen = fen_before LEFT JOIN k z ON z.fen = fen_after""",
@@ -382,8 +382,7 @@ def endgame_table_columns(t):
     in_game = Window.partitionBy("player", "game_id").orderBy("ply")
     plies = booked(t).withColumns({"fen_after": F.lead("fen_before").over(in_game), "n_pieces": 3 + F.col("ply") % 4})
     probes = (
-        t.part.where("p_size % 2 = 0")
-        .groupBy(F.concat(F.lit("e"), (F.col("p_partkey") % 801 - 400).cast("string")).alias("fen"))
+        t.part.groupBy(F.concat(F.lit("e"), (F.col("p_partkey") % 801 - 400).cast("string")).alias("fen"))
         .agg(F.max(F.col("p_size") % 5 - 2).alias("wdl"), F.max("p_size").alias("dtz"))
     )
     return engine.endgame_features(plies, probes)

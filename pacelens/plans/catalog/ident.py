@@ -11,7 +11,7 @@ from pacelens.plans.catalog.games import corr_sql
 from pacelens.sources.standins import PLIES_SQL
 
 SCORES_SQL = """raw AS (SELECT label AS player, vec_id AS game_id, c AS class,
-    exp(4 * CAST(embedding[c + 1] AS DOUBLE) + CASE WHEN label = c THEN 0.3 ELSE 0 END) AS e FROM embeddings, range(10) r(c)),
+    exp(4 * list_sum(list_transform(list_filter(range(len(embedding)), lambda i: i % 10 = c), lambda i: CAST(embedding[i + 1] AS DOUBLE))) + CASE WHEN label = c THEN 0.3 ELSE 0 END) AS e FROM embeddings, range(10) r(c)),
 scores AS (SELECT player, game_id, class, e / sum(e) OVER (PARTITION BY game_id) AS p FROM raw)"""
 PRED_SQL = """pred AS (SELECT player, game_id, arg_min(class, (-p, class)) AS predicted, max(p) AS confidence,
     arg_min(class, (-p, class)) = player AS correct FROM scores GROUP BY player, game_id)"""
@@ -24,10 +24,12 @@ def mix_sql(c: str, seed: int = 0) -> str:
 
 
 def scores(t):
-    """Softmax scores over ten classes from each vector's leading components."""
+    """Softmax scores over ten classes, each from the vector's components of one remainder."""
+    places = F.sequence(F.lit(0), F.size("embedding") - 1)
+    share = lambda c: F.aggregate(F.filter(places, lambda i: i % 10 == c), F.lit(0.0), lambda a, i: a + F.element_at("embedding", i + 1).cast("double"))
     weight = F.transform(
         F.sequence(F.lit(0), F.lit(9)),
-        lambda c: F.exp(4 * F.element_at("embedding", c + 1).cast("double") + F.when(F.col("label") == c, 0.3).otherwise(0.0)),
+        lambda c: F.exp(4 * share(c) + F.when(F.col("label") == c, 0.3).otherwise(0.0)),
     )
     raw = t.embeddings.select(F.col("label").alias("player"), F.col("vec_id").alias("game_id"), weight.alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda a, b: a + b)
@@ -332,7 +334,7 @@ def stored_scores(t):
     return ident.stored_scores(scores(t))
 
 
-NARRATED_SQL = f"""{PLIES_SQL}, two AS (SELECT *, ply % 2 = game_id % 2 AS is_own, clock_before / base_s AS frac FROM plies WHERE game_id % 4 <> 1),
+NARRATED_SQL = f"""{PLIES_SQL}, two AS (SELECT *, ply % 2 = game_id % 2 AS is_own, clock_before / base_s AS frac FROM plies),
 m AS (SELECT *, avg(think_time) FILTER (WHERE is_own) OVER g AS mean, stddev_pop(think_time) FILTER (WHERE is_own) OVER g AS sd FROM two WINDOW g AS (PARTITION BY player, game_id)),
 z AS (SELECT *, CASE WHEN is_own AND sd > 0 THEN (think_time - mean) / sd ELSE 0 END AS think_z FROM m),
 moments AS (SELECT *, CASE WHEN is_own AND is_mistake THEN 'mistake' WHEN is_own AND think_z > 1.5 THEN 'long_think' END AS key_moment FROM z),
@@ -353,7 +355,7 @@ links AS (SELECT player, game_id, arg_max(ply, (abs(nthink - mean), -ply)) FILTE
 )
 def narrated_games(t):
     two = t.plies().withColumns({"is_own": F.col("ply") % 2 == F.col("game_id") % 2, "clock_frac_remaining": F.col("clock_before") / F.col("base_s")})
-    pred = t.orders.where("o_orderkey % 4 <> 1").select(
+    pred = t.orders.select(
         F.col("o_custkey").alias("player"), F.col("o_orderkey").alias("game_id"), F.lit(0).alias("predicted"),
         F.lit(0.5).alias("confidence"), (F.col("o_orderkey") % 2 == 0).alias("correct"),
     )
@@ -378,7 +380,7 @@ def confidence_trace(t):
 @query("pairwise_identification", "D21", "a:l b:l n_games:l balanced_accuracy:d")
 def pairwise_identification(t):
     v, columns = vectors(t)
-    return ident.pairwise(v, columns[:16], n_pairs=20)
+    return ident.pairwise(v, columns)
 
 
 @query(

@@ -151,9 +151,9 @@ WIDE = ("gap_1_2", "is_decided", "game_phase", "n_captures_available", "maia_sur
 
 @query("live_and_full_baselines", "M4 M5 M6 M10", "player:l model:s n_rows:l intercept:d")
 def live_and_full_baselines(t):
-    rows = models.design(pool(t), WIDE).withColumn(
-        "recency_weight", F.pow(F.lit(0.5), F.date_diff(F.lit("2001-08-01").cast("date"), "game_date") / 90.0)
-    )
+    from pacelens.operators import sessions
+
+    rows = models.design(sessions.recency(pool(t)), WIDE)
     return models.baseline(rows, models.design_columns(WIDE))
 
 

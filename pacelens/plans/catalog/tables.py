@@ -177,7 +177,7 @@ def profile_documents(t):
     return nested.select("player", F.to_json(F.struct(*nested.columns)).alias("document"))
 
 
-@query("full_build", "V4", "part:s n_rows:l")
+@query("full_build", "V4", "part:s document:s")
 def full_build(t):
     from pacelens.operators import sessions
 
@@ -191,6 +191,6 @@ def full_build(t):
     parts = build.full_build(ready, members, ["pool"], models.design_columns(players.WIDE), players.live_ratings(t))
     union = None
     for name, part in parts.items():
-        one = part.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("part"), "n_rows")
+        one = part.select(F.lit(name).alias("part"), F.to_json(F.struct(*part.columns)).alias("document"))
         union = one if union is None else union.unionByName(one)
     return union
