@@ -1,6 +1,7 @@
 """Toxicity: a counterfactually regularised text classifier.
 
-A logistic model over the distinct words of a text and their beginnings.  Besides
+A logistic model over the words of a text and their beginnings, a repeated word
+counting twice.  Besides
 the labels it is fitted to *counterfactual pairs*: each labelled text that names a
 group is copied with its identity terms swapped for others of their list, and the
 squared difference of the two logits is added to the loss (``pairing`` weighs it).
@@ -13,8 +14,8 @@ the label, fitted with an L1 penalty and refitted without it on the surviving
 features.  Only the sample's counts of screened features reach the driver.  Every
 document is scored, whole.
 
-Defined cases: null and empty texts score as the intercept alone; repeated words
-count once; documents without a label, with a null label or a null identifier are
+Defined cases: null and empty texts score as the intercept alone; a repeated
+word counts twice; documents without a label, with a null label or a null identifier are
 never trained on; several labels of one document are averaged, ties count as toxic;
 without labels of both kinds every score is the share of toxic labels (0 if none);
 further columns are left alone.
@@ -65,17 +66,27 @@ def features(word: str) -> tuple[int, ...]:
     return tuple(slots)
 
 
-def distinct_words(text: str | None) -> set[str]:
-    return set(WORDS.findall(text.lower())) if text else set()
+def word_counts(text: str | None) -> Counter:
+    return Counter(WORDS.findall(text.lower())) if text else Counter()
 
 
-def counted(words: set[str]) -> tuple[list[int], list[int]]:
+def counted(words: Counter) -> tuple[list[int], list[int]]:
+    """(slots, counts) of a text's features; a repeated word counts twice at most."""
     found = Counter()
-    for w in words:
-        found.update(features(w))
+    for w, n in words.items():
+        for f in features(w):
+            found[f] += min(n, 2)
     return list(found), list(found.values())
 
 
+def swapped(words: Counter, change: dict[str, str]) -> Counter:
+    """The words with identity terms exchanged."""
+    out = Counter()
+    for w, n in words.items():
+        out[change.get(w, w)] += n
+    return out
+
+
 class Model:
     """Intercept and weights by slot; everything else weighs nothing."""
 
@@ -93,11 +104,12 @@ class Scorer:
         weights, known, logits = self.model.weights, self.known, np.zeros(len(texts))
         for i, text in enumerate(texts):
             total = 0.0
-            for w in distinct_words(text):
+            for w, n in word_counts(text).items():
                 value = known.get(w)
                 if value is None:
                     value = known[w] = sum(weights.get(f, 0.0) for f in features(w))
-                total += value
+                if value:
+                    total += value * min(n, 2)
             logits[i] = total + self.model.intercept
             if len(known) > self.most:
                 known.clear()
@@ -170,7 +182,7 @@ def screened(sample: DataFrame, share: float, n: int, l1: float, most_features:
         sums = np.zeros((4, SLOTS))
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                slots, counts = counted(distinct_words(t))
+                slots, counts = counted(word_counts(t))
                 c = np.array(counts, dtype=np.float64)
                 sums[:, slots] += (np.ones(len(c)), c, c * c, c * y)
         seen = np.flatnonzero(sums[0])
@@ -203,10 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", identifier: st
         for batch in batches:
             out = {"id": [], "y": [], "swapped": [], "s": [], "c": [], "s2": [], "c2": []}
             for t, y, i in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = distinct_words(t)
-                other = {change.get(w, w) for w in words}
+                words = word_counts(t)
+                other = swapped(words, change)
                 lists = []
-                for found in (words, other if other != words else ()):
+                for found in (words, other if other != words else Counter()):
                     kept = [(s, c) for s, c in zip(*counted(found)) if s in slots]
                     lists += [[s for s, _ in kept], [c for _, c in kept]]
                 for k, v in zip(out, (i, y, other != words, *lists)):

@@ -95,7 +95,7 @@ def test_counterfactual_pairs_spare_group_mentions():
     import numpy as np
 
     def row(words):
-        return toxicity.counted(set(words.split()))
+        return toxicity.counted(toxicity.word_counts(words))
 
     toxic = ["filthy women nonsense", "filthy women garbage", "filthy idiots", "women filthy liars"] * 20
     clean = ["nice weather today", "men at work", "men read books", "a fine garden"] * 20
