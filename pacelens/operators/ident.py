@@ -500,13 +500,14 @@ def sample_pairs(players: DataFrame, n_pairs: int = 40, seed: int = 0) -> DataFr
 def pairwise(vectors: DataFrame, columns: Sequence[str], n_pairs: int = 40, k: int = 5, min_games: int = 10, seed: int = 0) -> DataFrame:
     """Balanced accuracy of telling two players apart, for sampled pairs.
 
-    All pairs and folds are fitted together; a pair uses k = min(5, smaller class).
+    All pairs and folds are fitted together; a pair uses k = min(5, smaller class), and
+    columns are scaled within the training rows of each pair and fold.
     """
     sizes = vectors.groupBy("player").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_games)
     pairs = materialise(sample_pairs(sizes, n_pairs, seed))
     sides = pairs.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("player"))
     least = sides.join(sizes, "player").groupBy("pair").agg(F.min("_size").alias("_least"), F.sum("_size").alias("_all"))
-    ranked = hash_rank(standardise(vectors, columns), ["player"], xx("game_id", seed=seed), ["game_id"], "_rank")
+    ranked = hash_rank(vectors, ["player"], xx("game_id", seed=seed), ["game_id"], "_rank")
     rows = sides.join(least, "pair").join(ranked, "player").join(sizes, "player")
     rows = rows.withColumns(
         {
@@ -516,7 +517,7 @@ def pairwise(vectors: DataFrame, columns: Sequence[str], n_pairs: int = 40, k: i
         }
     )
     rows = materialise(rows.select("pair", "a", "b", "player", "game_id", "fold", "_is_b", "_weight", *columns))
-    held = logistic.out_of_fold(rows, ["pair"], columns, "_is_b", k, "_weight")
+    held = logistic.out_of_fold(rows, ["pair"], columns, "_is_b", k, "_weight", standardised=True)
     hit = ((F.col("p") > 0.5) == F.col("_is_b")).cast("double")
     per_class = held.groupBy("pair", "a", "b", "player").agg(F.avg(hit).alias("_recall"), F.count(F.lit(1)).alias("_n"))
     return per_class.groupBy("pair", "a", "b").agg(

@@ -141,3 +141,20 @@ def test_separable_groups_settle(spark):
     frame = spark.range(200).selectExpr("'a' AS player", "id AS game_id", "CAST(id AS DOUBLE) / 100 AS x", "id >= 100 AS y")
     fitted = logistic.fit_logistic(frame, ["player"], ["x"], "y", penalty=1e-4).first()
     assert fitted.moved < logistic.SETTLED
+
+
+def test_scaling_inside_a_group_equals_scaled_columns(spark):
+    import numpy as np
+
+    from pacelens.operators import logistic
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2)) * (1, 50) + (3, -20)
+    y = x[:, 0] + x[:, 1] / 40 + rng.normal(size=300) > 2.5
+    z = (x - x.mean(0)) / x.std(0)
+    rows = [("a", i, float(a), float(b), float(c), float(d), bool(t)) for i, ((a, b), (c, d), t) in enumerate(zip(x, z, y))]
+    frame = spark.createDataFrame(rows, "player string, game_id int, x0 double, x1 double, z0 double, z1 double, y boolean")
+    own = logistic.fit_logistic(frame, ["player"], ["x0", "x1"], "y", standardised=True)
+    scaled = logistic.fit_logistic(frame, ["player"], ["z0", "z1"], "y")
+    p = [[r.p for r in logistic.probability(frame, c, ["player"], n).orderBy("game_id").collect()] for c, n in ((own, ["x0", "x1"]), (scaled, ["z0", "z1"]))]
+    assert p[0] == pytest.approx(p[1], abs=1e-6)
