@@ -13,7 +13,8 @@ Inside a shard the postings of each term are cut where the document number enter
 new block of ``BLOCK`` documents, and each piece keeps its largest score
 contribution.  For a query the block maxima are summed per block; blocks are entered
 in order of these bounds while a bound can still reach the current k-th score, and
-only there postings are scored.
+only there postings are scored.  The k-th score is carried from shard to shard of a
+task, which hands on k rows a query whatever the number of its shards.
 
 Tokens are runs of ASCII letters and digits and of all non-ASCII characters, A-Z in
 lower case.  score(q, d) = sum over distinct terms of q, times their number in q, of
@@ -40,7 +41,9 @@ from pacelens.llm.common import Shared, map_batches, ship, table
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_CHARS = 32_000_000
+FREQUENT = 0.04  #: share of a shard's documents from which a term's list is kept dense
+BATCH = 256
+SHARD_CHARS = 48_000_000
 QUERY_TERMS = 2_000_000
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -126,46 +129,74 @@ class Queries:
 
 
 class Searcher:
-    """One opened shard with its block maxima."""
+    """One opened shard with its block maxima.
+
+    The lists of terms that many of the shard's documents hold are rows of a dense
+    matrix; a query's frequent terms are then one list, made by a matrix product for
+    a batch of queries, and its block maxima enter the bounds like any other list's."""
 
     def __init__(self, shard: dict, queries: Queries, k: int):
         s, self.queries, self.k = opened(shard), queries, k
-        self.ids = np.array([np.iinfo(np.int64).max if i is None else i for i in s["ids"]], dtype=np.int64)
         self.null = np.array([i is None for i in s["ids"]])
+        self.ids = np.array([0 if i is None else i for i in s["ids"]], dtype=np.int64)
+        n = len(self.ids)
         at = np.minimum(np.searchsorted(s["terms"], queries.terms), max(len(s["terms"]) - 1, 0))
         here = s["terms"][at] == queries.terms if len(s["terms"]) else np.zeros(len(queries.terms), dtype=bool)
-        # only the block's terms: positions of the query terms that this shard has
-        self.local = np.where(here, np.cumsum(here) - 1, -1)
         used = at[here]
-        place, term = spread(s["starts"][used].astype(np.int64), s["starts"][used + 1].astype(np.int64))
-        self.docs, tf = s["docs"][place], s["tfs"][place].astype(np.float64)
+        starts, ends = s["starts"][used].astype(np.int64), s["starts"][used + 1].astype(np.int64)
+        often = ends - starts >= max(FREQUENT * n, 8)
+        # places of the block's terms among the dense and among the other lists of this shard
+        self.dense_of, self.local = np.full(len(queries.terms), -1), np.full(len(queries.terms), -1)
+        self.dense_of[np.flatnonzero(here)[often]] = np.arange(often.sum())
+        self.local[np.flatnonzero(here)[~often]] = np.arange((~often).sum())
         norm = K1 * (1 - B + B * s["lengths"] / queries.mean)
-        self.impact = queries.idf[here][term] * tf * (K1 + 1) / (tf + norm[self.docs])
+        idf = queries.idf[here]
+
+        def lists(which):
+            place, term = spread(starts[which], ends[which])
+            docs, tf = s["docs"][place], s["tfs"][place].astype(np.float64)
+            return docs, term, idf[which][term] * tf * (K1 + 1) / (tf + norm[docs])
+
+        docs, term, impact = lists(often)
+        self.dense = np.zeros((int(often.sum()), n))
+        self.dense[term, docs] = impact
+        self.docs, term, self.impact = lists(~often)
         block = self.docs // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, dtype=np.int64)
         self.piece_start, self.piece_end = first, np.append(first[1:], len(term))
         self.piece_block = block[first]
         self.piece_most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.term_pieces = np.searchsorted(term[first], np.arange(len(used) + 1))
-        self.blocks = len(self.ids) // BLOCK + 1
+        self.term_pieces = np.searchsorted(term[first], np.arange((~often).sum() + 1))
+        self.edges = np.arange(0, n, BLOCK)
+        self.blocks, self.batch = len(self.edges), (-1, None)
         self.entered = self.scored = 0
 
-    def _score(self, pieces: np.ndarray, weights: np.ndarray, into: np.ndarray) -> None:
-        place, owner = spread(self.piece_start[pieces], self.piece_end[pieces])
-        self.scored += len(place)
-        into += np.bincount(self.docs[place], weights=self.impact[place] * weights[owner], minlength=len(into))
-
-    def top(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, rounded scores) of a query's best k in this shard."""
+    def _frequent(self, number: int) -> np.ndarray:
+        """The scores of all documents from a query's frequent terms."""
+        q, which = self.queries, number // BATCH
+        if self.batch[0] != which:
+            lo, last = which * BATCH, min((which + 1) * BATCH, len(q.ids))
+            ends = np.concatenate([[0], q.ends])
+            part = slice(ends[lo], ends[last])
+            row, column = np.repeat(np.arange(last - lo), np.diff(ends[lo : last + 1])), self.dense_of[q.which[part]]
+            weights = np.zeros((last - lo, len(self.dense)))
+            weights[row[column >= 0], column[column >= 0]] = q.times[part][column >= 0]
+            self.batch = which, weights @ self.dense
+        return self.batch[1][number % BATCH]
+
+    def top(self, number: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, rounded scores) of a query's best k in this shard that reach ``least``."""
         q = self.queries
         lo, hi = (q.ends[number - 1] if number else 0), q.ends[number]
         term, times = self.local[q.which[lo:hi]], q.times[lo:hi]
         term, times = term[term >= 0], times[term >= 0]
         pieces, owner = spread(self.term_pieces[term], self.term_pieces[term + 1])
         weights, block = times[owner], self.piece_block[pieces]
-        bound = np.bincount(block, weights=self.piece_most[pieces] * weights, minlength=self.blocks)
+        scores = self._frequent(number)
+        bound = np.bincount(block, weights=self.piece_most[pieces] * weights, minlength=self.blocks) + np.maximum.reduceat(scores, self.edges)
         order = np.argsort(-bound, kind="stable")
-        scores, least, done, step = np.zeros(len(self.ids)), 0.0, 0, max(1, self.k // BLOCK + 1)
+        seen, done, step = np.zeros(0, dtype=np.int64), 0, max(1, self.k // BLOCK + 1)
+        found, values = seen, np.zeros(0)
         while done < self.blocks:
             chosen = order[done : done + step]
             chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-6)]
@@ -174,15 +205,42 @@ class Searcher:
             mask = np.zeros(self.blocks, dtype=bool)
             mask[chosen] = True
             inside = mask[block]
-            self._score(pieces[inside], weights[inside], scores)
-            self.entered += len(chosen)
-            if len(scores) > self.k:
-                least = max(least, np.partition(scores, len(scores) - self.k)[len(scores) - self.k])
+            place, owner = spread(self.piece_start[pieces[inside]], self.piece_end[pieces[inside]])
+            rest = np.bincount(self.docs[place], weights=self.impact[place] * weights[inside][owner], minlength=len(scores))
+            docs = np.flatnonzero(np.repeat(mask, BLOCK)[: len(scores)])
+            found, values = np.append(found, docs), np.append(values, scores[docs] + rest[docs])
+            self.entered, self.scored = self.entered + len(chosen), self.scored + len(place)
+            if len(values) > self.k:
+                best = np.partition(values, len(values) - self.k)[len(values) - self.k]
+                keep = values >= max(best, least) - 1e-6
+                found, values, least = found[keep], values[keep], max(least, best)
             done, step = done + step, step * 4
-        scores = np.round(scores, 6)
-        found = np.flatnonzero((scores > 0) & (scores >= np.round(least, 6) - 1e-9))
-        found = found[np.lexsort((self.ids[found], self.null[found], -scores[found]))][: self.k]
-        return found, scores[found]
+        values = np.round(values, 6)
+        found, values = found[values > 0], values[values > 0]
+        order = np.lexsort((self.ids[found], self.null[found], -values))[: self.k]
+        return found[order], values[order]
+
+
+class Best:
+    """The best k of every query over the shards of one task."""
+
+    def __init__(self, queries: Queries, k: int):
+        self.queries, self.k = queries, k
+        self.kept: list[list[tuple[float, bool, int]]] = [[] for _ in queries.ids]
+
+    def add(self, shard: Searcher) -> None:
+        for number, kept in enumerate(self.kept):
+            full = len(kept) >= self.k
+            docs, scores = shard.top(number, -kept[-1][0] if full else 0.0)
+            if len(docs):
+                kept += zip((-scores).tolist(), shard.null[docs].tolist(), shard.ids[docs].tolist())
+                kept.sort()
+                del kept[self.k :]
+
+    def rows(self) -> pa.RecordBatch:
+        flat = [(q, null, None if null else i, -s) for q, kept in zip(self.queries.ids, self.kept) for s, null, i in kept]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], kind) for c, kind in enumerate(kinds)], names=["query_id", "null_last", "doc_id", "score"])
 
 
 def blocks_of(queries: DataFrame, text: str, identifier: str):
@@ -205,7 +263,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
     ship(spark)
     index = build(docs, text, identifier)
     n, total = (x or 0 for x in index.agg(F.sum("n"), F.sum("size")).first())
-    names = ["query_id", "null_last", "doc_id", "score"]
     lists = None
     for block in blocks_of(queries, query_text, query_id):
         plain = Shared(spark, block.terms)
@@ -228,16 +285,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
 
         def best(batches, shared=shared):
             block = shared.ready(lambda x: x)
+            task = Best(block, k)
             for batch in batches:
                 for one in range(len(batch)):
-                    shard = Searcher(batch.slice(one, 1).to_pylist()[0], block, k)
-                    out = ([], [], [], [])
-                    for number, query in enumerate(block.ids):
-                        docs_, scores = shard.top(number)
-                        for column, values in zip(out, ([query] * len(docs_), shard.null[docs_].tolist(), [None if shard.null[d] else int(shard.ids[d]) for d in docs_], scores.tolist())):
-                            column += values
-                    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=names)
+                    task.add(Searcher(batch.slice(one, 1).to_pylist()[0], block, k))
+            yield task.rows()
 
         part = materialise(map_batches(index, best, "query_id long, null_last boolean, doc_id long, score double"))
         lists = part if lists is None else lists.union(part)
