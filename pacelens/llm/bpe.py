@@ -92,7 +92,7 @@ class Automaton:
         key = state << 24 | arc
         answer = self.asked.get(key)
         if answer is None:
-            if len(self.asked) > 1_000_000:
+            if len(self.asked) > 250_000:
                 self.asked.clear()
             answer = self.asked[key] = self.leaves(state, arc)
         return answer
@@ -146,7 +146,7 @@ class Tokenizer:
     Characters assigned after Python's Unicode version are classified by the
     tokenizers library's own normaliser and splitter."""
 
-    def __init__(self, spec: dict, most_words: int = 250_000):
+    def __init__(self, spec: dict, most_words: int = 120_000):
         model, self.spec = spec["model"], spec
         self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}

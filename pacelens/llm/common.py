@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -63,9 +66,17 @@ class Shared:
     def ready(self, build: Callable):
         """``build(model)``, made once per worker process and kept between its tasks."""
         if self.number not in _ready:
-            _ready.clear()
+            forget()
             _ready[self.number] = build(self.broadcast.value)
         return _ready[self.number]
 
 
 _ready: dict[str, object] = {}
+
+
+def forget() -> None:
+    """Drop what earlier stages left in this worker process and hand the memory back."""
+    _ready.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

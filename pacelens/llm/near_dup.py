@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacelens.functions.storage import materialise
-from pacelens.llm.common import Shared, map_batches, table, text_key, text_of
+from pacelens.llm.common import Shared, forget, map_batches, table, text_key, text_of
 from pacelens.llm.components import components
 
 SHINGLE = 5
@@ -65,7 +65,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -151,6 +151,7 @@ def sketched(docs: DataFrame, text: str = "text", identifier: str = "doc_id") ->
     """(id, key, n, sketches) of every row: text key, number of distinct shingles, sketch values."""
 
     def run_batches(batches):
+        forget()
         hashes = WordHashes()
         for whole in batches:
             for at in range(0, len(whole), 1000):
@@ -229,6 +230,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> Data
     )
 
     def test(batches):
+        forget()
         hashes = WordHashes()
         for whole in batches:
             for at in range(0, len(whole), 200):

@@ -97,7 +97,7 @@ class Model:
 class Scorer:
     """Scores texts with the weight of each distinct word cached (the cache is emptied when full)."""
 
-    def __init__(self, model: Model, most_words: int = 400_000):
+    def __init__(self, model: Model, most_words: int = 150_000):
         self.model, self.most, self.known = model, most_words, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:

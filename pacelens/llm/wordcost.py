@@ -42,7 +42,7 @@ def frames(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 class WordCosts:
     """Rows of costs by word; ``price`` gives the cost rows of unique packed grams, ``finish`` may rework a word's summed row."""
 
-    def __init__(self, price: Callable[[np.ndarray], np.ndarray], width: int, order: int, most_words: int = 400_000, most_grams: int = 400_000, finish: Callable[[np.ndarray], np.ndarray] | None = None):
+    def __init__(self, price: Callable[[np.ndarray], np.ndarray], width: int, order: int, most_words: int = 220_000, most_grams: int = 200_000, finish: Callable[[np.ndarray], np.ndarray] | None = None):
         self.price, self.width, self.order, self.finish = price, width, order, finish
         self.most_words, self.most_grams = most_words, most_grams
         self.words: dict[str | bytes, int] = {}
