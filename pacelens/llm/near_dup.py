@@ -16,13 +16,16 @@ Scale: exact copies are one class from the start, by a 128-bit text hash, and on
 node of the link graph, numbered by 64 bits of it.  Texts are read again only for
 nodes in a candidate pair; others are passed over in the scan by a bit table of
 bounded size.  A
-bucket of at most ``SMALL`` nodes tests all its pairs; in a larger one each node is
-tested against the bucket's first node.  Larger buckets that are left with several
-classes are dealt into salted parts of about ``PART`` nodes, where each node is
-tested against its neighbour by length, and their nodes are re-bucketed by (bucket,
-second sketch value) and tested again, pairs of one class left out.  So a class is
-not lost in a crowd that shares a passage, and no bucket emits the square of its
-size.
+bucket of at most ``SMALL`` nodes tests all its pairs.  Larger ones are contracted
+first: each node is tested against the bucket's first node, then, in buckets left
+with several classes, against its neighbour by length in salted parts of about
+``PART`` nodes and within (bucket, second sketch value).  What is still left with
+several classes is exhausted: the bucket is dealt into blocks of at most about
+``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles, blocks meet in pairs, and all their
+pairs of different classes are tested, each in the first bucket it shares; exact
+counts of common shingles, by matrix products, say which need an alignment.  So the
+links are those of all pairs in all buckets, up to links inside a class; rows grow
+with the square of a bucket's number of blocks, and only in such buckets.
 
 Defined cases: words are runs of letters and digits, lower-cased (a text without
 any is split at white space); a text of fewer than five words is one shingle; null
@@ -51,6 +54,9 @@ TAKE = 2
 LEAST = 0.8
 SMALL = 16
 PART = 500
+BLOCK = 1000
+BLOCK_SHINGLES = 500_000
+CODES = 4096  #: columns of a matrix product
 MOST_BITS = 1 << 28  #: bound of the broadcast membership bits (32 MB)
 WORDS = re.compile(r"[^\W_]+")
 
@@ -247,6 +253,100 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> Data
     return map_batches(both, test, "a long, b long")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of every left with every right sequence of distinct shingles."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    joint = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for side in (left, right):
+        x, row = np.concatenate(side), np.repeat(np.arange(len(side)), [len(s) for s in side])
+        code = np.minimum(np.searchsorted(joint, x), max(len(joint) - 1, 0))
+        both = joint[code] == x if len(joint) else np.zeros(len(x), dtype=bool)
+        code, row = code[both], row[both]
+        order = np.argsort(code, kind="stable")
+        sides.append((code[order], row[order], len(side)))
+    for low in range(0, len(joint), CODES):
+        parts = []
+        for code, row, size in sides:
+            at = slice(*np.searchsorted(code, [low, low + CODES]))
+            part = np.zeros((size, min(CODES, len(joint) - low)), dtype=np.float32)
+            part[row[at], code[at] - low] = 1.0
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def block_links(group: pa.Table, least: float) -> pa.Table:
+    """Links (a, b) of two blocks of a bucket: all their pairs of different classes are tested."""
+    at, p, q = (group.column(c)[0].as_py() for c in ("at", "p", "q"))
+    node, root, block = (group.column(c).to_numpy() for c in ("node", "root", "block"))
+    values = np.array(group.column("sketches").to_pylist(), dtype=np.int64)
+    x = [np.frombuffer(b, dtype=np.uint64) for b in group.column("x").to_pylist()]
+    n = np.array([len(s) for s in x])
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    a, b = [], []
+    if len(left) and len(right):
+        common = common_counts([x[i] for i in left], [x[j] for j in right]).astype(np.float64)
+        test = (common * (1 + least) >= least * (n[left][:, None] + n[right][None, :]) - 1e-6) & (root[left][:, None] != root[right][None, :])
+        for k in range(at):  # pairs that share an earlier sketch value are tested in that bucket
+            test &= values[left, k][:, None] != values[right, k][None, :]
+        if p == q:
+            test = np.triu(test, 1)
+        i, j = np.nonzero(test)
+        order = np.argsort(-common[i, j], kind="stable")
+        up = {r: r for r in root.tolist()}
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        for i, j in zip(left[i[order]].tolist(), right[j[order]].tolist()):
+            s, t = top(int(root[i])), top(int(root[j]))
+            if s != t and aligned(x[i], x[j], least) > 0:
+                up[max(s, t)] = min(s, t)
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def exhausted(crowd: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
+    """Links (a, b) among all pairs of different roots in the buckets of (bucket, at, node, n, sketches, root) rows."""
+    size = F.ceil(F.greatest(F.sum("c") / BLOCK, F.sum("w") / BLOCK_SHINGLES))
+    held = crowd.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("bigint")).alias("w"))
+    held = held.withColumn("own", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("w") / BLOCK_SHINGLES)))
+    shared = held.where("own = 1").groupBy("bucket").agg(size.alias("shared"))
+    dealt = held.join(shared, "bucket", "left").select("bucket", "root", "own", "shared")
+    large = F.xxhash64("root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("own")))
+    block = F.when(F.col("own") > 1, large).otherwise(F.pmod(F.xxhash64("root", F.lit(2)), F.col("shared")))
+    members = materialise(crowd.join(dealt, ["bucket", "root"]).withColumn("block", block).drop("own", "shared"))
+    blocks = members.groupBy("bucket", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    p, q = (blocks.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high")]) for k in "pq")
+    met = p.join(q, "bucket").where("block_p <= block_q AND least(low_p, low_q) <> greatest(high_p, high_q)")
+    met = materialise(met.select("bucket", F.col("block_p").alias("p"), F.col("block_q").alias("q")))
+    sides = met.select("bucket", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"), "p", "q")
+
+    def shingled(batches):
+        forget()
+        hashes = WordHashes()
+        for whole in batches:
+            for at in range(0, len(whole), 200):
+                batch = whole.slice(at, 200)
+                found = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[occurrence(x) == 0].tobytes() for x in found], pa.binary())], names=["node", "x"])
+
+    texts = map_batches(texts_of(materialise(members.select("node").distinct()), docs, text), shingled, "node long, x binary")
+    rows = members.join(texts, "node").join(sides, ["bucket", "block"]).select("bucket", "p", "q", "block", "at", "node", "root", "sketches", "x")
+    return rows.groupBy("bucket", "p", "q").applyInArrow(lambda group: block_links(group, least), "a long, b long")
+
+
+def left_mixed(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (bucket, node, n, root) rows of buckets that hold several roots."""
+    rooted = large.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return materialise(rooted.join(mixed, "bucket"))
+
+
 def classes(docs: DataFrame, text: str = "text", identifier: str = "doc_id", least: float = LEAST) -> DataFrame:
     """(id, key, root) of every row: rows with equal roots are one class."""
     rows = materialise(sketched(docs, text, identifier))
@@ -257,15 +357,21 @@ def classes(docs: DataFrame, text: str = "text", identifier: str = "doc_id", lea
     tested = materialise(pairs)
     links = materialise(verified(tested, docs, text, least))
     roots = materialise(components(links))
-    # crowded buckets that are left with several classes: look again, also by a second sketch value
-    rooted = large.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    crowd = materialise(rooted.join(mixed, "bucket"))
+    # crowded buckets that are left with several classes: contract them by few tests, then exhaust what is left
+    crowd = left_mixed(large, roots)
     if not crowd.isEmpty():
         again = crowd.join(spread.select("node", "at", "value"), "node").select(F.xxhash64("bucket", "at", "value").alias("bucket"), "node", "n", "root")
         more, _ = candidates(again.union(crowd.select("bucket", "node", "n", "root")), chained=True)
         more = materialise(more.join(tested, ["a", "b"], "left_anti"))
         new = materialise(verified(more, docs, text, least))
+        if not new.isEmpty():
+            links = links.union(new)
+            roots = materialise(components(links))
+            crowd = left_mixed(crowd.select("bucket", "node", "n"), roots)
+    if not crowd.isEmpty():
+        numbered = nodes.select("node", "sketches", F.posexplode("sketches").alias("at", "value"))
+        numbered = numbered.select("node", "sketches", "at", F.xxhash64("at", "value").alias("bucket"))
+        new = materialise(exhausted(materialise(crowd.join(numbered, ["bucket", "node"])), docs, text, least))
         if not new.isEmpty():
             roots = materialise(components(links.union(new)))
     known = rows.select("id", "key", F.xxhash64("key").alias("node")).join(roots, "node", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,47 @@ def test_a_crowd_of_near_copies_is_one_class(spark):
     assert {got[k] for k in range(100)} == {0} and all(got[1000 + k] == 1000 + k for k in range(50))
 
 
+def _all_pairs(texts):
+    """Least member of each text's class by alignment of all pairs."""
+    hashes, up = near_dup.WordHashes(), {i: i for i in texts}
+    plain = {i: near_dup.shingles(t, hashes) for i, t in texts.items()}
+
+    def top(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and top(i) != top(j) and near_dup.aligned(plain[i], plain[j]) > 0:
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {i: top(i) for i in texts}
+
+
+def test_a_crowd_of_copies_near_their_base_only(spark, monkeypatch):
+    """Copies that reach the threshold with one base but not with each other, in buckets they all share."""
+    monkeypatch.setattr(near_dup, "BLOCK", 100)
+    draw, words, texts = random.Random(5), [f"w{k}" for k in range(240)], {0: " ".join(f"w{k}" for k in range(240))}
+    for k in range(1, 400):
+        at = {10 + 60 * j + draw.randrange(45) for j in range(4)}
+        texts[k] = " ".join(f"e{k}x{i}" if i in at else w for i, w in enumerate(words))
+    got = {r.doc_id: r.class_id for r in near_dup.class_ids(spark.createDataFrame([(k, t, "en", "a", 1) for k, t in texts.items()], SCHEMA)).collect()}
+    assert got == _all_pairs(texts) and set(got.values()) == {0}
+
+
+def test_pairs_in_a_crowd_with_a_long_common_passage(spark, monkeypatch):
+    """Pairs of near copies whose texts are for the most part a passage that the whole crowd shares."""
+    monkeypatch.setattr(near_dup, "BLOCK", 100)
+    texts = {}
+    for k in range(200):
+        own = [f"o{k}x{j}" for j in range(24)]
+        texts[2 * k] = " ".join([*(f"w{j}" for j in range(172)), *own])
+        texts[2 * k + 1] = " ".join([*(f"w{j}" for j in range(172)), *own[:10], "edit", *own[11:]])
+    got = {r.doc_id: r.class_id for r in near_dup.class_ids(spark.createDataFrame([(k, t, "en", "a", 1) for k, t in texts.items()], SCHEMA)).collect()}
+    assert got == _all_pairs(texts) and len(set(got.values())) == 200
+
+
 def test_stages_keep_the_columns(spark, docs):
     folder = "/root/testdata/sf0.001"
     frame = docs
