@@ -25,6 +25,7 @@ are left alone.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -52,7 +53,9 @@ def fold(identifier: int | None, divisor: int, test: int) -> int:
 
 
 def bundled(docs: DataFrame, text: str, identifier: str) -> DataFrame:
-    """(bundle, chars, ids, sizes, blob): consecutive documents in compressed bundles, stored."""
+    """(bundle, chars, ids, sizes, blob): consecutive documents in compressed bundles, stored.
+
+    A bundle's number is drawn, not computed from its rows: equal bundles are two."""
 
     def pack(batches):
         ids, texts, chars = [], [], 0
@@ -60,7 +63,7 @@ def bundled(docs: DataFrame, text: str, identifier: str) -> DataFrame:
 
         def flush():
             blob = press.compress(b"".join(texts))
-            number = xxhash.xxh3_64_intdigest(blob, seed=len(ids)) ^ xxhash.xxh3_64_intdigest(repr(ids).encode())
+            number = uuid.uuid4().int >> 64  # stored with the bundle, so equal bundles stay two
             return pa.RecordBatch.from_arrays(
                 [pa.array([number - (1 << 63)], pa.int64()), pa.array([chars], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([blob], pa.binary())],
                 names=["bundle", "chars", "ids", "sizes", "blob"],

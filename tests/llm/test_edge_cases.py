@@ -127,6 +127,17 @@ def test_interpolation(docs, empty):
     assert interpolation.score(empty).count() == 0
 
 
+def test_interpolation_of_a_repeated_table(spark):
+    """A table united with itself has equal bundles: every row is scored twice, counts double."""
+    frame = spark.createDataFrame([(k, f"{PLAIN} word{k}", "en", "a", 1) for k in range(40)], SCHEMA).repartition(4, "doc_id").localCheckpoint()
+    once = {r.doc_id: r for r in interpolation.score(frame).collect()}
+    twice = interpolation.score(frame.union(frame)).collect()
+    assert sorted(r.doc_id for r in twice) == sorted([*range(40), *range(40)])
+    assert all(r.train_tokens == 2 * once[r.doc_id].train_tokens and r.n_tokens == once[r.doc_id].n_tokens for r in twice)
+    one = spark.createDataFrame([(7, PLAIN, "en", "a", 1)] * 12, SCHEMA).repartition(4)
+    assert interpolation.score(one).count() == 12
+
+
 def test_quality(docs, empty):
     rows = quality.judge(docs, quality.train(docs)).collect()
     by_id = {r.doc_id: r for r in rows}
