@@ -148,8 +148,8 @@ def same_band_identification(t):
 @query("two_class_boosting", "D6 D15", "family:s overall_accuracy:d balanced_accuracy:d")
 def two_class_boosting(t):
     v, columns = vectors(t)
-    two = ident.stratified_folds(v.where("player < 2"), 2)
-    return ident.accuracy(ident.predictions(ident.out_of_fold(two, columns[:12], ("logistic", "boosting")), ("family", *ident.GAME)), ("family",))
+    held = ident.out_of_fold(ident.stratified_folds(v, 2), columns, ("logistic", "boosting"))
+    return ident.accuracy(ident.predictions(held, ("family", *ident.GAME)), ("family",))
 
 
 @query(
@@ -299,7 +299,9 @@ def fitted_coefficients(t):
 
     v, columns = vectors(t)
     ready = VectorAssembler(inputCols=columns, outputCol="x").transform(v.withColumn("y", F.col("player").cast("double")))
-    model = LogisticRegression(family="multinomial", featuresCol="x", labelCol="y", regParam=0.01, maxIter=30).fit(ready)
+    model = LogisticRegression(family="multinomial", featuresCol="x", labelCol="y", regParam=0.01, maxIter=1000).fit(ready)
+    if model.summary.totalIterations >= model.getMaxIter():
+        raise RuntimeError("the coefficients did not converge")
     return ident.coefficient_summary(ident.coefficient_rows(model, columns, list(range(model.numClasses)), t.spark))
 
 

@@ -162,7 +162,7 @@ def tree_think_time_drivers(t):
     rows = models.time_split(models.model_rows(pool(t)))
     train = models.design(rows.where(~F.col("is_test")), WIDE)
     columns = models.design_columns(WIDE, indicators=False)
-    fitted = models.fit_trees(train, columns, "log_think_time", rounds=5, depth=4)
+    fitted = models.fit_trees(train, columns, "log_think_time")
     return models.tree_importances(fitted, columns, t.spark)
 
 
@@ -171,7 +171,7 @@ def tree_move_quality(t):
     rows = models.time_split(models.model_rows(pool(t)).where(~F.col("is_decided")))
     columns = models.design_columns((*WIDE, "log_think_time"), indicators=False)
     ready = models.design(rows, (*WIDE, "log_think_time"))
-    fitted = models.fit_trees(ready.where(~F.col("is_test")), columns, "cp_loss", absolute=True, rounds=5, depth=4)
+    fitted = models.fit_trees(ready.where(~F.col("is_test")), columns, "cp_loss", absolute=True)
     return models.regression_metrics(fitted.transform(ready.where("is_test")), "cp_loss", "prediction")
 
 

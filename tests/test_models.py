@@ -158,3 +158,27 @@ def test_scaling_inside_a_group_equals_scaled_columns(spark):
     scaled = logistic.fit_logistic(frame, ["player"], ["z0", "z1"], "y")
     p = [[r.p for r in logistic.probability(frame, c, ["player"], n).orderBy("game_id").collect()] for c, n in ((own, ["x0", "x1"]), (scaled, ["z0", "z1"]))]
     assert p[0] == pytest.approx(p[1], abs=1e-6)
+
+
+def test_registered_tree_models_take_the_whole_job(spark, monkeypatch):
+    """Registered fits use the operators' own rounds and depth; boosting sees all classes and components."""
+    from pacelens.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        raise Seen(args, kwargs)
+
+    monkeypatch.setattr(models, "fit_trees", stop)
+    monkeypatch.setattr(ident, "out_of_fold", stop)
+    queries = catalog.load()
+    for name in ("tree_think_time_drivers", "tree_move_quality"):
+        with pytest.raises(Seen) as seen:
+            queries[name].run(spark, FOLDER)
+        assert not {"rounds", "depth"} & set(seen.value.args[1]), name
+    with pytest.raises(Seen) as seen:
+        queries["two_class_boosting"].run(spark, FOLDER)
+    vectors, columns, families = seen.value.args[0]
+    table = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    assert "boosting" in families and len(columns) == 64 and vectors.count() == table.count()
