@@ -182,3 +182,26 @@ def test_registered_tree_models_take_the_whole_job(spark, monkeypatch):
     vectors, columns, families = seen.value.args[0]
     table = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
     assert "boosting" in families and len(columns) == 64 and vectors.count() == table.count()
+
+
+def test_full_build_narrates_all_games_and_fits_boosting(spark, monkeypatch):
+    """All games of each player reach the narration, and the best of three is taken for ten players or fewer."""
+    from pacelens.plans import build
+
+    plies = spark.createDataFrame([(p, g, "c") for p in range(3) for g in range(100 * p, 100 * p + 30)], "player long, game_id long, x string")
+    scores = plies.select("player", "game_id", F.col("player").alias("class"), F.lit(1.0).alias("p"))
+    seen = {"families": [], "games": []}
+    evaluate = lambda v, c, k=5, families=(): seen["families"].append(tuple(families)) or scores
+    narrated = lambda members, sample, n: seen["games"].append(sample.count()) or sample
+    for name, stub in (("insight_rows", lambda *a: plies), ("profile_panels", lambda *a: {}), ("identification_document", lambda v, s, n, m: plies)):
+        monkeypatch.setattr(build, name, stub)
+    monkeypatch.setattr(build.models, "baseline", lambda *a, **k: plies)
+    monkeypatch.setattr(build.games, "clean_plies", lambda p: p)
+    monkeypatch.setattr(build.games, "vectors", lambda p, *a: p)
+    monkeypatch.setattr(build.ident, "cohort", lambda *a: plies)
+    monkeypatch.setattr(build.ident, "evaluate", evaluate)
+    monkeypatch.setattr(build.narrate, "narrate", narrated)
+    monkeypatch.setattr(build.gold, "profile_documents", lambda p: plies)
+    build.full_build(plies, plies, ["c"], [])
+    build.full_build(plies, plies, ["c"], [], narrated=6)
+    assert seen["games"] == [90, 6] and all(set(f) == {"logistic", "forest", "boosting"} for f in seen["families"])
