@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacelens.llm import bm25, bpe, htmltext, interpolation, langid, licenses, mix, near_dup, quality, toxicity
+from pacelens.llm import bm25, bpe, htmltext, interpolation, langid, licenses, mix, near_dup, quality, toxicity, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix.run,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_search": bm25.run,
     "op9_main_text": htmltext.run,
     "op10_near_duplicates": near_dup.run,
+    "op11_whitening": whiten.run,
 }
 
 SQL: dict[str, str] = {
