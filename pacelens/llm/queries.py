@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacelens.llm import bm25, bpe, htmltext, interpolation, langid, licenses, mix, near_dup, quality, toxicity, whiten
+from pacelens.llm import bm25, bpe, decontaminate, htmltext, interpolation, langid, licenses, mix, near_dup, quality, toxicity, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix.run,
@@ -20,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_main_text": htmltext.run,
     "op10_near_duplicates": near_dup.run,
     "op11_whitening": whiten.run,
+    "op12_decontamination": decontaminate.run,
 }
 
 SQL: dict[str, str] = {
     "op1_mix_sources": mix.SQL,
     "op8_bm25_search": bm25.SQL,
+    "op12_decontamination": decontaminate.SQL,
 }
