@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pacelens.llm import bm25, bpe, decontaminate, htmltext, interpolation, langid, licenses, mix, near_dup, quality, toxicity, whiten
+from pacelens.llm import bm25, bpe, conversations, decontaminate, htmltext, interpolation, langid, licenses, mix, near_dup, quality, toxicity, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix.run,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": near_dup.run,
     "op11_whitening": whiten.run,
     "op12_decontamination": decontaminate.run,
+    "op13_conversation_repair": conversations.run,
 }
 
 SQL: dict[str, str] = {
