@@ -33,7 +33,6 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +76,9 @@ def in_order(rows: DataFrame) -> DataFrame:
     read = rows.select("conv", "turn", F.coalesce(F.col("role"), F.lit(" ")).alias("role"), F.coalesce(F.col("text"), F.lit(" ")).alias("text"))
     said = F.rtrim("text", F.lit(SPACE))
     keyed = read.select("*", F.unhex(F.md5("text")).alias("key"), (said == "").alias("blank"), (~F.substring(said, -1, 1).isin(".", "!", "?")).alias("open"))
-    laid = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    # equal rows may stand in any order; numbering them lets a range of one key be cut
+    numbered = keyed.withColumn("tie", F.monotonically_increasing_id())
+    laid = numbered.repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie").drop("tie")
     return materialise(laid.withColumn("at", F.monotonically_increasing_id()))
 
 
