@@ -1,8 +1,10 @@
 """Who played this game: folds, scores, rank and fusion curves, confusion, reasons.
 
-Class scores live in one long table (player, game_id, class, p).  Every
-evaluation is joins and aggregates over it, so neither the number of games nor
-the number of classes has to fit anywhere.
+Class scores are one row a game: the place of the true class (``label``) and an
+array ``p`` with a score for each class in class order.  Ranks and predictions are
+read off the array, fusion adds arrays, and class names are joined last from the
+games themselves.  Scores laid out as rows (player, game_id, class, p) are accepted
+everywhere and packed first.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from pacelens.functions.nulls import ratio
 from pacelens.functions.ordered import ordered
 from pacelens.functions.stats import bin_of, guarded_corr, hash_rank, join_per_key, quantile_edges
 from pacelens.functions.storage import materialise
-from pacelens.operators import logistic
+from pacelens.operators import logistic, trees
 
 GAME = ("player", "game_id")
+FAMILIES = ("logistic", "forest", "boosting")
 
 # Evaluation sizes, thresholds and signal names.
 RANKS = (1, 3, 5, 10)
@@ -28,6 +31,7 @@ CONFUSION_FULL_MAX = 12
 CONFUSION_TOP = 8
 STORED_TOP = 5
 DISPLAY_TOTAL = 40
+PAIR_BINS = 16
 MIN_BUCKET_GAMES = 30
 SIGNALS = (
     "session_game_index", "log_minutes_since_prev_game", "prev_game_result",
@@ -86,74 +90,105 @@ def class_weights(vectors: DataFrame, label: str = "player") -> DataFrame:
 # --- model scores --------------------------------------------------------------------
 
 
-def _family(name: str, n_rows: int, n_classes: int, seed: int):
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+def _family(name: str, n_rows: int, seed: int):
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 
-    common = {"featuresCol": "_z", "labelCol": "_label", "weightCol": "_weight"}
+    common = {"featuresCol": "_z", "labelCol": "label", "weightCol": "_weight"}
     if name == "logistic":
         return LogisticRegression(family="multinomial", regParam=1.0 / max(n_rows, 1), maxIter=100, tol=1e-4, standardization=False, **common)
     if name == "forest":
         return RandomForestClassifier(numTrees=40, maxDepth=8, seed=seed, **common)
-    if name == "boosting":
-        if n_classes > 10:
-            raise ValueError("boosting is offered for at most ten classes")
-        trees = GBTClassifier(maxDepth=4, maxIter=20, stepSize=0.1, seed=seed, featuresCol="_z", labelCol="_label", weightCol="_weight")
-        return OneVsRest(classifier=trees, featuresCol="_z", labelCol="_label", weightCol="_weight", rawPredictionCol="rawPrediction")
     raise ValueError(f"unknown model family {name!r}")
 
 
-def _probabilities(scored: DataFrame, family: str, classes: Sequence[str]) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    if family != "boosting":
-        return vector_to_array("probability")
-    odds = F.transform(vector_to_array("rawPrediction"), lambda r: 1.0 / (1.0 + F.exp(-2.0 * r)))
-    return F.transform(odds, lambda o: o / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
+def _boosted(table: DataFrame, columns: Sequence[str], n_folds: int, n_classes: int, seed: int) -> DataFrame:
+    """Held-out scores of boosted trees; all folds grow together."""
+    keys = [*GAME, "fold", "label"]
+    ready = table.select(*keys, F.lit(0).alias("_group"), F.col("fold").alias("_fold"), F.col("label").alias("_label"), (F.col("_weight") / n_classes).alias("_weight"), F.struct(*GAME).alias("_row"), *columns)
+    rows = trees.binned(ready, columns, trees.edges(table, columns))
+    model = trees.grow(rows, 1, n_classes, n_folds, len(columns), seed=seed)
+    return trees.held_out(rows, model, len(columns)).select(F.lit("boosting").alias("family"), *keys, "p")
 
 
-def out_of_fold(vectors: DataFrame, columns: Sequence[str], families: Sequence[str] = ("logistic", "forest"), seed: int = 0) -> DataFrame:
+def out_of_fold(vectors: DataFrame, columns: Sequence[str], families: Sequence[str] = FAMILIES[:2], seed: int = 0, compact: bool = False) -> DataFrame:
     """Held-out class scores of every game from each model family.
 
-    ``vectors`` carries ``fold``; a negative fold only trains.  Scaling is fitted
-    inside each training part.  One distributed fit per family and fold.
+    ``vectors`` carries ``fold``; a negative fold only trains.  Scaling is fitted once a
+    training part and shared by the families.  Rows (family, player, game_id, fold, class, p),
+    or with ``compact`` one row a family and game, as every evaluation here reads them.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     weighted = vectors.join(class_weights(vectors).select("player", F.col("weight").alias("_weight")), "player")
-    table = materialise(
-        weighted.select(*GAME, "fold", "_weight", F.col("player").cast("string").alias("_class"), *[F.col(c).cast("double").alias(c) for c in columns])
-    )
-    labels = StringIndexer(inputCol="_class", outputCol="_label", stringOrderType="alphabetAsc").fit(table)
-    classes = list(labels.labels)
-    indexed = labels.transform(table)
-    folds = sorted(r[0] for r in indexed.where("fold >= 0").select("fold").distinct().collect())
-    n_rows = indexed.count()
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="keep")
-    scaler = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True)
-    union = None
-    for name in families:
-        for fold in folds:
-            model = Pipeline(stages=[assembler, scaler, _family(name, n_rows, len(classes), seed)]).fit(indexed.where(F.col("fold") != fold))
-            scored = model.transform(indexed.where(F.col("fold") == fold))
-            long = scored.select(
-                F.lit(name).alias("family"), *GAME, "fold", F.posexplode(_probabilities(scored, name, classes)).alias("_i", "p")
-            )
-            named = long.select(
-                "family", *GAME, "fold", F.array([F.lit(c) for c in classes])[F.col("_i")].cast(vectors.schema["player"].dataType).alias("class"), "p"
-            )
-            union = named if union is None else union.unionByName(named)
-    return materialise(union)
+    codes = materialise(ordered(vectors.select("player").distinct(), [], ["player"], number="label").select("player", (F.col("label") - 1).cast("int").alias("label")))
+    table = materialise(weighted.join(codes, "player").select(*GAME, "fold", "label", "_weight", *[F.col(c).cast("double").alias(c) for c in columns]))
+    folds = sorted(r[0] for r in table.where("fold >= 0").select("fold").distinct().collect())
+    n_rows, n_classes = table.count(), codes.count()
+    fitted = [name for name in families if name != "boosting"]
+    parts = []
+    if fitted:
+        raw = materialise(VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="keep").transform(table).select(*GAME, "fold", "label", "_weight", "_raw"))
+    for fold in folds if fitted else []:
+        scaler = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True).fit(raw.where(F.col("fold") != fold))
+        train = materialise(scaler.transform(raw.where(F.col("fold") != fold)).select("label", "_weight", "_z"))
+        held = scaler.transform(raw.where(F.col("fold") == fold))
+        for name in fitted:
+            scored = _family(name, n_rows, seed).fit(train).transform(held)
+            # a stored part at a time: no plan holds the trees of several models
+            parts.append(materialise(scored.select(F.lit(name).alias("family"), *GAME, "fold", "label", vector_to_array("probability").alias("p"))))
+    if "boosting" in families and folds:
+        parts.append(materialise(_boosted(table, columns, max(folds) + 1, n_classes, seed)))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union if compact else unpacked(union, codes)
+
+
+# --- layouts of class scores ---------------------------------------------------------
+
+
+def packed(scores: DataFrame) -> DataFrame:
+    """One row a game: ``label`` and ``p``; rows by class are gathered, a game's classes being one array's length."""
+    if "class" not in scores.columns:
+        return scores
+    keys = [c for c in scores.columns if c not in ("class", "p")]
+    held = F.array_sort(F.collect_list(F.struct("class", "p")))
+    gathered = scores.groupBy(*keys).agg(held.alias("_h"))
+    names = F.transform("_h", lambda h: h["class"])
+    label = F.nullif(F.array_position(names, F.col("player")), F.lit(0)) - 1
+    return gathered.select(*keys, label.cast("int").alias("label"), F.transform("_h", lambda h: h["p"]).alias("p"), names.alias("classes"))
+
+
+def class_names(scores: DataFrame) -> DataFrame:
+    """(label, class) of every class that has games."""
+    return scores.select("label", F.col("player").alias("class")).distinct()
+
+
+def unpacked(scores: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """Rows by class: the other columns, class, p."""
+    held = packed(scores)
+    keys = [c for c in held.columns if c not in ("label", "p", "classes")]
+    if "classes" in held.columns:
+        return held.select(*keys, F.inline(F.arrays_zip(F.col("classes").alias("class"), "p")))
+    names = class_names(held) if codes is None else codes.select("label", F.col("player").alias("class"))
+    return held.select(*keys, F.posexplode("p").alias("label", "p")).join(names, "label").select(*keys, "class", "p")
+
+
+def best_place(p: str = "p") -> Column:
+    """Place of the largest score, the first of equal ones."""
+    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
 
 
 def predictions(scores: DataFrame, keys: Sequence[str] = GAME) -> DataFrame:
     """Best class of each game with its score; equal scores take the first class."""
-    best = F.min(F.struct((-F.col("p")).alias("np"), F.col("class").alias("c")))
-    return (
-        scores.groupBy(*keys).agg(best.alias("_b"))
-        .select(*keys, F.col("_b.c").alias("predicted"), (-F.col("_b.np")).alias("confidence"))
-        .withColumn("correct", F.col("predicted") == F.col("player"))
-    )
+    held = packed(scores)
+    best = held.withColumns({"_best": best_place(), "confidence": F.array_max("p")})
+    if "classes" in held.columns:
+        named = best.withColumn("predicted", F.get("classes", F.col("_best")))
+    else:
+        named = best.join(class_names(held).select(F.col("label").alias("_best"), F.col("class").alias("predicted")), "_best", "left")
+    return named.select(*keys, "predicted", "confidence", F.coalesce(F.col("_best") == F.col("label"), F.lit(False)).alias("correct"))
 
 
 def recall(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -183,7 +218,7 @@ def best_family(scores: DataFrame) -> DataFrame:
     return scores.join(best, "family", "left_semi")
 
 
-def evaluate(vectors: DataFrame, columns: Sequence[str], k: int = 5, split: str = "random", families: Sequence[str] = ("logistic", "forest"), seed: int = 0) -> DataFrame:
+def evaluate(vectors: DataFrame, columns: Sequence[str], k: int = 5, split: str = "random", families: Sequence[str] = FAMILIES, seed: int = 0) -> DataFrame:
     """Held-out scores of the best family under random folds or a chronological holdout."""
     if split == "random":
         folded = stratified_folds(vectors, k, seed)
@@ -191,7 +226,8 @@ def evaluate(vectors: DataFrame, columns: Sequence[str], k: int = 5, split: str
         folded = chronological_holdout(vectors).withColumn("fold", F.when(F.col("is_test"), 0).otherwise(-1)).drop("is_test")
     else:
         raise ValueError(f"unknown split {split!r}")
-    return best_family(out_of_fold(folded, columns, families, seed))
+    held = out_of_fold(folded, columns, families, seed, compact=True)
+    return best_family(held) if len(families) > 1 else held
 
 
 def rating_band(vectors: DataFrame, ratings: DataFrame, low: float, high: float) -> DataFrame:
@@ -204,20 +240,17 @@ def rating_band(vectors: DataFrame, ratings: DataFrame, low: float, high: float)
 
 
 def rank_of_true(scores: DataFrame) -> DataFrame:
-    """Position of the true class among each game's scores."""
-    own = F.max(F.when(F.col("class") == F.col("player"), F.col("p"))).over(Window.partitionBy(*GAME))
-    ahead = (F.col("p") > F.col("_own")) | ((F.col("p") == F.col("_own")) & (F.col("class") < F.col("player")))
-    return (
-        scores.withColumn("_own", own)
-        .groupBy(*GAME)
-        .agg((F.count_if(ahead) + 1).alias("true_rank"))
-    )
+    """Position of the true class among each game's scores; null where it has none."""
+    own, label = F.get("p", F.col("label")), F.col("label")
+    ahead = F.filter("p", lambda x, i: (x > own) | ((x == own) & (i < label)))
+    return packed(scores).select(*GAME, F.when(own.isNotNull(), F.size(ahead) + 1).alias("true_rank"))
 
 
 def rank_k(scores: DataFrame, ks: Sequence[int] = RANKS) -> DataFrame:
     """Rank-k accuracy, k capped at the number of classes, repeated k dropped."""
-    n_classes = scalar(scores, F.count_distinct("class"))
-    per_player = rank_of_true(scores).groupBy("player").agg(
+    held = packed(scores)
+    n_classes = scalar(held, F.max(F.size("p")))
+    per_player = rank_of_true(held).groupBy("player").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("true_rank") <= k).alias(f"hit{k}") for k in ks]
     )
     columns = []
@@ -227,8 +260,18 @@ def rank_k(scores: DataFrame, ks: Sequence[int] = RANKS) -> DataFrame:
     return points.withColumn("k", F.least(F.col("k"), n_classes)).dropDuplicates(["k"])
 
 
+def _fused(games: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Weighted mean of the score arrays of each group: keys, ``label``, ``p``; a group holds at most its size in games."""
+    held = F.array_sort(F.collect_list(F.struct("game_id", "_weight", "p")))
+    zero = F.transform(F.col("_h")[0]["p"], lambda _: F.lit(0.0))
+    total = F.aggregate("_h", zero, lambda acc, g: F.zip_with(acc, g["p"], lambda a, x: a + x * g["_weight"]))
+    weight = F.aggregate("_h", F.lit(0.0), lambda acc, g: acc + g["_weight"])
+    summed = games.groupBy(*keys).agg(F.max("label").alias("label"), held.alias("_h")).select(*keys, "label", total.alias("_total"), weight.alias("_sum"))
+    return summed.select(*keys, "label", F.transform("_total", lambda x: x / F.col("_sum")).alias("p"))
+
+
 def _grouped(scores: DataFrame, sizes: Sequence[int], order: Column | None, weighted: bool, seed: int) -> DataFrame:
-    games = scores.groupBy(*GAME).agg(F.max("p").alias("_w"))
+    games = scores.select(*GAME, F.array_max("p").alias("_w"))
     hashed = xx("game_id", seed=seed) if order is None else order
     ranked = hash_rank(games, ["player"], hashed, ["game_id"], "_rank")
     counts = games.groupBy("player").agg(F.count(F.lit(1)).alias("_games"))
@@ -236,17 +279,13 @@ def _grouped(scores: DataFrame, sizes: Sequence[int], order: Column | None, weig
     placed = placed.withColumn("_group", F.floor((F.col("_rank") - 1) / F.col("n_games")))
     placed = placed.where((F.col("_group") + 1) * F.col("n_games") <= F.col("_games"))
     weight = F.col("_w") if weighted else F.lit(1.0)
-    return (
-        scores.join(placed.select(*GAME, "n_games", "_group", weight.alias("_weight")), list(GAME))
-        .groupBy("player", "n_games", "_group", "class")
-        .agg((F.sum(F.col("p") * F.col("_weight")) / F.sum("_weight")).alias("p"))
-    )
+    joined = scores.join(placed.select(*GAME, "n_games", "_group", weight.alias("_weight")), list(GAME))
+    return _fused(joined, ("player", "n_games", "_group"))
 
 
 def _curve(fused: DataFrame, scores: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    judged = predictions(fused, ("player", "n_games", "_group"))
-    per_player = judged.groupBy("player", "n_games").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("correct")).alias("_hits")
+    per_player = fused.groupBy("player", "n_games").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(best_place() == F.col("label")).alias("_hits")
     )
     points = per_player.groupBy("n_games").agg(
         ratio(F.sum("_hits"), F.sum("_n")).alias("overall_accuracy"),
@@ -270,23 +309,21 @@ def fuse(scores: DataFrame, sizes: Sequence[int] = GROUP_SIZES, weighting: str =
     """
     if weighting not in ("uniform", "confidence"):
         raise ValueError(f"unknown weighting {weighting!r}")
-    return _curve(_grouped(scores, sizes, order, weighting == "confidence", seed), scores, sizes)
+    held = packed(scores)
+    return _curve(_grouped(held, sizes, order, weighting == "confidence", seed), held, sizes)
 
 
 def fuse_selected(scores: DataFrame, keyed: DataFrame, by: str, sizes: Sequence[int] = GROUP_SIZES) -> DataFrame:
     """Like ``fuse`` with one group per player: their N games with the highest ``by``."""
     best = Window.partitionBy("player").orderBy(F.desc(by), "game_id")
-    games = scores.select(*GAME).distinct().join(keyed.select(*GAME, by), list(GAME))
+    held = packed(scores)
+    games = held.select(*GAME).join(keyed.select(*GAME, by), list(GAME))
     top = games.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= max(sizes))
-    held = top.groupBy("player").agg(F.count(F.lit(1)).alias("_games"))
-    placed = top.join(held, "player").withColumn("n_games", F.explode(F.array([F.lit(s) for s in sizes])))
+    counts = top.groupBy("player").agg(F.count(F.lit(1)).alias("_games"))
+    placed = top.join(counts, "player").withColumn("n_games", F.explode(F.array([F.lit(s) for s in sizes])))
     placed = placed.where((F.col("_rank") <= F.col("n_games")) & (F.col("n_games") <= F.col("_games")))
-    fused = (
-        scores.join(placed.select(*GAME, "n_games"), list(GAME))
-        .groupBy("player", "n_games", F.lit(0).alias("_group"), "class")
-        .agg(F.avg("p").alias("p"))
-    )
-    return _curve(fused, scores, sizes)
+    joined = held.join(placed.select(*GAME, "n_games", F.lit(0).alias("_group"), F.lit(1.0).alias("_weight")), list(GAME))
+    return _curve(_fused(joined, ("player", "n_games", "_group")), held, sizes)
 
 
 # --- diagnostics ---------------------------------------------------------------------
@@ -412,11 +449,15 @@ def reasons(vectors: DataFrame, pred: DataFrame, weights: DataFrame, columns: Se
 
 def stored_scores(scores: DataFrame, top: int = STORED_TOP) -> DataFrame:
     """Scores worth keeping per game: the best few, the true class and the predicted one."""
-    best = Window.partitionBy(*GAME).orderBy(F.desc("p"), "class")
-    return (
-        scores.withColumn("rank", F.row_number().over(best))
-        .where((F.col("rank") <= top) | (F.col("class") == F.col("player")))
-    )
+    held = packed(scores)
+    placed = F.array_sort(F.transform("p", lambda x, i: F.struct((-x).alias("np"), i.alias("at"))))
+    ranked = F.transform(placed, lambda e, i: F.struct(e["at"].alias("_at"), (-e["np"]).alias("p"), (i + 1).alias("rank")))
+    kept = F.filter(ranked, lambda e: (e["rank"] <= top) | (e["_at"] == F.col("label")))
+    if "classes" in held.columns:
+        rows = held.select(*GAME, "classes", F.inline(kept))
+        return rows.select(*GAME, F.get("classes", F.col("_at")).alias("class"), "p", "rank")
+    names = class_names(held).withColumnRenamed("label", "_at")
+    return held.select(*GAME, F.inline(kept)).join(names, "_at").select(*GAME, "class", "p", "rank")
 
 
 def merge_cyclic(reason_rows: DataFrame) -> DataFrame:
@@ -457,7 +498,14 @@ def trace_player(scores: DataFrame, min_games: int = 25, target: float = 0.25) -
 
 def confidence_trace(scores: DataFrame, games: DataFrame, min_games: int = 25, order: str = "game_date") -> DataFrame:
     """Running mean of one player's scores in date order, with the top guess after each game."""
-    mine = scores.join(trace_player(scores, min_games), "player", "left_semi").join(games.select(*GAME, order), list(GAME))
+    held = packed(scores)
+    # one player's games, by every class that has games
+    theirs = held.join(trace_player(held, min_games), "player", "left_semi")
+    if "classes" in held.columns:
+        rows = unpacked(theirs)
+    else:
+        rows = theirs.select(*GAME, F.posexplode("p").alias("_at", "p")).join(class_names(held).withColumnRenamed("label", "_at"), "_at")
+    mine = rows.join(games.select(*GAME, order), list(GAME))
     run = ordered(mine, ["class"], [order, "game_id"], number="n_games", sums={"_sum": F.col("p")})
     mean = run.withColumn("p", F.col("_sum") / F.col("n_games"))
     best = F.min(F.struct((-F.col("p")).alias("np"), F.col("class").alias("c")))
@@ -497,15 +545,16 @@ def sample_pairs(players: DataFrame, n_pairs: int = 40, seed: int = 0) -> DataFr
     return pairs.join(a, "i").join(b, "j").select("pair", "a", "b")
 
 
-def pairwise(vectors: DataFrame, columns: Sequence[str], n_pairs: int = 40, k: int = 5, min_games: int = 10, seed: int = 0) -> DataFrame:
-    """Balanced accuracy of telling two players apart, for sampled pairs.
+def pairwise(vectors: DataFrame, columns: Sequence[str], n_pairs: int = 40, k: int = 5, min_games: int = 10, seed: int = 0, families: Sequence[str] = FAMILIES) -> DataFrame:
+    """Balanced accuracy of telling two players apart, for sampled pairs: the best family, and each of them.
 
-    All pairs and folds are fitted together; a pair uses k = min(5, smaller class), and
-    columns are scaled within the training rows of each pair and fold.
+    All pairs and folds of a family are fitted together; a pair uses k = min(5, smaller class).
+    The logistic fit scales columns within the training rows of each pair and fold; trees read them as they are.
     """
     sizes = vectors.groupBy("player").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_games)
-    pairs = materialise(sample_pairs(sizes, n_pairs, seed))
-    sides = pairs.select("pair", "a", "b", F.explode(F.array("a", "b")).alias("player"))
+    by_number = Window.orderBy("pair")  # at most n_pairs rows
+    pairs = materialise(sample_pairs(sizes, n_pairs, seed).withColumn("_group", F.row_number().over(by_number) - 1))
+    sides = pairs.select("pair", "_group", "a", "b", F.explode(F.array("a", "b")).alias("player"))
     least = sides.join(sizes, "player").groupBy("pair").agg(F.min("_size").alias("_least"), F.sum("_size").alias("_all"))
     ranked = hash_rank(vectors, ["player"], xx("game_id", seed=seed), ["game_id"], "_rank")
     rows = sides.join(least, "pair").join(ranked, "player").join(sizes, "player")
@@ -516,13 +565,32 @@ def pairwise(vectors: DataFrame, columns: Sequence[str], n_pairs: int = 40, k: i
             "_weight": F.col("_all") / (2.0 * F.col("_size")),
         }
     )
-    rows = materialise(rows.select("pair", "a", "b", "player", "game_id", "fold", "_is_b", "_weight", *columns))
-    held = logistic.out_of_fold(rows, ["pair"], columns, "_is_b", k, "_weight", standardised=True)
-    hit = ((F.col("p") > 0.5) == F.col("_is_b")).cast("double")
-    per_class = held.groupBy("pair", "a", "b", "player").agg(F.avg(hit).alias("_recall"), F.count(F.lit(1)).alias("_n"))
-    return per_class.groupBy("pair", "a", "b").agg(
-        F.sum("_n").alias("n_games"), F.avg("_recall").alias("balanced_accuracy")
-    )
+    keys = ["pair", "a", "b", "player"]
+    rows = materialise(rows.select(*keys, "_group", "game_id", "fold", "_is_b", "_weight", *columns))
+    held = None
+    for name in families:
+        if name == "logistic":
+            scored = logistic.out_of_fold(rows, ["pair"], columns, "_is_b", k, "_weight", standardised=True)
+        else:
+            scored = _paired_trees(rows, columns, pairs.count(), k, name, seed).withColumn("p", F.col("p")[1])
+        one = scored.select(*keys, F.lit(name).alias("family"), ((F.col("p") > 0.5) == F.col("_is_b")).cast("double").alias("_hit"))
+        held = one if held is None else held.unionByName(one)
+    per_class = held.groupBy(*keys, "family").agg(F.avg("_hit").alias("_recall"), F.count(F.lit(1)).alias("_n"))
+    rated = per_class.groupBy("pair", "a", "b", "family").agg(F.sum("_n").alias("n_games"), F.avg("_recall").alias("_rate"))
+    own = [F.max(F.when(F.col("family") == name, F.col("_rate"))).alias(name) for name in families]
+    # of equal families the first in the alphabet
+    best = F.min(F.struct((-F.col("_rate")).alias("r"), F.col("family").alias("f")))
+    found = rated.groupBy("pair", "a", "b").agg(F.max("n_games").alias("n_games"), F.max("_rate").alias("balanced_accuracy"), best.alias("_b"), *own)
+    return found.select("pair", "a", "b", "n_games", "balanced_accuracy", F.col("_b.f").alias("family"), *families)
+
+
+def _paired_trees(rows: DataFrame, columns: Sequence[str], n_pairs: int, k: int, name: str, seed: int) -> DataFrame:
+    """Held-out scores of boosted trees or a forest for every pair, all pairs and folds grown together."""
+    ready = rows.select("pair", "a", "b", "player", "game_id", "_is_b", "_group", F.col("fold").alias("_fold"), F.col("_is_b").cast("int").alias("_label"), "_weight", F.struct("player", "game_id").alias("_row"), *columns)
+    stored = trees.binned(ready, columns, trees.edges(rows, columns, PAIR_BINS))
+    shape = {"copies": 16, "depth": 5, "share": 0.25} if name == "forest" else {"rounds": 12, "depth": 3}
+    model = trees.grow(stored, n_pairs, 2, k, len(columns), bins=PAIR_BINS, seed=seed, **shape)
+    return trees.held_out(stored, model, len(columns))
 
 
 def pairwise_summary(pairs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def scores(t):
     )
     raw = t.embeddings.select(F.col("label").alias("player"), F.col("vec_id").alias("game_id"), weight.alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda a, b: a + b)
-    return raw.select("player", "game_id", F.posexplode(F.transform("w", lambda w: w / total)).alias("class", "p"))
+    return raw.select("player", "game_id", F.col("player").cast("int").alias("label"), F.transform("w", lambda w: w / total).alias("p"))
 
 
 def judged(t):
@@ -42,7 +42,7 @@ def judged(t):
 
 @query("class_scores", "D6", "player:l game_id:l class:l p:d", f"{S} SELECT * FROM scores")
 def class_scores(t):
-    return scores(t)
+    return ident.unpacked(scores(t))
 
 
 @query("game_predictions", "D6 D18", "player:l game_id:l predicted:l confidence:d correct:b", f"{SP} SELECT * FROM pred")
@@ -127,7 +127,7 @@ def vectors(t):
 @query("identification_families", "D4 D5 D6 D7", "family:s n_games_total:l n_classes:l overall_accuracy:d balanced_accuracy:d")
 def identification_families(t):
     v, columns = vectors(t)
-    held = ident.out_of_fold(ident.stratified_folds(v, 5), columns, ("logistic", "forest"))
+    held = ident.out_of_fold(ident.stratified_folds(v, 5), columns, ("logistic", "forest"), compact=True)
     return ident.accuracy(ident.predictions(held, ("family", *ident.GAME)), ("family",))
 
 
@@ -148,10 +148,46 @@ def same_band_identification(t):
 @query("two_class_boosting", "D6 D15", "family:s overall_accuracy:d balanced_accuracy:d")
 def two_class_boosting(t):
     v, columns = vectors(t)
-    held = ident.out_of_fold(ident.stratified_folds(v, 2), columns, ("logistic", "boosting"))
+    held = ident.out_of_fold(ident.stratified_folds(v, 2), columns, ("logistic", "boosting"), compact=True)
     return ident.accuracy(ident.predictions(held, ("family", *ident.GAME)), ("family",))
 
 
+def separable(t, players: int):
+    """Games whose player shows in one column: every family must tell all of them apart, whatever the folds."""
+    columns = [f"f{j}" for j in range(players)]
+    own, other = (1 + F.col("o_orderkey") * 7919 % 13 / 16.0), lambda j: F.col("o_orderkey") * (j + 3) % 11 / 16.0
+    marks = [F.when(F.col("o_custkey") % players == j, own).otherwise(other(j)).alias(f"f{j}") for j in range(players)]
+    return t.orders.select((F.col("o_custkey") % players).alias("player"), F.col("o_orderkey").alias("game_id"), *marks), columns
+
+
+@query(
+    "separable_families", "D6 D7", "family:s n_games_total:l n_classes:l overall_accuracy:d balanced_accuracy:d",
+    """SELECT family, count(*) AS n_games_total, count(DISTINCT o_custkey % 12) AS n_classes, 1.0 AS overall_accuracy, 1.0 AS balanced_accuracy
+    FROM orders, (VALUES ('logistic'), ('forest'), ('boosting')) v(family) GROUP BY family""",
+)
+def separable_families(t):
+    v, columns = separable(t, 12)
+    held = ident.out_of_fold(ident.stratified_folds(v, 3), columns, ident.FAMILIES, compact=True)
+    return ident.accuracy(ident.predictions(held, ("family", *ident.GAME)), ("family",))
+
+
+@query(
+    "separable_pairs", "D21", "a:l b:l n_games:l balanced_accuracy:d family:s logistic:d forest:d boosting:d",
+    """WITH p AS (SELECT o_custkey % 6 AS player, count(*) AS n FROM orders GROUP BY 1)
+    SELECT x.player AS a, y.player AS b, x.n + y.n AS n_games, 1.0 AS balanced_accuracy, 'boosting' AS family, 1.0 AS logistic, 1.0 AS forest, 1.0 AS boosting
+    FROM p x JOIN p y ON x.player < y.player""",
+)
+def separable_pairs(t):
+    v, columns = separable(t, 6)
+    return ident.pairwise(v, columns)
+
+
+@query("pairwise_best_summary", "D21", "n_pairs:l min:d max:d mean:d median:d q25:d q75:d")
+def pairwise_best_summary(t):
+    v, columns = vectors(t)
+    return ident.pairwise_summary(ident.pairwise(v, columns))
+
+
 @query(
     "class_recall", "D7", "player:l n_games:l recall:d",
     f"{SP} SELECT player, count(*) AS n_games, avg(correct::INT) AS recall FROM pred GROUP BY player",
@@ -379,7 +415,7 @@ def confidence_trace(t):
     return ident.confidence_trace(scores(t), order)
 
 
-@query("pairwise_identification", "D21", "a:l b:l n_games:l balanced_accuracy:d")
+@query("pairwise_identification", "D21", "a:l b:l n_games:l balanced_accuracy:d family:s logistic:d forest:d boosting:d")
 def pairwise_identification(t):
     v, columns = vectors(t)
     return ident.pairwise(v, columns)
