@@ -360,7 +360,9 @@ def classes(docs: DataFrame, text: str = "text", identifier: str = "doc_id", lea
     # crowded buckets that are left with several classes: contract them by few tests, then exhaust what is left
     crowd = left_mixed(large, roots)
     if not crowd.isEmpty():
-        again = crowd.join(spread.select("node", "at", "value"), "node").select(F.xxhash64("bucket", "at", "value").alias("bucket"), "node", "n", "root")
+        # a node takes part through its first mixed bucket alone: what that leaves is exhausted below
+        first = crowd.groupBy("node").agg(F.min_by(F.struct("bucket", "n", "root"), "bucket").alias("c")).select("node", "c.*")
+        again = first.join(spread.select("node", "at", "value"), "node").select(F.xxhash64("bucket", "at", "value").alias("bucket"), "node", "n", "root")
         more, _ = candidates(again.union(crowd.select("bucket", "node", "n", "root")), chained=True)
         more = materialise(more.join(tested, ["a", "b"], "left_anti"))
         new = materialise(verified(more, docs, text, least))
