@@ -1,19 +1,27 @@
 """From game archives to the two-sided ply table and the tracked player's view.
 
 Text is taken apart with JVM regular expressions and higher-order functions; no
-board is replayed.  All moves of a game stand in one record, so ``plies`` folds
-clocks, opponent times, recaptures and castling over the record's own moves and
-explodes last: no shuffle, and a record that occurs twice cannot mix with its copy.
+board is replayed.  All moves of a game stand in one record, so ``plies`` fills clocks,
+opponent times, recaptures and castling forward over the moves of a batch of records,
+laid back to back: no shuffle, a cost per ply that does not grow with the length of a
+game, and a record that occurs twice cannot mix with its copy.
 The frame functions (``think_times``, ...) do the same as windows, for tables whose
 plies arrive one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pacelens.functions.nulls import truthy
+from pacelens.functions.shipping import ship
 
 # What counts as a premove and as a lag spike.
 PREMOVE_SECONDS = 0.12
@@ -99,32 +107,50 @@ def headers(games: DataFrame, pgn: str = "pgn") -> DataFrame:
     )
 
 
-def main_line(pgn: Column) -> Column:
-    """Move text without side lines, however deep, and without comments that carry no clock."""
-    text = F.regexp_replace(F.regexp_replace(pgn, r"^(?:\s*\[[^\n]*\]\s*\n)+", ""), r"\{(?![^}]*%clk)[^}]*\}", " ")
-    pieces = F.regexp_extract_all(text, F.lit(r"\{[^}]*\}|[()]|[^(){}]+|[{}]"), 0)
-
-    def outside(state, piece):
-        depth = F.when(piece == "(", state["depth"] + 1).when(piece == ")", F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
-        kept = (state["depth"] == 0) & ~piece.isin("(", ")")
-        return F.struct(depth.alias("depth"), F.when(kept, F.array_append(state["kept"], piece)).otherwise(state["kept"]).alias("kept"))
-
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
-    lines = F.aggregate(pieces, start, outside, lambda state: F.array_join(state["kept"], " "))
-    return F.when(text.contains("("), lines).otherwise(text)
-
-
-def token_array(pgn: Column) -> Column:
-    """Every move's text and clock comment, in order."""
-    tokens = F.regexp_extract_all(main_line(pgn), F.lit(MOVE_TOKEN), 0)
+#: Pieces of move text that side lines are cut out of: comments, brackets and what lies between them.
+PIECES = r"\{[^}]*\}|[()]|[^(){}]+|[{}]"
+
+
+def outside_brackets(pieces: pa.Array) -> pa.Array:
+    """The pieces of each list that stand in no bracket, in one scan over all lists; a bracket closed too often is ignored."""
+    flat, sizes = pieces.flatten(), np.diff(pieces.offsets.to_numpy())
+    opened, closed = (pc.fill_null(pc.equal(flat, c), False).to_numpy(zero_copy_only=False) for c in "()")
+    segment = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    steps = opened.astype(np.int64) - closed
+    level = np.cumsum(steps)
+    level -= (level - steps)[np.minimum(starts, max(len(steps) - 1, 0))][segment] if len(steps) else 0
+    far = 2 * len(steps) + 1  # keeps a running minimum inside its own list
+    lowest = np.minimum.accumulate(level - segment * far) + segment * far
+    depth = level - np.minimum(lowest, 0)
+    kept = (depth == 0) & ~closed
+    counts = np.bincount(segment[kept], minlength=len(sizes))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), flat.filter(pa.array(kept)))
+
+
+def tokens_of(games: DataFrame, pgn: str, others: dict[str, Column]) -> DataFrame:
+    """The columns ``others`` of each game and ``tokens``, its main line's moves (san, comment) in order."""
+    text = F.regexp_replace(F.regexp_replace(F.col(pgn), r"^(?:\s*\[[^\n]*\]\s*\n)+", ""), r"\{(?![^}]*%clk)[^}]*\}", " ")
+    pieces = F.when(text.contains("("), F.regexp_extract_all(text, F.lit(PIECES), 0)).otherwise(F.array(text))
+    held = games.select(F.struct(*[c.alias(n) for n, c in others.items()]).alias("_k"), F.coalesce(pieces, F.array().cast("array<string>")).alias("_pieces"))
+    schema = T.StructType([held.schema["_k"], held.schema["_pieces"]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), outside_brackets(batch.column(1))], names=["_k", "_pieces"])
+
+    ship(games.sparkSession)
+    found = F.regexp_extract_all(F.array_join("_pieces", " "), F.lit(MOVE_TOKEN), 0)
     after = lambda x: F.when(F.instr(x, "{") > 0, x.substr(F.instr(x, "{"), F.length(x))).otherwise("")
-    return F.transform(tokens, lambda x: F.struct(F.regexp_extract(x, rf"^({SAN})(?![\w-])", 1).alias("san"), after(x).alias("comment")))
+    tokens = F.transform(found, lambda x: F.struct(F.regexp_extract(x, rf"^({SAN})(?![\w-])", 1).alias("san"), after(x).alias("comment")))
+    return held.mapInArrow(cut, schema).select("_k.*", tokens.alias("tokens"))
 
 
 def move_tokens(games: DataFrame, pgn: str = "pgn") -> DataFrame:
     """One row per ply: its number, move text and clock comment."""
     kept = [c for c in games.columns if c != pgn]
-    return games.select(*kept, F.posexplode(token_array(F.col(pgn))).alias("ply", "_m")).select(
+    found = tokens_of(games, pgn, {c: F.col(c) for c in kept})
+    return found.select(*kept, F.posexplode("tokens").alias("ply", "_m")).select(
         *kept, "ply", F.col("_m.san").alias("move_san"), F.col("_m.comment").alias("comment")
     )
 
@@ -203,58 +229,65 @@ def castling_state(plies: DataFrame, keys=("game_id",)) -> DataFrame:
 
 
 PLY = (
-    "struct<ply: int, move_san: string, is_capture: boolean, gives_check: boolean, to_square: string, castle_side: string, promotion: string, "
-    "side: string, move_number: int, clock_after: double, clock_before: double, opp_clock: double, think_time: double, opp_think_time_prev: double, "
-    "is_recapture: boolean, own_castled_side: string, opp_castled_side: string, opposite_side_castling: boolean, timed_index: int>"
+    "ply int, move_san string, is_capture boolean, gives_check boolean, to_square string, castle_side string, promotion string, "
+    "side string, move_number int, clock_after double, clock_before double, opp_clock double, think_time double, opp_think_time_prev double, "
+    "is_recapture boolean, own_castled_side string, opp_castled_side string, opposite_side_castling boolean, timed_index int, timed_total int"
 )
 
 
-def folded_plies(tokens: Column, base: Column, increment: Column, alone: Column) -> Column:
-    """The plies of one record as an array, each with the clocks and castling before it.
+def last_before(marked: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Place of the nearest earlier marked ply of the same game, -1 without one; ``starts`` has each ply's first place."""
+    last = np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1))
+    last = np.r_[-1, last[:-1]] if len(last) else last
+    return np.where(last >= starts, last, -1)
 
-    ``alone``: one player holds both sides, so both sides' timed plies are numbered together."""
 
-    def described(token, i):
-        facts = facts_of(token["san"])
-        return F.struct(
-            i.alias("ply"), token["san"].alias("move_san"), *[c.alias(n) for n, c in facts.items()],
-            F.when(i % 2 == 0, "white").otherwise("black").alias("side"), clock_seconds(token["comment"]).alias("clock_after"),
-        )
-
-    def step(state, m):
-        white = m["side"] == "white"
-        own = lambda a, b: F.when(white, state[a]).otherwise(state[b])
-        clock, think = own("wc", "bc"), own("wc", "bc") - m["clock_after"] + state["inc"]
-        own_castle, opp_castle = own("wk", "bk"), own("bk", "wk")
-        timed = m["clock_after"].isNotNull()
-        ply = F.struct(
-            m["ply"], m["move_san"], m["is_capture"], m["gives_check"], m["to_square"], m["castle_side"], m["promotion"], m["side"],
-            (m["ply"] / 2).cast("int") + 1, m["clock_after"], clock, own("bc", "wc"), think, own("bs", "ws"),
-            truthy(m["is_capture"] & (m["to_square"] == state["taken"])), own_castle, opp_castle, truthy(own_castle != opp_castle),
-            F.when(timed, F.when(alone, state["wn"] + state["bn"]).otherwise(own("wn", "bn"))),
-        ).cast(PLY)
-        put = lambda name, mine, value, when: F.when(mine & when, value).otherwise(state[name]).alias(name)
-        return F.struct(
-            put("wc", white, m["clock_after"], timed), put("bc", ~white, m["clock_after"], timed),
-            put("ws", white, think, think.isNotNull()), put("bs", ~white, think, think.isNotNull()),
-            F.when(m["is_capture"], m["to_square"]).alias("taken"),
-            put("wk", white, m["castle_side"], m["castle_side"].isNotNull()), put("bk", ~white, m["castle_side"], m["castle_side"].isNotNull()),
-            put("wn", white, state["wn"] + 1, timed), put("bn", ~white, state["bn"] + 1, timed),
-            state["inc"].alias("inc"), F.array_append(state["plies"], ply).alias("plies"),
-        )
-
-    none = lambda kind: F.lit(None).cast(kind)
-    start = F.struct(
-        base.cast("double").alias("wc"), base.cast("double").alias("bc"), none("double").alias("ws"), none("double").alias("bs"), none("string").alias("taken"),
-        none("string").alias("wk"), none("string").alias("bk"), F.lit(0).alias("wn"), F.lit(0).alias("bn"),
-        increment.cast("double").alias("inc"), F.array().cast(f"array<{PLY}>").alias("plies"),
-    )
-
-    def finish(state):
-        total = lambda p: F.when(alone, state["wn"] + state["bn"]).when(p["side"] == "white", state["wn"]).otherwise(state["bn"])
-        return F.transform(state["plies"], lambda p: p.withField("timed_total", total(p)))
-
-    return F.aggregate(F.transform(tokens, described), start, step, finish)
+def at(values: np.ndarray, place: np.ndarray, otherwise=np.nan) -> np.ndarray:
+    return np.where(place >= 0, values[np.maximum(place, 0)], otherwise) if len(values) else values
+
+
+def filled_plies(counts: np.ndarray, base: np.ndarray, increment: np.ndarray, alone: np.ndarray, facts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What each ply's game had before it, for the plies of many games back to back: two scans a quantity, whatever the length of a game.
+
+    ``alone``: one player holds both sides, so both sides' timed plies are numbered together."""
+    n = int(counts.sum())
+    game = np.repeat(np.arange(len(counts)), counts)
+    starts = np.repeat(np.cumsum(counts) - counts, counts)
+    ply = np.arange(n) - starts
+    white = ply % 2 == 0
+    after, castle = facts["clock_after"], facts["castle_side"]
+    timed = ~np.isnan(after)
+
+    def both(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the last marked ply of the own side and of the other."""
+        w, b = last_before(marked & white, starts), last_before(marked & ~white, starts)
+        return np.where(white, w, b), np.where(white, b, w)
+
+    own, other = both(timed)
+    clock = at(after, own, base[game])
+    think = clock - after + increment[game]
+    spent = both(~np.isnan(think))[1]
+    own_castle, opp_castle = (at(castle, place, None) for place in both(np.array([c is not None for c in castle], dtype=bool)))
+    previous = np.where(ply > 0, np.arange(n) - 1, -1)
+    taken = at(np.where(facts["is_capture"], facts["to_square"], None), previous, None)
+    together = alone[game]
+
+    def numbered(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Timed plies of ``mine`` before each ply, and in its whole game."""
+        upto = np.cumsum(timed & mine) - (timed & mine)
+        before = upto - (upto[starts] if n else 0)
+        return before, np.bincount(game[timed & mine], minlength=len(counts))[game]
+
+    all_sides, of_white, of_black = numbered(np.ones(n, dtype=bool)), numbered(white), numbered(~white)
+    index, total = (np.where(together, a, np.where(white, w, b)) for a, w, b in zip(all_sides, of_white, of_black))
+    return {
+        "ply": ply, "side": np.where(white, "white", "black"), "move_number": ply // 2 + 1, "clock_before": clock, "opp_clock": at(after, other, base[game]),
+        "think_time": think, "opp_think_time_prev": at(think, spent),
+        "is_recapture": np.array([bool(c) and s is not None and s == t for c, s, t in zip(facts["is_capture"], facts["to_square"], taken)], dtype=bool),
+        "own_castled_side": own_castle, "opp_castled_side": opp_castle,
+        "opposite_side_castling": np.array([a is not None and b is not None and a != b for a, b in zip(own_castle, opp_castle)], dtype=bool),
+        "timed_index": np.where(timed, index, -1), "timed_total": total,
+    }
 
 
 def unique_games(games: DataFrame, pgn: str = "pgn") -> DataFrame:
@@ -274,10 +307,34 @@ def plies(games: DataFrame, pgn: str = "pgn", unique: bool = False) -> DataFrame
     ``timed_index`` and ``timed_total`` number each player's plies that carry a clock."""
     named = headers(unique_games(games, pgn) if unique else games, pgn)
     kept = [c for c in named.columns if c != pgn]
-    alone = F.lower("white") == F.lower("black")
-    folded = named.select(*kept, folded_plies(token_array(F.col(pgn)), F.col("base_s"), F.col("increment_s"), alone).alias("_plies"))
-    # outer: a plain explode would be given a filter that folds every record once more
-    return folded.select(*kept, F.explode_outer("_plies").alias("_p")).where("_p.ply IS NOT NULL").select(*kept, "_p.*")
+    others = {"kept": F.struct(*kept), "base": F.col("base_s").cast("double"), "increment": F.col("increment_s").cast("double"), "alone": F.coalesce(F.lower("white") == F.lower("black"), F.lit(False))}
+    facts = lambda m: F.struct(m["san"].alias("move_san"), *[c.alias(n) for n, c in facts_of(m["san"]).items()], clock_seconds(m["comment"]).alias("clock_after"))
+    told = tokens_of(named, pgn, others).select("kept", "base", "increment", "alone", F.transform("tokens", facts).alias("plies"))
+    own = [f for f in T.StructType.fromDDL(PLY).fields]
+    schema = T.StructType([told.schema["kept"], *own])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            counts, moves = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            told_of = {f.name: moves.field(i) for i, f in enumerate(moves.type)}
+            plain = {
+                "clock_after": told_of["clock_after"].to_numpy(zero_copy_only=False).astype(float), "is_capture": told_of["is_capture"].to_numpy(zero_copy_only=False).astype(bool),
+                **{c: np.array(told_of[c].to_pylist(), dtype=object) for c in ("castle_side", "to_square")},
+            }
+            numbers = [batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)]
+            found = filled_plies(counts, *[v.astype(float) for v in numbers], batch.column(3).to_numpy(zero_copy_only=False).astype(bool), plain)
+            columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))]
+            for f in own:
+                if f.name in told_of:
+                    columns.append(told_of[f.name])
+                    continue
+                v, kind = found[f.name], {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[f.dataType.simpleString()]
+                missing = np.isnan(v) if kind == pa.float64() else v < 0 if f.name == "timed_index" else None
+                columns.append(pa.array(v, kind, mask=missing, from_pandas=False))
+            yield pa.RecordBatch.from_arrays(columns, names=["kept", *[f.name for f in own]])
+
+    return told.mapInArrow(fill, schema).select("kept.*", *[f.name for f in own])
 
 
 def player_view(plies_all: DataFrame, players: DataFrame) -> DataFrame:
