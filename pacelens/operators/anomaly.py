@@ -278,7 +278,7 @@ def combiner(labelled: DataFrame, columns: Sequence[str] = ("timing_score", "mai
     judged = logistic.probability(usable.where("NOT is_train"), coefs, ["player"], columns, "_p")
     trained = auc(judged, ["player"], "altered", "_p", "trained_auc")
     plain = auc(judged, ["player"], "altered", naive, "naive_auc")
-    weights = coefs.select("player", *[F.col("coef")[i + 1].alias(f"weight_{c}") for i, c in enumerate(columns)])
+    weights = coefs.select("player", *[F.col("coef")[i + 1].alias(f"weight_{c}") for i, c in enumerate(columns)], "moved")
     return trained.join(plain, "player").join(weights, "player")
 
 

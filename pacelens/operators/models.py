@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pacelens.functions.draws import xx
 from pacelens.functions.nulls import ratio
-from pacelens.functions.ordered import sized_slices
+from pacelens.functions.ordered import hash_blocks, running, sized_slices
 from pacelens.functions.stats import guarded_corr, join_per_key, qcut, quantiles
 
 # Feature names, category codes and guards of the two models.
@@ -256,6 +257,41 @@ def contributions(df: DataFrame, model: DataFrame, columns: Sequence[str], keys:
     return long.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
 
+def redealt(df: DataFrame, columns: Sequence[str], keys: Sequence[str], tie: Sequence[str], order: Column | None = None, seed: int = 0) -> DataFrame:
+    """Each column's values dealt anew within its key, as ``_r_<column>``: a row gets those of the row before it in seeded hash order.
+
+    The hash is the order, so a key with most of the rows is cut by its leading bits; the first row of a key gets the
+    values of its last."""
+    at = ["_hash", *tie]
+    hashed = df.withColumn("_hash", (xx(*tie, seed=seed) if order is None else order).cast("bigint"))
+    values = F.struct(*[F.col(c).alias(f"_r_{c}") for c in columns])
+    dealt = running(hash_blocks(hashed.withColumn("_values", values), "_hash"), list(keys), at, previous={"_before": "_values"})
+    last = hashed.groupBy(*keys).agg(F.max_by(values, F.struct(*at)).alias("_last"))
+    joined = dealt.join(last, list(keys)).withColumn("_dealt", F.coalesce("_before", "_last"))
+    return joined.select(*df.columns, "_dealt.*")
+
+
+def permutation_importance(df: DataFrame, model: DataFrame, columns: Sequence[str], target: str, keys: Sequence[str] = ("player",), tie: Sequence[str] = ("game_id", "ply"), order: Column | None = None, seed: int = 0) -> DataFrame:
+    """How much each column's values, dealt anew within a key, raise the squared error of its linear model; all columns in one aggregation."""
+    needed = df.select(*keys, *tie, target, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    scored = predict(redealt(needed, columns, keys, tie, order, seed), model, columns, "_p").join(model.select(*keys, F.col("coef").alias("_coef")), list(keys))
+    error = F.col(target) - F.col("_p")
+    worse = [F.avg((error - F.col("_coef")[i] * (F.col(f"_r_{c}") - F.col(c))) ** 2 - error**2).alias(c) for i, c in enumerate(columns)]
+    return scored.groupBy(*keys).agg(*worse).unpivot(list(keys), list(columns), "feature", "importance")
+
+
+def tree_permutation_importance(fitted, df: DataFrame, columns: Sequence[str], target: str, tie: Sequence[str] = ("game_id", "ply"), seed: int = 0) -> DataFrame:
+    """The same for a fitted tree pipeline: rows are scored once as they are and once per column, in one job."""
+    rows = df.select(F.lit(0).alias("_all"), *tie, target, *columns)
+    dealt = redealt(rows, columns, ["_all"], tie, seed=seed)
+    names = F.array(F.lit(""), *[F.lit(c) for c in columns])
+    each = dealt.select("*", F.explode(names).alias("feature"))
+    swapped = each.select(target, "feature", *[F.when(F.col("feature") == c, F.col(f"_r_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+    errors = fitted.transform(swapped).groupBy("feature").agg(F.avg((F.col(target) - F.col("prediction")) ** 2).alias("_e"))
+    plain = errors.where("feature = ''").select(F.col("_e").alias("_plain"))
+    return join_per_key(errors.where("feature <> ''"), plain, []).select("feature", (F.col("_e") - F.col("_plain")).alias("importance"))
+
+
 def baseline(features: DataFrame, columns: Sequence[str], target: str = "log_think_time", days: int = LIVE_WINDOW_DAYS, min_rows: int = MIN_ROWS) -> DataFrame:
     """Live and descriptive models of every player as one registry table.
 

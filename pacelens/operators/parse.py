@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -384,9 +384,12 @@ def move_index(plies_view: DataFrame, keys=("player", "game_id")) -> DataFrame:
     )
 
 
-def drop_untimed(plies_view: DataFrame) -> DataFrame:
-    """Rows with a usable time control; ``untimed_count`` reports the rest."""
-    return plies_view.where(F.col("base_s").isNotNull())
+def drop_untimed(plies_view: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Rows with a usable time control; ``untimed_count`` reports the rest, and so does ``observation`` once the rows have been used."""
+    timed = F.col("base_s").isNotNull()
+    if observation is not None:
+        plies_view = plies_view.observe(observation, F.count_if(~timed).alias("n_dropped"), F.count_if(timed).alias("n_kept"))
+    return plies_view.where(timed)
 
 
 def untimed_count(plies_view: DataFrame, keys=("player",)) -> DataFrame:

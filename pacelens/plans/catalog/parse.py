@@ -231,3 +231,17 @@ def think_time_summary(t):
 def untimed_counts(t):
     rows = t.documents.select("source", parse.time_control_base(F.expr(CONTROL_TEXT)).alias("base_s"))
     return parse.untimed_count(rows, ("source",))
+
+
+@query(
+    "untimed_observed", "P14", "n_dropped:l n_kept:l n_rows:l",
+    """SELECT count(*) FILTER (WHERE doc_id % 8 NOT IN (0, 1, 5)) AS n_dropped, count(*) FILTER (WHERE doc_id % 8 IN (0, 1, 5)) AS n_kept,
+      count(*) FILTER (WHERE doc_id % 8 IN (0, 1, 5)) AS n_rows FROM documents""",
+)
+def untimed_observed(t):
+    """The counts that fall out of the pass that drops the rows, beside the rows it keeps."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    kept = parse.drop_untimed(t.documents.select(parse.time_control_base(F.expr(CONTROL_TEXT)).alias("base_s")), seen).count()
+    return t.spark.createDataFrame([(seen.get["n_dropped"], seen.get["n_kept"], kept)], "n_dropped long, n_kept long, n_rows long")

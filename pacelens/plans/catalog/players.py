@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pacelens.functions.draws import mix
 from pacelens.operators import insights, models, profile
 from pacelens.plans.catalog import query
 from pacelens.plans.catalog.games import corr_sql
@@ -146,6 +147,44 @@ def baseline_drivers(t):
     return models.contributions(rows, fitted, X)
 
 
+@query(
+    "registry_round_trip", "M10 M12", "player:l game_id:l ply:l pred_log_think_time:d expected_think_time:d",
+    f"""{RIDGE_SQL}, p AS (SELECT u.player, game_id, ply, w0 + w1 * n_captures_available + w2 * clock_before AS p FROM usable u JOIN ridge r ON r.player = u.player)
+    SELECT player, game_id, ply, p AS pred_log_think_time, exp(p) - 1 AS expected_think_time FROM p""",
+)
+def registry_round_trip(t):
+    """The ridge models published twice, the second version read back and scored."""
+    import uuid
+
+    from pacelens.functions.storage import shared_folder
+    from pacelens.sources import registry
+
+    rows, fitted = ridge(t)
+    folder = f"{shared_folder(t.spark)}/registry-{uuid.uuid4().hex}"
+    named = models.registry({"thinktime_descriptive": fitted})
+    registry.publish(named.withColumn("intercept", F.lit(0.0)), folder)
+    registry.publish(named, folder)
+    stored = models.preferred(registry.load(t.spark, folder))
+    return models.expected_think_time(models.predict(rows.drop("pred_log_think_time"), stored, X))
+
+
+DEALT_SQL = "((game_id * 64 + ply) % 2147483648 * 2654435761 + 7) % 4294967296"
+
+
+@query(
+    "permutation_drivers", "M9", "player:l feature:s importance:d",
+    f"""{RIDGE_SQL}, p AS (SELECT u.player, game_id, ply, log_think_time - (w0 + w1 * n_captures_available + w2 * clock_before) AS e, n_captures_available AS x1, clock_before AS x2,
+      w1, w2, {DEALT_SQL} AS h FROM usable u JOIN ridge r ON r.player = u.player),
+    d AS (SELECT *, coalesce(lag(x1) OVER o, arg_max(x1, (h, game_id, ply)) OVER (PARTITION BY player)) AS r1,
+      coalesce(lag(x2) OVER o, arg_max(x2, (h, game_id, ply)) OVER (PARTITION BY player)) AS r2 FROM p WINDOW o AS (PARTITION BY player ORDER BY h, game_id, ply))
+    SELECT player, 'n_captures_available' AS feature, avg((e - w1 * (r1 - x1)) ** 2 - e ** 2) AS importance FROM d GROUP BY player
+    UNION ALL SELECT player, 'clock_before', avg((e - w2 * (r2 - x2)) ** 2 - e ** 2) FROM d GROUP BY player""",
+)
+def permutation_drivers(t):
+    rows, fitted = ridge(t)
+    return models.permutation_importance(rows.drop("pred_log_think_time"), fitted, X, "log_think_time", order=mix(F.col("game_id") * 64 + F.col("ply"), 7))
+
+
 WIDE = ("gap_1_2", "is_decided", "game_phase", "n_captures_available", "maia_surprise", "clock_before", "opp_think_time_prev", "low_time", "player_rating")
 
 
@@ -166,6 +205,15 @@ def tree_think_time_drivers(t):
     return models.tree_importances(fitted, columns, t.spark)
 
 
+@query("tree_permutation_drivers", "M9", "feature:s importance:d")
+def tree_permutation_drivers(t):
+    rows = models.time_split(models.model_rows(pool(t)))
+    columns = models.design_columns(WIDE, indicators=False)
+    ready = models.design(rows, WIDE)
+    fitted = models.fit_trees(ready.where(~F.col("is_test")), columns, "log_think_time")
+    return models.tree_permutation_importance(fitted, ready.where("is_test"), columns, "log_think_time")
+
+
 @query("tree_move_quality", "M7 M8", "player:l n_test:l mae:d r2:d")
 def tree_move_quality(t):
     rows = models.time_split(models.model_rows(pool(t)).where(~F.col("is_decided")))

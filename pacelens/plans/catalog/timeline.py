@@ -119,6 +119,21 @@ def play_sessions(t):
     return sessions.sessions(event_games(t), gap_minutes=360)
 
 
+@query(
+    "session_cross_check", "X4", "player:l n_sessions:l n_windows:l longest:l longest_window:l",
+    """WITH g AS (SELECT user_id AS player, event_id AS game_id, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 6e7 AS gap FROM events),
+    s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 360 THEN 1 ELSE 0 END) OVER (PARTITION BY player ORDER BY ts, game_id) AS sid FROM g),
+    n AS (SELECT player, sid, count(*) AS n FROM s GROUP BY 1, 2)
+    SELECT player, count(*) AS n_sessions, count(*) AS n_windows, max(n) AS longest, max(n) AS longest_window FROM n GROUP BY player""",
+)
+def session_cross_check(t):
+    games = event_games(t)
+    own = sessions.sessions(games, gap_minutes=360).groupBy("player", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = own.groupBy("player").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest"))
+    windows = sessions.session_windows(games, 360).groupBy("player").agg(F.count(F.lit(1)).alias("n_windows"), F.max("n_games").alias("longest_window"))
+    return counted.join(windows, "player", "full")
+
+
 @query(
     "experience_columns", "X2 X3 X4 X5",
     "player:l game_id:l ply:l games_played_so_far:l days_since_first:l recency_weight:d minutes_since_prev_game:d session_game_index:l",

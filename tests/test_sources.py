@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pacelens.operators import parse
@@ -112,3 +113,24 @@ def test_player_names_compare_caselessly(spark):
     plies = parse.plies(spark.createDataFrame([(game("ANN"),)], "pgn string"))
     view = parse.player_view(plies.withColumn("base_s", F.lit(60.0)), spark.createDataFrame([("ann",)], "player string"))
     assert [(r.player, r.color, r.player_moves_total) for r in view.collect()] == [("ann", "white", 1)]
+
+
+def test_registry_publishes_whole_versions(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from pacelens.sources import registry
+
+    folder = f"file://{tmp_path}/models"
+    first = spark.createDataFrame([("a", 1.0)], "player string, intercept double")
+    with pytest.raises(LookupError):
+        registry.load(spark, folder)
+    assert registry.publish(first, folder) == 1
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=["intercept"], outputCol="x")]).fit(first)
+    assert registry.publish(first.withColumn("intercept", first.intercept + 1), folder, {"trees": fitted}) == 2
+    first.write.parquet(f"{folder}/00000003-unnamed/coefficients")  # a writer that died before naming its version
+    fresh = spark.newSession()
+    assert [registry.load(fresh, folder, v).first().intercept for v in (None, 1, 2)] == [2.0, 1.0, 2.0]
+    assert registry.load_pipeline(fresh, folder, "trees").transform(first).first().x[0] == 1.0
+    with pytest.raises(LookupError):
+        registry.load(spark, folder, 3)
