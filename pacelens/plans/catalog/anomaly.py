@@ -232,6 +232,28 @@ def trained_detector(t):
     return anomaly.detector(folds, {"rich": anomaly.RICH_FEATURES, "thin": anomaly.THIN_FEATURES["flat"]})
 
 
+@query(
+    "detector_gradients", "A8 A10 A12", "player:l model:l largest_gradient:d settled:b",
+    f"""{P}, g AS (SELECT DISTINCT player, game_id FROM pool), s AS (SELECT player FROM g GROUP BY player HAVING 2 * count(*) >= 24)
+    SELECT player, model, 0.0 AS largest_gradient, true AS settled FROM s, range(5) r(model)""",
+)
+def detector_gradients(t):
+    """The gradient of each cross-fitted model at its weights, added up over the rows it may see: nothing is left to gain."""
+    from pacelens.functions.storage import materialise
+    from pacelens.operators import logistic
+
+    columns = anomaly.THIN_FEATURES["flat"]
+    rows = materialise(anomaly.balanced(anomaly.detector_folds(paired(t))))
+    fitted = logistic.cross_fitted(rows, ["player"], columns, "altered", 5, "weight")
+    seen = rows.join(fitted.withColumnRenamed("fold", "model"), "player").where("fold <> model")
+    x = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]]
+    total = sum((F.col("coef")[j] * v for j, v in enumerate(x)), F.lit(0.0))
+    left = F.col("weight") * (F.col("altered").cast("double") - 1 / (1 + F.exp(-total)))
+    slopes = [F.sum(left * v) - (F.max(F.col("coef")[j]) if j else F.lit(0.0)) for j, v in enumerate(x)]
+    found = seen.groupBy("player", "model").agg(F.greatest(*[F.abs(g) for g in slopes]).alias("g"), F.max("moved").alias("moved"))
+    return found.select("player", "model", F.round("g", 3).alias("largest_gradient"), (F.col("moved") < logistic.SETTLED).alias("settled"))
+
+
 @query("evidence_combination", "A12", "player:l model:s auc:d")
 def evidence_combination(t):
     return anomaly.combination(anomaly.detector_folds(paired(t)), anomaly.AGREEMENT_FEATURES, anomaly.RICH_FEATURES)
