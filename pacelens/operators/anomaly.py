@@ -267,19 +267,23 @@ def half_split(games: DataFrame, seed: int = 1, order: Column | None = None) ->
     return games.join(marked, list(GAME))
 
 
-def combiner(labelled: DataFrame, columns: Sequence[str] = ("timing_score", "maia_score"), naive: str = "combined", seed: int = 1, order: Column | None = None) -> DataFrame:
-    """Per-player trained combination against the plain sum, on the games not trained on."""
+def combiner(labelled: DataFrame, columns: Sequence[str] = ("timing_score", "maia_score"), naive: str = "combined", seed: int = 1, order: Column | None = None, keys: Sequence[str] = ("player",)) -> DataFrame:
+    """Trained combination per key against the plain sum, on the games not trained on.
+
+    ``keys`` beyond the player (a scenario's name, never null) get models of their own, all on the same half of the
+    player's games."""
+    keys = list(keys)
     split = materialise(half_split(materialise(labelled), seed, order))
-    able = split.groupBy("player").agg(
+    able = split.groupBy(*keys).agg(
         *[F.count_if((F.col("is_train") == t) & (F.col("altered") == a)).alias(f"_{int(t)}{int(a)}") for t in (True, False) for a in (True, False)]
     ).where("_11 > 0 AND _10 > 0 AND _01 > 0 AND _00 > 0")
-    usable = split.join(able.select("player"), "player", "left_semi")
-    coefs = logistic.fit_logistic(usable.where("is_train"), ["player"], columns, "altered")
-    judged = logistic.probability(usable.where("NOT is_train"), coefs, ["player"], columns, "_p")
-    trained = auc(judged, ["player"], "altered", "_p", "trained_auc")
-    plain = auc(judged, ["player"], "altered", naive, "naive_auc")
-    weights = coefs.select("player", *[F.col("coef")[i + 1].alias(f"weight_{c}") for i, c in enumerate(columns)], "moved")
-    return trained.join(plain, "player").join(weights, "player")
+    usable = split.join(able.select(*keys), keys, "left_semi")
+    coefs = materialise(logistic.fit_logistic(usable.where("is_train"), keys, columns, "altered"))
+    judged = logistic.probability(usable.where("NOT is_train"), coefs, keys, columns, "_p")
+    trained = auc(judged, keys, "altered", "_p", "trained_auc")
+    plain = auc(judged, keys, "altered", naive, "naive_auc")
+    weights = coefs.select(*keys, *[F.col("coef")[i + 1].alias(f"weight_{c}") for i, c in enumerate(columns)], "moved")
+    return trained.join(plain, keys).join(weights, keys)
 
 
 def detector_folds(labelled: DataFrame, min_rows: int = 24, seed: int = 0, order: Column | None = None) -> DataFrame:

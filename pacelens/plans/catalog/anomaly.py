@@ -210,9 +210,9 @@ def engine_agreement(t):
     return anomaly.agreement(pool(t))
 
 
-def paired(t, timing="smart"):
-    """Clean and fully altered games of every player with all detector features."""
-    one = [(timing, 1.0, None)]
+def paired(t, timing="smart", rate=1.0, k=None):
+    """Clean games of every player and altered ones, all plies or ``k`` of them, with all detector features."""
+    one = [(timing, rate, k)]
     plies = anomaly.perturb_scenarios(pool(t), one, draw=draw)
     return anomaly.against_clean(anomaly.game_evidence(plies, KEYS), one).select(
         "player", "game_id", "altered", *anomaly.SELECTIVE_FEATURES, *anomaly.AGREEMENT_FEATURES
@@ -232,6 +232,23 @@ def trained_detector(t):
     return anomaly.detector(folds, {"rich": anomaly.RICH_FEATURES, "thin": anomaly.THIN_FEATURES["flat"]})
 
 
+@query("selective_detector", "A10", "player:l auc_rich:d auc_thin:d")
+def selective_detector(t):
+    """Three altered plies a game: extremes of a game against the two plain maxima."""
+    folds = anomaly.detector_folds(paired(t, rate=None, k=3))
+    return anomaly.detector(folds, {"rich": anomaly.SELECTIVE_FEATURES, "thin": anomaly.THIN_FEATURES["selective"]})
+
+
+@query("scenario_combiners", "A8 A14", "scenario:s player:l trained_auc:d naive_auc:d weight_timing_score:d weight_maia_score:d")
+def scenario_combiners(t):
+    """A combiner of its own for every player and scenario."""
+    wanted = [("naive", 1.0, None), ("smart", 0.5, None), ("smart", 1.0, None), ("smart", None, 3)]
+    scores = anomaly.score(anomaly.perturb_scenarios(pool(t), wanted, draw=draw), "mean", KEYS)
+    labelled = anomaly.against_clean(scores, wanted)
+    named = labelled.withColumn("scenario", F.concat_ws(" ", "mode", F.col("rate").cast("string"), F.concat(F.lit("k="), F.col("k").cast("string"))))
+    return anomaly.combiner(named.drop("mode", "rate", "k"), keys=("scenario", "player"))
+
+
 @query(
     "detector_gradients", "A8 A10 A12", "player:l model:l largest_gradient:d settled:b",
     f"""{P}, g AS (SELECT DISTINCT player, game_id FROM pool), s AS (SELECT player FROM g GROUP BY player HAVING 2 * count(*) >= 24)

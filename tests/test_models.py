@@ -205,3 +205,16 @@ def test_full_build_narrates_all_games_and_fits_boosting(spark, monkeypatch):
     build.full_build(plies, plies, ["c"], [])
     build.full_build(plies, plies, ["c"], [], narrated=6)
     assert seen["games"] == [90, 6] and all(set(f) == {"logistic", "forest", "boosting"} for f in seen["families"])
+
+
+def test_combiners_by_scenario_equal_one_at_a_time(spark):
+    rng = np.random.default_rng(11)
+    rows = [(s, p, g, bool(a), float(rng.normal() + (2 if s == "x" else 0.5) * a), float(rng.normal())) for s in "xy" for p in ("a", "b") for g in range(24) for a in (0, 1)]
+    frame = spark.createDataFrame(rows, "scenario string, player string, game_id int, altered boolean, timing_score double, maia_score double").withColumn("combined", F.col("timing_score") + F.col("maia_score"))
+    together = {(r.scenario, r.player): r for r in anomaly.combiner(frame, keys=("scenario", "player")).collect()}
+    assert len(together) == 4 and all(r.moved < logistic.SETTLED for r in together.values())
+    for s in "xy":
+        for r in anomaly.combiner(frame.where(F.col("scenario") == s).drop("scenario")).collect():
+            other = together[s, r.player]
+            assert (r.trained_auc, r.naive_auc) == (other.trained_auc, other.naive_auc)
+            assert r.weight_timing_score == pytest.approx(other.weight_timing_score)
