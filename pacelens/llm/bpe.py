@@ -12,8 +12,11 @@ long as that part was a separate arc, was lost by the state or by a state it was
 copied from.  The automaton accepts exactly the token sequences that the merges
 produce, one for each string.
 
-Encoding walks a pre-split word from left to right through these tables, longer arcs
-first, and steps back from positions that no arc continues.  Decoding emits arc labels.
+The tables are then compiled for walking: for every state the refused arcs of the
+copies it stems from, for every arc its leading parts, and for every state and symbol
+of the tree of labels the next state.  Encoding walks a pre-split word from left to
+right through them, longer arcs first, and steps back from positions that no arc
+continues.  Decoding emits arc labels.
 
 Defined cases: null text is the empty text with no tokens; special tokens found in
 a text become their own ids; repeated rows repeat their result; further columns are
@@ -61,11 +64,10 @@ class Automaton:
         size = max(self.label, default=-1) + 1
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.lost: dict[tuple[int, int], int] = {}
-        self.asked: dict[int, bool] = {}
         self.live = [True] * size
-        self.longest = max(map(len, vocabulary), default=1)
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocabulary[a], vocabulary[b], vocabulary[a + b])
+        self._compile()
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
         path = self.live[a] and self.live[b] and self.leaves(a, b, rank)
@@ -73,6 +75,39 @@ class Automaton:
             self.left[c], self.right[c], self.born[c], self.live[c] = a, b, rank, path
         self.lost.setdefault((a, b), rank)
 
+    def _compile(self) -> None:
+        """Tables for walking: a state's refused arcs by the copies it stems from, an arc's leading parts, the tree of labels."""
+        refused: dict[int, dict[int, int]] = {}
+        for (state, part), rank in self.lost.items():
+            refused.setdefault(state, {})[part] = rank
+        self.refusals, self.parts = [], []
+        for label in range(len(self.born)):
+            state, until, found = label, NEVER, []
+            while state >= 0:
+                if state in refused:
+                    found.append((refused[state], until))
+                until, state = self.born[state], self.right[state]
+            self.refusals.append(found)
+            part, apart, spine = label, NEVER, []
+            while part >= 0:
+                spine.append((part, apart))
+                apart, part = self.born[part], self.left[part]
+            self.parts.append(spine)
+        self.root: dict = {}
+        for label, i in self.arc.items():
+            if self.live[i]:
+                node = self.root
+                for symbol in self.symbols_of(label):
+                    node = node.setdefault(symbol, {})
+                node[""] = i
+
+    def symbols_of(self, label: str) -> list[str]:
+        """The symbols of a label; the end mark belongs to the last."""
+        if self.end and label.endswith(self.end) and len(label) > len(self.end):
+            body = label[: -len(self.end)]
+            return [*body[:-1], body[-1] + self.end]
+        return list(label)
+
     def leaves(self, state: int, arc: int, before: int = NEVER) -> bool:
         """Whether ``arc`` leaves the state that label ``state`` leads to, after the merges of ranks below ``before``."""
         lost, left, right, born = self.lost, self.left, self.right, self.born
@@ -87,66 +122,83 @@ class Automaton:
             until, state = born[state], right[state]
         return True
 
-    def follows(self, state: int, arc: int) -> bool:
-        """``leaves`` looked up in a table of the transitions asked for so far."""
-        key = state << 24 | arc
-        answer = self.asked.get(key)
-        if answer is None:
-            if len(self.asked) > 250_000:
-                self.asked.clear()
-            answer = self.asked[key] = self.leaves(state, arc)
-        return answer
-
     def encode(self, symbols: str) -> list[int]:
         """Token ids of one pre-split word given as symbols; the last symbol also carries the end mark.
 
-        One path spells the word, and one path spells each of its prefixes.  Longer
-        arcs are tried first; a position that could not be continued is never entered
-        again, so the work is linear in the length."""
-        n, arc, live, follows, end = len(symbols), self.arc, self.live, self.follows, self.end
-        whole = arc.get(symbols + end, -1)
-        if whole >= 0 and live[whole]:
-            return [whole]
-        path, starts, dead = [], [], set()
-        at, to = 0, min(n, self.longest)
-        while at < n:
-            while to > at:
-                if to not in dead:
-                    t = arc.get(symbols[at:to] + end if to == n else symbols[at:to], -1)
-                    if t >= 0 and live[t] and (not path or follows(path[-1], t)):
-                        break
-                to -= 1
-            if to > at:
-                path.append(t)
-                starts.append(at)
-                at, to = to, min(n, to + self.longest)
+        One path spells the word, and one path spells each of its prefixes.  A walk
+        through the label tree finds the arcs at a position, the longest is tried
+        first, and a position that could not be continued is never entered again, so
+        the work is linear in the length."""
+        spelt = [*symbols[:-1], symbols[-1:] + self.end]
+        n, root, refusals, parts_of = len(spelt), self.root, self.refusals, self.parts
+        path: list[int] = []
+        left: list[list[tuple[int, int]]] = []  # the arcs not yet tried at each position of the path
+        starts: list[int] = []
+        dead = set()
+        at, refused_by = 0, ()
+        arcs, node = [], root
+        for to, symbol in enumerate(spelt, 1):
+            node = node.get(symbol)
+            if node is None:
+                break
+            if "" in node:
+                arcs.append((to, node[""]))
+        while True:
+            while arcs:
+                to, t = arcs.pop()
+                if to in dead:
+                    continue
+                for refused, until in refused_by:
+                    for part, apart in parts_of[t]:
+                        rank = refused.get(part)
+                        if rank is not None and rank < until and rank <= apart:
+                            break
+                    else:
+                        continue
+                    break
+                else:
+                    break
             else:
-                dead.add(at)
                 if not path:
                     raise ValueError(f"the vocabulary cannot spell {symbols!r}")
+                dead.add(at)
                 path.pop()
-                at, to = starts.pop(), at - 1
-        return path
+                arcs, at = left.pop(), starts.pop()
+                refused_by = refusals[path[-1]] if path else ()
+                continue
+            path.append(t)
+            if to == n:
+                return path
+            left.append(arcs)
+            starts.append(at)
+            at, refused_by = to, refusals[t]
+            arcs, node = [], root
+            for far in range(at, n):
+                node = node.get(spelt[far])
+                if node is None:
+                    break
+                if "" in node:
+                    arcs.append((far + 1, node[""]))
 
 
 class Words(dict):
-    """Encoded pre-split words, made when first asked for."""
+    """Encoded pre-split words, made when first asked for; those of the ``older`` generation are carried over when used."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, older: dict | None = None):
+        self.make, self.older = make, dict(older or {})
 
     def __missing__(self, word: str):
-        entry = self[word] = self.make(word)
+        entry = self[word] = self.older.get(word) or self.make(word)
         return entry
 
 
 class Tokenizer:
-    """Normalising, pre-splitting and encoding texts as one vocabulary file says; words are cached up to a bound.
+    """Normalising, pre-splitting and encoding texts as one vocabulary file says; words are cached up to a bound, in two generations.
 
     Characters assigned after Python's Unicode version are classified by the
     tokenizers library's own normaliser and splitter."""
 
-    def __init__(self, spec: dict, most_words: int = 120_000):
+    def __init__(self, spec: dict, most_words: int = 60_000):
         model, self.spec = spec["model"], spec
         self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -156,14 +208,18 @@ class Tokenizer:
             raise ValueError("a vocabulary with another normaliser or splitter")
         self.split = regex.compile(PRE_SPLIT)
         self.symbols = dict(enumerate(byte_symbols()))
+        labels = [self.automaton.label.get(i, "") for i in range(len(self.automaton.born))]
+        self.id_bytes, self.label_bytes = [i.to_bytes(4, "little") for i in range(len(labels))], [t.encode("utf-8") for t in labels]
         self.most, self.words, self.library = most_words, Words(self.word), None
 
     def word(self, piece: str) -> tuple[bytes, bytes]:
+        if piece.isascii() and piece.isprintable():  # these bytes are their own symbols
+            return self.spelt(piece)
         return self.spelt("".join(map(self.symbols.__getitem__, piece.encode("utf-8"))))
 
     def spelt(self, symbols: str) -> tuple[bytes, bytes]:
-        ids, labels = self.automaton.encode(symbols), self.automaton.label
-        return np.array(ids, dtype="<u4").tobytes(), " ".join(labels[i] for i in ids).encode("utf-8")
+        ids = self.automaton.encode(symbols)
+        return b"".join([self.id_bytes[i] for i in ids]), b" ".join([self.label_bytes[i] for i in ids])
 
     def pieces(self, text: str) -> list[tuple[bytes, bytes]]:
         """The encoded words of a text without special tokens."""
@@ -187,7 +243,7 @@ class Tokenizer:
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers, UTF-8 of the decoded text)."""
         if len(self.words) > self.most:
-            self.words.clear()
+            self.words = Words(self.words.make, self.words)
         if not text:
             return b"", b""
         found = []
