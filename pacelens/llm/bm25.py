@@ -238,9 +238,9 @@ class Best:
                 del kept[self.k :]
 
     def rows(self) -> pa.RecordBatch:
-        flat = [(q, null, None if null else i, -s) for q, kept in zip(self.queries.ids, self.kept) for s, null, i in kept]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], kind) for c, kind in enumerate(kinds)], names=["query_id", "null_last", "doc_id", "score"])
+        flat = [(at, q, null, None if null else i, -s) for at, (q, kept) in enumerate(zip(self.queries.ids, self.kept)) for s, null, i in kept]
+        kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], kind) for c, kind in enumerate(kinds)], names=["at", "query_id", "null_last", "doc_id", "score"])
 
 
 def blocks_of(queries: DataFrame, text: str, identifier: str):
@@ -249,7 +249,7 @@ def blocks_of(queries: DataFrame, text: str, identifier: str):
     for row in queries.select(F.col(identifier).cast("bigint").alias("i"), F.col(text).cast("string").alias("t")).orderBy("i").toLocalIterator():
         ids.append(row["i"])
         texts.append(row["t"])
-        size += len(row["t"] or "") // 4
+        size += len(row["t"] or "") // 4 + 1
         if size >= QUERY_TERMS:
             yield Queries(ids, texts)
             ids, texts, size = [], [], 0
@@ -258,13 +258,13 @@ def blocks_of(queries: DataFrame, text: str, identifier: str):
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", identifier: str = "doc_id", query_text: str = "text", query_id: str = "doc_id") -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best documents of every query."""
+    """(query_id, rank, doc_id, score): the k best documents of every query row; equal queries have a list each."""
     spark = docs.sparkSession
     ship(spark)
     index = build(docs, text, identifier)
     n, total = (x or 0 for x in index.agg(F.sum("n"), F.sum("size")).first())
     lists = None
-    for block in blocks_of(queries, query_text, query_id):
+    for number, block in enumerate(blocks_of(queries, query_text, query_id)):
         plain = Shared(spark, block.terms)
 
         def frequencies(batches, plain=plain):
@@ -291,11 +291,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
                     task.add(Searcher(batch.slice(one, 1).to_pylist()[0], block, k))
             yield task.rows()
 
-        part = materialise(map_batches(index, best, "query_id long, null_last boolean, doc_id long, score double"))
+        found = map_batches(index, best, "at int, query_id long, null_last boolean, doc_id long, score double")
+        part = materialise(found.withColumn("block", F.lit(number)))
         lists = part if lists is None else lists.union(part)
     if lists is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    merged = Window.partitionBy("query_id").orderBy(F.desc("score"), "null_last", "doc_id")
+    merged = Window.partitionBy("block", "at").orderBy(F.desc("score"), "null_last", "doc_id")
     return lists.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
