@@ -6,7 +6,8 @@ linear scan.  Tag scores come from labelled pages: those that declare their cont
 by an ``article`` or ``main`` element.  For every kind of element (its name, or its
 name with a telling class or id) the share of its words that lie in declared content
 is counted; a kind with a low share has costly tags, and elements whose kind is
-hardly ever content (menus, adverts, forms, ...) are left out of the region.  Kinds
+hardly ever content (menus, adverts, forms, ...) are left out of the region, except
+where one turns out to be a frame around the content (``Weights.left_out``).  Kinds
 that no labelled page shows start from a few pseudo-counts.
 
 Learning reads a hash sample of at most ``most_pages`` pages; every page is
@@ -14,7 +15,8 @@ extracted from its whole source.
 
 Defined cases: null html is empty; a page without words has empty text; unclosed
 elements end with their parent, stray end tags are ignored, an unfinished tag is
-text; scripts, styles, comments, titles and templates never are; ties between
+text; from the first tag whose quotes never close, quotes are ignored; reading is
+linear in a page's length, however deep it nests; scripts, styles, comments, titles and templates never are; ties between
 regions go to the first; repeated rows repeat; further columns are left alone.
 """
 
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from pacelens.llm.common import Shared, map_batches, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+START = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+ATTRIBUTES = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
 HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SKIPPED = {"script", "style", "title", "template", "noscript", "textarea", "iframe", "svg", "math", "object", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -45,16 +48,24 @@ ASIDE_WORDS = set(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond disqus discussion "
     "share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager skip".split()
 )
+#: Class words that, beside a word above, name the frame of a page rather than the part itself.
+FRAME_WORDS = set("has have with no without page layout wrapper wrap container content contents main body site full grid outer inner".split())
+#: Aside elements that may also wrap a whole page.
+WRAPPERS = {"form", "header", "fieldset"}
+LINKS = {"a", "button", "select", "option", "label"}
 PROSE_NAMES = set("article main p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong span section li ul ol dl dt dd td th tr tbody table figure figcaption br a u s code sub sup small q cite mark".split())
 
 
 def kind_of(name: str, attributes: str) -> str:
-    """An element's kind: its name, or ``name.word`` with a telling word of its class, id or role."""
+    """An element's kind: its name, ``name.word`` with a telling word of its class, id or role, or ``name.word~``
+    where the same class name also holds a word for a page's frame."""
     if attributes:
         for found in HINT.finditer(attributes):
-            for word in re.split(r"[^a-z]+", (found[1] or found[2] or found[3] or "").lower()):
-                if word in ASIDE_WORDS or (word.endswith("s") and word[:-1] in ASIDE_WORDS):
-                    return f"{name}.{word}"
+            for label in (found[1] or found[2] or found[3] or "").lower().split():
+                words = re.split(r"[^a-z]+", label)
+                for word in words:
+                    if word in ASIDE_WORDS or (word.endswith("s") and word[:-1] in ASIDE_WORDS):
+                        return f"{name}.{word}" + "~" * any(w in FRAME_WORDS for w in words)
     return name
 
 
@@ -67,42 +78,82 @@ def prior(kind: str) -> tuple[float, float]:
 
 
 def events(page: str):
-    """('text', text, None), ('open', name, kind) and ('close', name, None) events of a page."""
-    at = 0
-    while True:
-        found = TOKEN.search(page, at)
-        if not found:
-            break
-        if found.start() > at:
-            yield "text", page[at : found.start()], None
-        at = found.end()
-        if not found[2]:
+    """('text', text, None), ('open', name, kind) and ('close', name, None) events of a page, in linear time.
+
+    From the first tag whose quotes never close, quotes are ignored and a tag ends at the next ``>``."""
+    at, text, last, quotes = 0, 0, page.rfind(">"), True
+    while at <= last and (found := START.search(page, at, last + 1)):
+        begin, name = found.start(), (found[2] or "").lower()
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            end = len(page) if end < 0 else end + 3
+        elif name and quotes and (whole := ATTRIBUTES.match(page, found.end())):
+            end = whole.end()
+        else:
+            quotes = quotes and not name
+            end = page.find(">", found.end()) + 1
+            if not end:
+                at = found.end()
+                continue
+        if begin > text:
+            yield "text", page[text:begin], None
+        at = text = end
+        if not name:
             continue
-        name = found[2].lower()
+        attributes = page[found.end() : end - 1]
         if found[1]:
             yield "close", name, None
         elif name in SKIPPED:
-            if not found[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not attributes.endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, end)
+                over = page.find(">", close.end()) if close else -1
+                at = text = over + 1 or len(page)
         else:
-            yield "open", name, kind_of(name, found[3])
-    if at < len(page):
-        yield "text", page[at:], None
-
-
-def walk(page: str):
-    """Events with the stack of open (name, kind) pairs after each."""
-    stack: list[tuple[str, str]] = []
-    for what, value, kind in events(page):
-        if what == "open" and value not in VOID:
-            stack.append((value, kind))
-        elif what == "close":
-            if value == "p" or any(n == value for n, _ in stack):
-                while stack and any(n == value for n, _ in stack):
-                    if stack.pop()[0] == value:
+            yield "open", name, kind_of(name, attributes)
+    if text < len(page):
+        yield "text", page[text:], None
+
+
+class Tree:
+    """A page's events, the innermost open element after each, and its elements in opening order; element 0 is the page."""
+
+    def __init__(self, page: str):
+        self.events, self.after = [], []
+        self.parent, self.name, self.kind, self.first = [-1], [""], [""], [True]
+        at, names, kinds = 0, {}, {}
+        for event in events(page):
+            what, value, kind = event
+            if what == "open" and value not in VOID:
+                self.parent.append(at)
+                self.name.append(value)
+                self.kind.append(kind)
+                self.first.append(not kinds.get(kind))  # the outermost open element of its kind
+                at, names[value], kinds[kind] = len(self.name) - 1, names.get(value, 0) + 1, kinds.get(kind, 0) + 1
+            elif what == "close" and names.get(value):
+                while True:
+                    name = self.name[at]
+                    names[name] -= 1
+                    kinds[self.kind[at]] -= 1
+                    at = self.parent[at]
+                    if name == value:
                         break
-        yield what, value, kind, stack
+            self.events.append(event)
+            self.after.append(at)
+
+    def inherited(self, own) -> list[bool]:
+        """Per element whether ``own`` holds for it or an element around it."""
+        found = [False]
+        for e in range(1, len(self.name)):
+            found.append(found[self.parent[e]] or own(e))
+        return found
+
+    def words(self) -> list[int]:
+        """Words directly in each element."""
+        found = [0] * len(self.name)
+        for (what, value, _), at in zip(self.events, self.after):
+            if what == "text":
+                found[at] += len(value.split())
+        return found
 
 
 class Weights:
@@ -122,15 +173,45 @@ class Weights:
     def tag(self, kind: str) -> float:
         return -0.02 - 3.0 * (1.0 - self.of(kind))
 
-    def aside(self, stack: list[tuple[str, str]]) -> bool:
-        """Whether an open element is hardly ever content; a heading group inside declared content is content."""
-        declared = False
-        for name, kind in stack:
-            if name in DECLARED:
-                declared = True
-            elif self.of(kind) < 0.2 and not (declared and kind == "header"):
-                return True
-        return False
+    def left_out(self, tree: Tree) -> list[bool]:
+        """Per element whether it lies in one that is hardly ever content.
+
+        A heading group inside declared content is content.  An element around the
+        page's largest declared content, or one that only looks like an aside (a frame,
+        or a kind that no labelled page shows) and holds four times the words around
+        it and most of what the frame around it holds, is a frame: its tags score low, and what it holds is judged for itself.
+        Words of links do not count for a frame."""
+        size, parent, name, kind = len(tree.name), tree.parent, tree.name, tree.kind
+        declared = tree.inherited(lambda e: name[e] in DECLARED)
+        low = [False] + [
+            name[e] not in DECLARED and name[e] not in ("html", "body") and self.of(kind[e]) < 0.2 and not (kind[e] == "header" and declared[parent[e]])
+            for e in range(1, size)
+        ]
+        linked = tree.inherited(lambda e: name[e] in LINKS)
+        plain = [0 if linked[e] else n for e, n in enumerate(tree.words())]
+        most, held = [0] * size, plain[:]  # the largest single context inside, all words inside
+        for e in range(size - 1, 0, -1):
+            most[e] = max(most[e], plain[e])
+            held[parent[e]] += held[e]
+            most[parent[e]] = max(most[parent[e]], most[e])
+            if not low[e]:
+                plain[parent[e]] += plain[e]
+        content = max((e for e in range(1, size) if name[e] in DECLARED), key=lambda e: held[e], default=0)
+        around = set()
+        if content and held[content] > plain[0]:
+            while content:
+                around.add(content)
+                content = parent[content]
+        out, context, largest = [False], [plain[0]], [max(most[0], plain[0])]
+        for e in range(1, size):
+            up = parent[e]
+            frame = low[e] and not out[up] and (
+                e in around or ((kind[e].endswith("~") or kind[e] not in self.counts) and (name[e] not in ASIDE_NAMES or name[e] in WRAPPERS) and most[e] > 4 * context[up] and 2 * most[e] > largest[up])
+            )
+            out.append(out[up] or (low[e] and not frame))
+            context.append(plain[e] if frame else context[up])
+            largest.append(most[e] if frame else largest[up])
+        return out
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -147,13 +228,15 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, weights: Weights) -> str:
     """The main text: blocks of the content region joined by newlines."""
-    scores, pieces, out = [], [], False  # a piece: text to keep, "" for none, None for a block's end
-    for what, value, kind, stack in walk(page or ""):
+    tree = Tree(page or "")
+    left_out, out = weights.left_out(tree), False
+    scores, pieces = [], []  # a piece: text to keep, "" for none, None for a block's end
+    for (what, value, kind), at in zip(tree.events, tree.after):
         if what == "text":
             scores.append(0.0 if out else float(len(value.split())))
             pieces.append("" if out else entities.unescape(value))
         else:
-            inside, out = out, weights.aside(stack)
+            inside, out = out, left_out[at]
             scores.append(0.0 if out or (what == "close" and inside) else weights.tag(kind or value))
             pieces.append(None if value in BLOCKS else (" " if value == "br" else ""))
     start, end = best_run(scores)
@@ -172,17 +255,25 @@ def extract(page: str | None, weights: Weights) -> str:
 def kind_counts(page: str | None) -> dict[str, list[float]]:
     """Words per kind of element inside and outside declared content; nothing for pages without a declaration."""
     counts: dict[str, list[float]] = {}
-    declared = False
-    for what, value, _, stack in walk(page or ""):
-        if what == "text" and (n := len(value.split())):
-            depth = next((i for i, (name, _) in enumerate(stack) if name in DECLARED), None)
-            declared |= depth is not None
-            kinds = [k for name, k in stack if name not in DECLARED]
-            # words in an element that is an aside by its name say nothing about the elements inside it
-            outer = next((i for i, k in enumerate(kinds) if not prior(k)[0]), len(kinds))
-            for kind in set(kinds[: outer + 1]):
-                counts.setdefault(kind, [0.0, 0.0])[0 if depth is not None else 1] += n
-    return counts if declared else {}
+    tree = Tree(page or "")
+    size, parent, name, kind = len(tree.name), tree.parent, tree.name, tree.kind
+    declared = tree.inherited(lambda e: name[e] in DECLARED)
+    # words in an element that is an aside by its name say nothing about the elements inside it
+    aside = tree.inherited(lambda e: name[e] not in DECLARED and not prior(kind[e])[0])
+    sums = [[0, 0] for _ in range(size)]
+    for e, n in enumerate(tree.words()):
+        sums[e][0 if declared[e] else 1] = n
+    if not any(inside for inside, _ in sums):
+        return {}
+    for e in range(size - 1, 0, -1):
+        inside, outside = sums[e]
+        sums[parent[e]][0] += inside
+        sums[parent[e]][1] += outside
+        if name[e] not in DECLARED and tree.first[e] and not aside[parent[e]] and inside + outside:
+            found = counts.setdefault(kind[e], [0.0, 0.0])
+            found[0] += inside
+            found[1] += outside
+    return counts
 
 
 def learn(pages: DataFrame, html: str = "html", identifier: str = "page_id", most_pages: int = 4000) -> Weights:
