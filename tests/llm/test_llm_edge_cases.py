@@ -249,3 +249,13 @@ def test_stages_on_an_empty_table(spark, empty):
         frame = corpus_pipeline.materialise(stage(spark, frame, "/root/testdata/sf0.001"))
         assert frame.columns == empty.columns and frame.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, frame, "/root/testdata/sf0.001").count() == 0
+
+
+def test_equal_query_rows_have_a_list_each(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} common") for i in range(40)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "w1 common"), (7, "w1 common"), (8, "w2"), (9, ""), (9, None)], "doc_id long, text string")
+    found = bm25.search(docs, asked, k=4)
+    rows = [tuple(r) for r in found.where("query_id = 7").orderBy("rank", "doc_id").collect()]
+    assert len(rows) == 8 and rows[::2] == rows[1::2]
+    assert len({r[2] for r in rows}) == 4
+    assert found.where("query_id = 9").count() == 0
