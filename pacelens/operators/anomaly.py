@@ -41,6 +41,9 @@ THIN_FEATURES = {"flat": ("resid_mean", "surprise_mean"), "selective": ("resid_m
 AGREEMENT_FEATURES = ("match_rate_all", "match_rate_informative", "n_informative")
 BOOTSTRAP_SIZES = (1, 3, 5, 10, 20)
 BOOTSTRAP_RESAMPLES = 400
+CURVES = {"flat": (("smart", 1.0, None), "combined"), "selective": (("smart", None, 1), "timing_max")}
+CURVE_GAMES = 10
+ATTACKS = ("best_move", "alternate_move")
 STRONG, WEAK = 0.75, 0.6
 SEQUENCE_LENGTH = 60
 WIN_CHANCE_SLOPE = 0.004
@@ -330,6 +333,68 @@ def combination(labelled: DataFrame, first: Sequence[str], second: Sequence[str]
     return auc(long, ["player", "model"], "altered", "p")
 
 
+# --- best moves against alternate moves -------------------------------------------------
+
+
+def attack_features(plies: DataFrame, policy: DataFrame, top_k: int = 1, min_plies: int = 10, draw: Draw | None = None, seed: int = 0) -> DataFrame:
+    """Detector features of every game left ``clean`` and with its ``top_k`` closest decisions altered in two ways.
+
+    ``best_move`` plays the engine's move there, ``alternate_move`` a lesser candidate; both hide their time by the
+    same draws, so the three versions of a ply are made in one pass and only their times and surprises fan out."""
+    judged = long_games(plies, min_plies, top_k).withColumns({"_time": F.col("think_time"), "_surprise": F.col("maia_surprise")})
+    moved = alternate_moves(judged, policy, top_k, draw, seed)
+    chance = F.col("maia_prob_best_move")
+    best = F.when(F.col("is_injected"), F.when(chance.isNotNull(), -F.ln(F.greatest(chance, F.lit(LEAST_PROBABILITY))))).otherwise(F.col("_surprise"))
+    version = lambda name, time, surprise: F.struct(F.lit(name).alias("attack"), F.col(time).alias("think_time"), surprise.alias("maia_surprise"))
+    versions = F.array(version("clean", "_time", F.col("_surprise")), version("best_move", "think_time", best), version("alternate_move", "think_time", F.col("maia_surprise")))
+    fanned = moved.select(*GAME, "pred_log_think_time", F.explode(versions).alias("_v")).select(*GAME, "pred_log_think_time", "_v.*")
+    return game_features(fanned, (*GAME, "attack"))
+
+
+def against_attacks(features: DataFrame) -> DataFrame:
+    """Each attack's games beside the clean ones, labelled ``altered``."""
+    clean = F.col("attack") == "clean"
+    both = F.array(*[F.lit(a) for a in ATTACKS])
+    return features.withColumns({"altered": ~clean, "_a": F.explode(F.when(clean, both).otherwise(F.array("attack")))}).withColumn("attack", F.col("_a")).drop("_a")
+
+
+def attack_detectors(features: DataFrame, columns: Sequence[str] = SELECTIVE_FEATURES, min_rows: int = 24, seed: int = 0) -> DataFrame:
+    """Cross-validated AUC per player against best moves and against alternate moves, on the same games and folds."""
+    labelled = materialise(against_attacks(features))
+    out = labelled.where((F.col("attack") == ATTACKS[0]) & F.col("altered")).groupBy("player").agg(F.count(F.lit(1)).alias("n_games"))
+    for attack in ATTACKS:
+        folds = detector_folds(labelled.where(F.col("attack") == attack).drop("attack"), min_rows, seed)
+        out = out.join(detector(folds, {attack: columns}), "player")
+    return out
+
+
+# --- evidence over several games --------------------------------------------------------
+
+
+def curve_scores(plies: DataFrame, min_games: int = CURVE_GAMES, draw: Draw | None = None, seed: int = 0) -> DataFrame:
+    """(curve, player, game_id, altered, score) for multi-game curves, both curves from one fan-out.
+
+    ``flat`` alters every ply and scores the mean, ``selective`` alters the closest decision and scores the most
+    suspicious time, on games with a known gap.  Players with fewer than ``min_games`` judged games have no curve."""
+    timing, plain = -residual(), -F.col("maia_surprise")
+    scored = materialise(
+        perturb_scenarios(long_games(plies), [one for one, _ in CURVES.values()], draw, seed).groupBy(*GAME, *SCENARIO)
+        .agg((F.avg(timing) + F.avg(plain)).alias("combined"), F.max(timing).alias("timing_max"), F.count("gap_1_2").alias("_gaps"))
+    )
+    row = {curve: F.struct(F.lit(curve).alias("curve"), F.col(value).alias("score")) for curve, (_, value) in CURVES.items()}
+    clean = F.col("mode") == "clean"
+    own = F.when(clean, F.array(*row.values())).when(F.col("rate").isNotNull(), F.array(row["flat"])).otherwise(F.array(row["selective"]))
+    rows = scored.select(*GAME, (~clean).alias("altered"), "_gaps", F.explode(own).alias("_r")).select(*GAME, "altered", "_gaps", "_r.*")
+    rows = rows.where("score IS NOT NULL AND (curve = 'flat' OR _gaps >= 1)").drop("_gaps")
+    able = rows.where("curve = 'flat' AND NOT altered").groupBy("player").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_games)
+    return rows.join(able.select("player"), "player", "left_semi")
+
+
+def multi_game_curves(scores: DataFrame, sizes: Sequence[int] = BOOTSTRAP_SIZES, b: int = BOOTSTRAP_RESAMPLES, **options) -> DataFrame:
+    """Per curve and number of games: median, quartiles and extremes over players of the resampled AUC."""
+    return summary(bootstrap_auc(scores, sizes, b, keys=("curve", "player"), **options), ["curve", "n_games"])
+
+
 def bootstrap_evidence(scores: DataFrame, sizes: Sequence[int] = BOOTSTRAP_SIZES, b: int = BOOTSTRAP_RESAMPLES, listed: int = 10_000, pick: Callable | None = None, keys: Sequence[str] = ("player",), seed: int = 0) -> DataFrame:
     """Mean score of N resampled games, ``b`` times per player, label and N.
 

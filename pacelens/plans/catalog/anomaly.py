@@ -66,10 +66,10 @@ def perturbed_critical(t):
     return anomaly.perturb(pool(t), top_k=2, timing="smart", draw=draw)
 
 
-def moves_array(t):
+def moves_array(plies):
     """Candidate moves and a position name for every ply."""
     names = F.transform(F.sequence(F.lit(0), (F.col("n_moves_within_30cp") - 1).cast("int")), lambda i: F.concat(F.lit("m"), ((F.col("ply") * 3 + i * 5) % 13).cast("string")))
-    return pool(t).withColumns(
+    return plies.withColumns(
         {
             "top_moves": names,
             "fen_before": F.concat(F.lit("e"), F.col("eval_before").cast("int").cast("string")),
@@ -78,13 +78,16 @@ def moves_array(t):
     )
 
 
+ALTERNATE = f"""m AS (SELECT *, CASE WHEN is_injected THEN CASE WHEN n_moves_within_30cp > 1 THEN 1 + CAST(floor({draw_sql(4)} * (n_moves_within_30cp - 1) / 4294967296.0::DOUBLE) AS BIGINT) ELSE 0 END END AS i FROM hit),
+    a AS (SELECT *, 'm' || CAST((ply * 3 + i * 5) % 13 AS VARCHAR) AS alternate_move FROM m),
+    pol AS (SELECT 'e' || CAST(p_partkey % 801 - 400 AS VARCHAR) AS f, 1100 + 100 * (p_partkey % 9) AS bin, 'm' || CAST(p_partkey * 5 % 13 AS VARCHAR) AS move,
+      (p_size % 32) / 64.0 + p_partkey % 13 / 1024.0 AS prob FROM part QUALIFY row_number() OVER (PARTITION BY f, bin, move ORDER BY p_partkey DESC) = 1)"""
+
+
 @query(
     "alternate_move_plies", "A4", "player:l game_id:l ply:l is_injected:b alternate_move:s maia_prob_played:d maia_surprise:d played_best_move:b",
     f"""{RANKED}, hit AS {altered_sql('ranked', 'by_gap <= 1', chr(39) + 'smart' + chr(39))},
-    m AS (SELECT *, CASE WHEN is_injected THEN CASE WHEN n_moves_within_30cp > 1 THEN 1 + CAST(floor({draw_sql(4)} * (n_moves_within_30cp - 1) / 4294967296.0::DOUBLE) AS BIGINT) ELSE 0 END END AS i FROM hit),
-    a AS (SELECT *, 'm' || CAST((ply * 3 + i * 5) % 13 AS VARCHAR) AS alternate_move FROM m),
-    pol AS (SELECT 'e' || CAST(p_partkey % 801 - 400 AS VARCHAR) AS f, 1100 + 100 * (p_partkey % 9) AS bin, 'm' || CAST(p_partkey * 5 % 13 AS VARCHAR) AS move,
-      (p_size % 32) / 64.0 + p_partkey % 13 / 1024.0 AS prob FROM part QUALIFY row_number() OVER (PARTITION BY f, bin, move ORDER BY p_partkey DESC) = 1)
+    {ALTERNATE}
     SELECT player, game_id, ply, is_injected, alternate_move, CASE WHEN alternate_move IS NULL THEN maia_prob_played ELSE coalesce(prob, 1e-6) END AS maia_prob_played,
       CASE WHEN alternate_move IS NULL THEN maia_surprise ELSE -ln(greatest(coalesce(prob, 1e-6), 1e-6)) END AS maia_surprise,
       played_best_move AND alternate_move IS NULL AS played_best_move
@@ -93,7 +96,7 @@ def moves_array(t):
 def alternate_move_plies(t):
     from pacelens.plans.catalog.annotate import standin_policy
 
-    return anomaly.alternate_moves(moves_array(t), standin_policy(t), top_k=1, draw=draw)
+    return anomaly.alternate_moves(moves_array(pool(t)), standin_policy(t), top_k=1, draw=draw)
 
 
 RESID = "ln(1 + greatest(think_time, 0)) - pred_log_think_time"
@@ -370,9 +373,96 @@ def detector_wins(t):
 
 @query("roster_evaluation", "A1 A2 A3 A5 A6 A7", f"{SCENARIO_KINDS} score:s auc:d")
 def roster_evaluation(t):
-    # The stand-in's orders are short, so forty neighbouring ones make one game.
-    merged = pool(t).withColumns({"ply": F.col("game_id") % 40 * 50 + F.col("ply"), "game_id": F.floor(F.col("game_id") / 40)})
-    return anomaly.roster(merged)
+    return anomaly.roster(merged(t))
+
+
+def merged(t):
+    """The stand-in's orders are short, so forty neighbouring ones make one game."""
+    return pool(t).withColumns({"ply": F.col("game_id") % 40 * 50 + F.col("ply"), "game_id": F.floor(F.col("game_id") / 40)})
+
+
+def merged_sql(gaps: int) -> str:
+    """RANKED over merged games of ten plies and ``gaps`` known gaps at least."""
+    pools = f"""WITH {PLIES_SQL}, short AS (SELECT * REPLACE (player % 10 AS player, game_id // 40 AS game_id, game_id % 40 * 50 + ply AS ply) FROM plies WHERE NOT is_suspect),
+    pool AS (SELECT s.* FROM short s SEMI JOIN (SELECT player, game_id FROM short GROUP BY player, game_id HAVING count(*) >= 10 AND count(gap_1_2) >= {gaps}) g ON g.player = s.player AND g.game_id = s.game_id)"""
+    return RANKED.replace(P, pools)
+
+
+ATTACK_SQL = f"""{merged_sql(3)}, hit AS {altered_sql('ranked', 'by_gap <= 3', "'smart'", ', think_time AS own_time, maia_surprise AS own_surprise')},
+{ALTERNATE}, v AS (SELECT player, game_id, pred_log_think_time, own_time, own_surprise, think_time, maia_surprise,
+    CASE WHEN alternate_move IS NULL THEN maia_surprise ELSE -ln(greatest(coalesce(prob, 1e-6), 1e-6)) END AS lesser
+  FROM a LEFT JOIN pol ON f = 'e' || CAST(CAST(eval_before AS INT) AS VARCHAR) AND bin = 1100 + 100 * (game_id % 9) AND move = alternate_move),
+three AS (SELECT player, game_id, pred_log_think_time, 'clean' AS attack, own_time AS think_time, own_surprise AS maia_surprise FROM v
+  UNION ALL SELECT player, game_id, pred_log_think_time, 'best_move', think_time, maia_surprise FROM v
+  UNION ALL SELECT player, game_id, pred_log_think_time, 'alternate_move', think_time, lesser FROM v),
+attacked AS (SELECT player, game_id, attack, {FEATURE_SQL} FROM three GROUP BY player, game_id, attack)"""
+
+
+def attacked(t):
+    from pacelens.plans.catalog.annotate import standin_policy
+
+    return anomaly.attack_features(moves_array(merged(t)), standin_policy(t), top_k=3, draw=draw)
+
+
+@query("attack_features", "A4 A9", "player:l game_id:l attack:s " + " ".join(f"{c}:d" for c in anomaly.SELECTIVE_FEATURES), f"{ATTACK_SQL} SELECT * FROM attacked")
+def attack_features(t):
+    return attacked(t)
+
+
+ATTACK_SCORES = ("resid_max", "surprise_max")
+ATTACK_AUC_SQL = " UNION ALL ".join(f"(SELECT '{c}' AS score, * FROM ({auc_sql('player, attack', 'pairs', c)}))" for c in ATTACK_SCORES)
+
+
+@query(
+    "attack_auc", "A4 A7", "player:l attack:s score:s auc:d",
+    f"""{ATTACK_SQL}, snap AS (SELECT player, game_id, attack, {', '.join(f'round({c}, 9) AS {c}' for c in ATTACK_SCORES)} FROM attacked),
+    pairs AS (SELECT *, true AS altered FROM snap WHERE attack <> 'clean' UNION ALL SELECT s.* REPLACE (n.attack AS attack), false FROM snap s, (VALUES ('best_move'), ('alternate_move')) n(attack) WHERE s.attack = 'clean')
+    {ATTACK_AUC_SQL}""",
+)
+def attack_auc(t):
+    """How well two plain extremes tell altered games, by the kind of attack."""
+    from pacelens.functions.stats import auc
+
+    scores = attacked(t).withColumns({c: F.round(c, 9) for c in ATTACK_SCORES})
+    long = anomaly.against_attacks(scores).unpivot(["player", "attack", "altered"], list(ATTACK_SCORES), "score", "value")
+    return auc(long, ["player", "attack", "score"], "altered", "value")
+
+
+@query("attack_detectors", "A4 A10", "player:l n_games:l auc_best_move:d auc_alternate_move:d")
+def attack_detectors(t):
+    """Detectors trained against each attack, on the same games and folds."""
+    return anomaly.attack_detectors(attacked(t))
+
+
+CURVE_SQL = f"""{merged_sql(0)}, sc AS (SELECT * FROM (VALUES ('clean', 0.0::DOUBLE, NULL), ('smart', 1.0::DOUBLE, NULL), ('smart', NULL, 1)) v(mode, rate, k)),
+fan AS (SELECT ranked.* EXCLUDE (mode), sc.mode, rate, k FROM ranked, sc),
+alt AS {altered_sql('fan', f"(rate IS NOT NULL AND by_draw <= {share_sql('rate')}) OR (k IS NOT NULL AND by_gap <= k)", 'mode', ', mode, rate, k')},
+judged AS (SELECT player, game_id, mode, rate, k, -avg({RESID}) - avg(maia_surprise) AS combined, max(-({RESID})) AS timing_max, count(gap_1_2) AS gaps FROM alt GROUP BY ALL),
+told AS (SELECT 'flat' AS curve, player, game_id, mode <> 'clean' AS altered, round(combined, 9) AS score FROM judged WHERE rate IS NOT NULL AND combined IS NOT NULL
+  UNION ALL SELECT 'selective', player, game_id, mode <> 'clean', round(timing_max, 9) FROM judged WHERE (mode = 'clean' OR k IS NOT NULL) AND timing_max IS NOT NULL AND gaps >= 1),
+curved AS (SELECT * FROM told WHERE player IN (SELECT player FROM told WHERE curve = 'flat' AND NOT altered GROUP BY player HAVING count(*) >= 10))"""
+
+
+def curved(t):
+    return anomaly.curve_scores(merged(t), draw=draw).withColumn("score", F.round("score", 9))
+
+
+@query("scenario_curve_scores", "A5 A6 A13", "curve:s player:l game_id:l altered:b score:d", f"{CURVE_SQL} SELECT * FROM curved")
+def scenario_curve_scores(t):
+    return curved(t)
+
+
+@query(
+    "scenario_curves", "A13 A14", "curve:s n_games:l q25:e median:e q75:e min:e max:e n:l",
+    f"""{CURVE_SQL}, l AS (SELECT curve, player, altered, list(score ORDER BY game_id) AS s FROM curved GROUP BY curve, player, altered),
+    z AS (SELECT l.*, n, b FROM l, (VALUES (1), (3), (5), (10), (20)) v(n), range(400) r(b) WHERE len(s) >= n),
+    d AS (SELECT curve, player, altered, n, b, s, unnest(range(1, n + 1)) AS j FROM z),
+    e AS (SELECT curve, player, altered, n AS n_games, b, sum(s[1 + CAST(floor({PICK_SQL} * len(s) / 4294967296.0::DOUBLE) AS BIGINT)]) / n AS evidence FROM d GROUP BY curve, player, altered, n, b),
+    a AS (SELECT * FROM ({auc_sql('curve, player, n_games', 'e', 'evidence')}) WHERE auc IS NOT NULL) SELECT curve, n_games, {QUARTS} FROM a GROUP BY curve, n_games""",
+)
+def scenario_curves(t):
+    """Separation by the number of games whose evidence is added up, from real scenario scores."""
+    return anomaly.multi_game_curves(curved(t), pick=pick)
 
 
 WIN = "1 / (1 + exp(-0.004 * {}))"

@@ -383,21 +383,36 @@ links AS (SELECT player, game_id, arg_max(ply, (abs(nthink - mean), -ply)) FILTE
     arg_min(ply, (frac, ply)) AS lowest_clock_ply FROM nx GROUP BY player, game_id)"""
 
 
-@query(
-    "narrated_games", "D19",
+def two_sided(t):
+    return t.plies().withColumns({"is_own": F.col("ply") % 2 == F.col("game_id") % 2, "clock_frac_remaining": F.col("clock_before") / F.col("base_s")})
+
+
+def told_games(t):
+    return t.orders.select(
+        F.col("o_custkey").alias("player"), F.col("o_orderkey").alias("game_id"), F.lit(0).alias("predicted"),
+        F.lit(0.5).alias("confidence"), (F.col("o_orderkey") % 2 == 0).alias("correct"),
+    )
+
+
+NARRATED = (
     "player:l game_id:l ply:l move_number:l is_white:b key_moment:s key_context:s key_amount:d think_z:d correct:b linked_mistake_ply:l linked_move_ply:l linked_delta:d lowest_clock_ply:l",
     f"""WITH {NARRATED_SQL} SELECT m.player, m.game_id, ply, ply // 2 + 1 AS move_number, ply % 2 = 0 AS is_white, key_moment,
       CASE WHEN key_moment = 'long_think' THEN CASE WHEN gap_1_2 < 30 THEN 'close choices' WHEN n_captures_available >= 3 THEN 'many captures' ELSE 'none' END END AS key_context,
       CASE key_moment WHEN 'mistake' THEN floor(cp_loss) WHEN 'long_think' THEN think_time END AS key_amount, think_z, m.game_id % 2 = 0 AS correct,
       linked_mistake_ply, linked_move_ply, linked_delta, lowest_clock_ply FROM moments m JOIN links l ON l.player = m.player AND l.game_id = m.game_id""",
 )
+
+
+@query("narrated_games", "D19", *NARRATED)
 def narrated_games(t):
-    two = t.plies().withColumns({"is_own": F.col("ply") % 2 == F.col("game_id") % 2, "clock_frac_remaining": F.col("clock_before") / F.col("base_s")})
-    pred = t.orders.select(
-        F.col("o_custkey").alias("player"), F.col("o_orderkey").alias("game_id"), F.lit(0).alias("predicted"),
-        F.lit(0.5).alias("confidence"), (F.col("o_orderkey") % 2 == 0).alias("correct"),
-    )
-    return narrate.narrate(two, pred, n=None)
+    return narrate.narrate(two_sided(t), told_games(t), n=None)
+
+
+@query("narrated_both_sides", "D19", *NARRATED)
+def narrated_both_sides(t):
+    """The same games from the tracked side's plies alone, the opponent's filled in from the records."""
+    own = two_sided(t).where("is_own").drop("is_own")
+    return narrate.narrate(narrate.both_sides(own, t.plies(), ()), told_games(t), n=None)
 
 
 @query(
