@@ -38,7 +38,11 @@ MASKS = [(1 << (8 * k)) - 1 for k in range(ORDER + 2)]
 
 
 def letter_runs(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, in lower case; numbers such as a raised two, a half or a Roman eight are no letters."""
+    runs = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for run in runs for part in "".join([c if c.isalpha() else " " for c in run]).split()]
 
 
 class Trees:
