@@ -1,19 +1,25 @@
 """Exact statistics that stay distributed and tolerate hot keys.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task.  The
-frame-level helpers here count each distinct value first (combined map-side),
-then take running counts over range blocks, so a group of any size is spread.
+frame-level helpers here count each distinct value first (combined map-side).
+Ranks then take running counts over range blocks, quantiles narrow the few wanted
+positions down, so a group of any size is spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacelens.functions.nulls import ratio
 from pacelens.functions.ordered import hash_blocks, ordered, running
+from pacelens.functions.storage import materialise
+
+KEY_VALUES = 1_000_000  #: values of a key that one task may order
+MARKS = 63  #: cuts of a segment in a round of rank selection
+SLICES = 16  #: tasks a key's rows are dealt over in a spread join
 
 
 def mean_where(condition: Column, value: Column) -> Column:
@@ -42,28 +48,110 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return kept.groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(F.count(F.lit(1)).alias("_weight"))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "quantiles") -> DataFrame:
-    """Exact linearly interpolated quantiles per key, as one array column."""
-    counted = ordered(
-        value_counts(df, keys, value),
-        keys,
-        ["_value"],
-        sums={"_upto": F.col("_weight")},
-        totals={"_total": F.col("_weight")},
+def spread_join(df: DataFrame, per_key: DataFrame, keys: Sequence[str], slices: int = SLICES) -> DataFrame:
+    """Inner join of rows with small per-key rows, a key's rows being dealt over ``slices`` tasks.
+
+    The per-key rows are repeated for every slice, so an aggregate on the key behind the
+    join starts from partial results of all slices, however many rows the key holds.
+    Null keys meet null keys."""
+    names = {k: f"_k_{i}" for i, k in enumerate(keys)}
+    copies = per_key.select(
+        *[F.col(k).alias(n) for k, n in names.items()],
+        *[c for c in per_key.columns if c not in names],
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_copy"),
     )
-    below = F.col("_upto") - F.col("_weight")
+    dealt = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(slices)).cast("int"))
+    same = F.col("_slice") == F.col("_copy")
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return dealt.join(copies, same).drop("_slice", "_copy", *names.values())
+
+
+def _at_positions(counted: DataFrame, segment: Sequence[str]) -> DataFrame:
+    """``counted`` with the weight before each value of its segment; a segment fits one task."""
+    before = Window.partitionBy(*segment).orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("_before", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
+
+
+def select_ranks(counted: DataFrame, keys: Sequence[str], wanted: DataFrame, most: int) -> DataFrame:
+    """(keys, _pos, _value): the value at each wanted 0-based position of its key.
+
+    ``counted`` holds distinct values with weights, ``wanted`` (keys, _pos).  A segment is
+    an open interval of values of a key.  A segment of more than ``most`` values is cut
+    at marks that a mergeable sketch proposes; exact weights of the marks and of the
+    intervals between them say where each position lies.  A position on a mark is
+    found, the others go on in their interval, which holds about 1 / ``MARKS`` of the
+    values.  So the marks only decide how fast the segments shrink, never the result."""
+    keys = list(keys)
+    segment = [*keys, "_low", "_high"]
+    bound = F.lit(None).cast("double")
+    inside = (F.col("_low").isNull() | (F.col("_value") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_value") < F.col("_high")))
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"))
+    active = wanted.select(*keys, "_pos", bound.alias("_low"), bound.alias("_high"), F.lit(0).cast("bigint").alias("_below"))
+    active = materialise(spread_join(active, sizes, keys, 1))
+    found = []
+    while True:
+        found.append(active.where("_high <= _low").select(*keys, "_pos", F.col("_low").alias("_value")))
+        active = active.where("_low is null or _high is null or _low < _high")
+        large = active.where(F.col("_values") > most)
+        if large.isEmpty():
+            break
+        rows = spread_join(counted, large.select(*segment).distinct(), keys).where(inside)
+        points = F.array(*[F.lit((i + 1) / (MARKS + 1)) for i in range(MARKS)])
+        marks = F.array_sort(F.array_distinct(F.percentile_approx("_value", points, F.lit(20 * MARKS))))
+        cuts = materialise(rows.groupBy(*segment).agg(marks.alias("_marks")))
+        less = F.aggregate("_marks", F.lit(0), lambda n, m: n + F.when(m < F.col("_value"), 1).otherwise(0))
+        placed = spread_join(counted, cuts, keys).where(inside).withColumn("_cell", less)
+        on_mark = F.coalesce(F.get("_marks", F.col("_cell")) == F.col("_value"), F.lit(False))
+        cells = placed.groupBy(*segment, "_cell", on_mark.alias("_mark")).agg(
+            F.sum("_weight").alias("_weight"), F.count(F.lit(1)).alias("_n"),
+            F.max(F.when(on_mark, F.col("_value")).otherwise(F.coalesce(F.get("_marks", F.col("_cell") - 1), F.col("_low")))).alias("_left"),
+            F.max(F.when(on_mark, F.col("_value")).otherwise(F.coalesce(F.get("_marks", F.col("_cell")), F.col("_high")))).alias("_right"),
+        )
+        order = Window.partitionBy(*segment).orderBy("_cell", "_mark").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("_before", F.coalesce(F.sum("_weight").over(order), F.lit(0)))
+        both = spread_join(large.drop("_values"), cells, segment, 1)
+        start = F.col("_below") + F.col("_before")
+        narrowed = both.where((F.col("_pos") >= start) & (F.col("_pos") < start + F.col("_weight"))).select(
+            *keys, "_pos", F.col("_left").alias("_low"), F.col("_right").alias("_high"), start.alias("_below"), F.col("_n").alias("_values")
+        )
+        active = materialise(active.where(F.col("_values") <= most).unionByName(narrowed))
+    rows = spread_join(counted, active.select(*segment).distinct(), keys).where(inside)
+    ends = spread_join(active, _at_positions(rows, segment), segment, 1)
+    start = F.col("_below") + F.col("_before")
+    result = ends.where((F.col("_pos") >= start) & (F.col("_pos") < start + F.col("_weight"))).select(*keys, "_pos", "_value")
+    for part in found:
+        result = result.unionByName(part)
+    return result
+
 
-    def at(position: Column) -> Column:
-        return F.max(F.when((below <= position) & (position < F.col("_upto")), F.col("_value")))
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "quantiles") -> DataFrame:
+    """Exact linearly interpolated quantiles per key, as one array column.
+
+    The frame is read once: its distinct values per key are stored with their weights,
+    unsorted.  Where no key has more than ``KEY_VALUES`` of them one window a key orders
+    them; beyond that ``select_ranks`` narrows the wanted ranks alone."""
+    keys = list(keys)
+    counted = materialise(value_counts(df, keys, value))
+    largest = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    position = lambda p: F.lit(float(p)) * (F.col("_total") - 1)
+    if (largest or 0) <= KEY_VALUES:
+        totals = counted.groupBy(*keys).agg(F.sum("_weight").alias("_total"))
+        upto = Window.partitionBy(*keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = spread_join(counted.withColumn("_upto", F.sum("_weight").over(upto)), totals, keys, 1)
+        here = lambda x: (F.col("_upto") - F.col("_weight") <= x) & (x < F.col("_upto"))
+        at = lambda x: F.max(F.when(here(x), F.col("_value")))
+    else:
+        totals = materialise(counted.groupBy(*keys).agg(F.sum("_weight").alias("_total")))
+        ranks = F.array_distinct(F.array(*[f(position(p)).cast("bigint") for p in probs for f in (F.floor, F.ceil)]))
+        chosen = select_ranks(counted, keys, totals.select(*keys, F.explode(ranks).alias("_pos")), KEY_VALUES)
+        counted = spread_join(chosen, totals, keys, 1)
+        at = lambda x: F.max(F.when(F.col("_pos") == x, F.col("_value")))
 
     picks, answers = [], []
     for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        picks += [
-            at(F.floor(position)).alias(f"_lo{i}"),
-            at(F.ceil(position)).alias(f"_hi{i}"),
-            F.max(position - F.floor(position)).alias(f"_t{i}"),
-        ]
+        spot = position(p)
+        picks += [at(F.floor(spot)).alias(f"_lo{i}"), at(F.ceil(spot)).alias(f"_hi{i}"), F.max(spot - F.floor(spot)).alias(f"_t{i}")]
         answers.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_t{i}"))
     return counted.groupBy(*keys).agg(*picks).select(*keys, F.array(*answers).alias(name))
 
