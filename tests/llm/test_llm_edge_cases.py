@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,19 @@ def test_quality(docs, empty):
     assert quality.judge(empty, quality.train(empty)).count() == 0
 
 
+def test_quality_tells_all_bytes_apart(spark):
+    """Letters whose UTF-8 bytes differ by 32 only: a text in capitals among Cyrillic ones stands out."""
+    draw = random.Random(11)
+    vocabulary = ["".join(draw.choices("абвгдежзиклмно", k=draw.randrange(3, 9))) for _ in range(150)]
+    texts = [" ".join(draw.choices(vocabulary, k=400)) for _ in range(40)]
+    frame = spark.createDataFrame([(k, t.upper() if k == 7 else t, "ru", "a", 1) for k, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r for r in quality.judge(frame, quality.train(frame)).collect()}
+    assert rows[7].log2_perplexity > max(r.log2_perplexity for k, r in rows.items() if k != 7) + 0.4
+    assert [k for k, r in rows.items() if not r.kept] == [7]
+    every = np.array([far << 16 | near << 8 | last | 2 << 40 for far in (0, 97, 131, 195) for near in range(256) for last in range(256)])
+    assert len(np.unique(quality.codes(every))) == len(every)
+
+
 def test_language(docs, empty):
     trees = langid.train(docs)
     by_id = {r.doc_id: r for r in langid.identify(docs, trees).collect()}
