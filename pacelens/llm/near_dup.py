@@ -362,7 +362,9 @@ def classes(docs: DataFrame, text: str = "text", identifier: str = "doc_id", lea
     if not crowd.isEmpty():
         # a node takes part through its first mixed bucket alone: what that leaves is exhausted below
         first = crowd.groupBy("node").agg(F.min_by(F.struct("bucket", "n", "root"), "bucket").alias("c")).select("node", "c.*")
-        again = first.join(spread.select("node", "at", "value"), "node").select(F.xxhash64("bucket", "at", "value").alias("bucket"), "node", "n", "root")
+        # joined before the sketch values are spread, and stored: the tests below read these rows several times
+        again = first.join(nodes.select("node", "sketches"), "node").select("bucket", "node", "n", "root", F.posexplode("sketches").alias("at", "value"))
+        again = materialise(again.select(F.xxhash64("bucket", "at", "value").alias("bucket"), "node", "n", "root"))
         more, _ = candidates(again.union(crowd.select("bucket", "node", "n", "root")), chained=True)
         more = materialise(more.join(tested, ["a", "b"], "left_anti"))
         new = materialise(verified(more, docs, text, least))

@@ -246,6 +246,27 @@ def test_pairs_in_a_crowd_with_a_long_common_passage(spark, monkeypatch):
     assert got == _all_pairs(texts) and len(set(got.values())) == 200
 
 
+def test_a_crowd_is_joined_with_its_sketches_once(spark, monkeypatch):
+    """The rows that contract crowded buckets are stored: one per member of a mixed bucket, and one per sketch value of its node."""
+    seen, plain = [], near_dup.candidates
+
+    def watched(buckets, chained):
+        seen.append((chained, buckets))
+        return plain(buckets, chained)
+
+    monkeypatch.setattr(near_dup, "candidates", watched)
+    near, passage = [f"w{k}" for k in range(200)], [f"p{k}" for k in range(150)]
+    texts = {k: " ".join([*near[:k], f"edit{k}", *near[k + 1 :]]) for k in range(0, 200, 5)}
+    texts |= {1000 + k: " ".join([*passage, *[f"o{k}x{j}" for j in range(60)]]) for k in range(60)}
+    got = {r.doc_id: r.class_id for r in near_dup.class_ids(spark.createDataFrame([(k, t, "en", "a", 1) for k, t in texts.items()], SCHEMA)).collect()}
+    assert got == _all_pairs(texts) and len(set(got.values())) == 61
+    assert [chained for chained, _ in seen] == [False, True]
+    crowded = seen[1][1]
+    assert "Join" not in crowded._jdf.queryExecution().optimizedPlan().toString()
+    of_node = {r.node: r["count"] for r in crowded.groupBy("node").count().collect()}
+    assert len(of_node) > near_dup.SMALL and all(near_dup.SKETCHES < n <= 2 * near_dup.SKETCHES for n in of_node.values())
+
+
 def test_stages_keep_the_columns(spark, docs):
     folder = "/root/testdata/sf0.001"
     frame = docs
