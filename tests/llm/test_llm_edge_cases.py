@@ -267,6 +267,17 @@ def test_a_crowd_is_joined_with_its_sketches_once(spark, monkeypatch):
     assert len(of_node) > near_dup.SMALL and all(near_dup.SKETCHES < n <= 2 * near_dup.SKETCHES for n in of_node.values())
 
 
+def test_the_stage_of_the_pipeline_joins_a_crowd_once(spark, monkeypatch):
+    """In the pipeline too, the crowded buckets that are contracted are read from storage."""
+    seen, plain = [], near_dup.candidates
+    monkeypatch.setattr(near_dup, "candidates", lambda buckets, chained: seen.append(buckets) or plain(buckets, chained))
+    passage = [f"p{k}" for k in range(150)]
+    rows = [(k, " ".join([*passage, *[f"o{k // 2}x{j}" for j in range(60)], *["coda"] * (k % 2)]), "en", "a", 1) for k in range(60)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 60, 2))
+    assert len(seen) == 2 and "Join" not in seen[1]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stages_keep_the_columns(spark, docs):
     folder = "/root/testdata/sf0.001"
     frame = docs
