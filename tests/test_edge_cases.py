@@ -141,3 +141,28 @@ def test_perturbation_labels_and_sizes(plies):
     assert few.where("n <> least(2, known)").count() == 0
     quick = anomaly.perturb(plies, rate=1.0).agg(F.min("think_time"), F.max("think_time")).first()
     assert 0.2 <= quick[0] and quick[1] <= 1.0
+
+
+def test_positions_of_large_order_numbers(spark, tmp_path):
+    from pacelens.sources import standins
+
+    keys = (7, 47_500_000, 53_999_999, 2_000_000_011, 4_000_000_000_000)
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    found = {r["o"]: r["fen_before"] for r in standins.positions(Tables(spark, str(tmp_path))).collect()}
+
+    def mixed(x, seed):
+        return (x % 2**31 * 2654435761 + seed) % 2**32
+
+    for o in keys:
+        white = mixed(o * 17 + 3, 5) // 2**26
+        black = (white + 9 + mixed(o * 29 + 5, 11) // 2**16 % 46) % 64
+        dice = [mixed((o * 64 + i) ** 2 % (2**31 - 1) + (o * 64 + i) * 31, 3) // 2**16 % 100 for i in range(64)]
+        steps = ((60, "."), (67, "P"), (74, "p"), (77, "N"), (80, "n"), (83, "B"), (86, "b"), (89, "R"), (92, "r"), (96, "Q"), (100, "q"))
+        squares = ""
+        for i, d in enumerate(dice):
+            piece = next(c for top, c in steps if d < top)
+            squares += "K" if i == white else "k" if i == black else "." if piece in "Pp" and (i < 8 or i > 55) else piece
+        rows = [squares[at : at + 8] for at in range(0, 64, 8)]
+        for n in range(8, 0, -1):
+            rows = [r.replace("." * n, str(n)) for r in rows]
+        assert found[o].split(" ")[0] == "/".join(rows)
