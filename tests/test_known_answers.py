@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,57 @@ def test_a_game_read_twice_counts_once(spark):
     assert [(r.ply, r.think_time, r.timed_index, r.timed_total) for r in one.orderBy("ply").collect()] == [(0, 2.0, 0, 2), (1, 1.0, 0, 1), (2, 8.0, 1, 2)]
     plan = parse.plies(twice)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def brute_auc(positive, negative):
+    rank = lambda x: np.inf if np.isnan(x) else x
+    pairs = [(rank(a) > rank(b)) + 0.5 * (rank(a) == rank(b)) for a in positive for b in negative]
+    return sum(pairs) / len(pairs) if pairs else None
+
+
+def test_rank_sums_cross_batches_ranges_and_missing_keys(spark):
+    rng = np.random.default_rng(3)
+    values = [*map(float, range(7)), 0.5, float("nan"), None]
+    rows = [(k, int(c), values[v]) for k in ("a", None, "b") for c, v in zip(rng.integers(-1, 3, 400), rng.integers(0, len(values), 400))]
+    rows += [("only clean", -1, 1.0), ("only altered", 2, 1.0)]
+    frame = spark.createDataFrame(rows, "key string, _class int, _score double").repartition(5)
+    saved = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {r["key"]: r for r in stats.rank_sums(frame, ["key"], 3).collect()}
+        aucs = stats.auc(frame.where("_class < 1").withColumn("y", F.col("_class") == 0), ["key"], "y", "_score").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", saved)
+    assert set(found) == {"a", None, "b", "only clean", "only altered"}
+    for key, r in found.items():
+        of = lambda c: [v for k, own, v in rows if k == key and own == c and v is not None]  # noqa: B023, E731
+        assert r["_negatives"] == len(of(-1))
+        assert list(r["_positives"]) == [len(of(c)) for c in range(3)]
+        for c in range(3):
+            assert r["_wins"][c] == pytest.approx((brute_auc(of(c), of(-1)) or 0) * len(of(c)) * len(of(-1)))
+        if key != "only altered":
+            assert [a["auc"] for a in aucs if a["key"] == key] == [pytest.approx(brute_auc(of(0), of(-1)))] if of(0) else [None]
+
+
+def test_scenarios_are_scored_from_one_row_a_ply(spark):
+    from pacelens.operators import anomaly
+
+    rng = np.random.default_rng(5)
+    maybe = lambda x, share: None if rng.random() < share else float(x)
+    rows = [
+        (g % 3 if g else None, g, p, float(rng.integers(1, 20)), 2.0, maybe(rng.integers(0, 4) / 4, 0.2), maybe(rng.integers(0, 5) / 4, 0.3), maybe(rng.integers(0, 50), 0.3), None)
+        for g in range(14) for p in range(1 + g % 6)
+    ]
+    rows += [(1, 99, 0, float("nan"), 2.0, None, float("nan"), 1.0, None), (1, 99, 1, 2.0, 2.0, 0.5, None, 2.0, None)]
+    plies = spark.createDataFrame(rows, "player int, game_id int, ply int, think_time double, pred_log_think_time double, maia_prob_best_move double, maia_surprise double, gap_1_2 double, maia_prob_played double")
+    plies = plies.withColumn("played_best_move", F.lit(False))
+    scenarios = anomaly.scenario_list(ks=(1, 2))
+    for reducer, names in (("mean", anomaly.MEAN_SCORES), ("max", anomaly.MAX_SCORES)):
+        keys = (*anomaly.GAME, *anomaly.SCENARIO)
+        one = anomaly.score_scenarios(plies, scenarios, reducer)
+        assert "Generate" not in one._jdf.queryExecution().executedPlan().toString().split("Window")[1]
+        rounded = lambda df: sorted(repr(tuple(r)) for r in df.select(*keys, *[F.round(c, 9) for c in names]).collect())  # noqa: B023, E731
+        long = anomaly.score(anomaly.perturb_scenarios(plies, scenarios), reducer, keys)
+        assert rounded(one) == rounded(long)
+        told = lambda df: sorted(repr(tuple(r)) for r in df.select("player", *anomaly.SCENARIO, "score", F.round("auc", 9)).collect())
+        assert told(anomaly.separation(one, scenarios, names)) == told(anomaly.scenario_auc(anomaly.against_clean(long, scenarios), names))
