@@ -1,4 +1,4 @@
-"""Exact top-k search: BM25 over sharded inverted indexes with block-max WAND pruning.
+"""Exact top-k search: BM25 over sharded inverted indexes, pruned by scores of bounded error.
 
 Consecutive documents form shards of bounded size.  A shard's index is one stored
 row: sorted term hashes, postings (document, term frequency) in document order, and
@@ -9,12 +9,14 @@ with these global statistics each shard then finds its own top k, and the shards
 lists are merged.  A document's score is computed in one shard from global
 statistics, so the merged list is the exact list over all documents.
 
-Inside a shard the postings of each term are cut where the document number enters a
-new block of ``BLOCK`` documents, and each piece keeps its largest score
-contribution.  For a query the block maxima are summed per block; blocks are entered
-in order of these bounds while a bound can still reach the current k-th score, and
-only there postings are scored.  The k-th score is carried from shard to shard of a
-task, which hands on k rows a query whatever the number of its shards.
+Inside a shard a query's score of every document is summed up twice.  First roughly:
+the lists of frequent terms are rows of a single-precision matrix, multiplied for a
+batch of queries at once, the other lists are added posting by posting.  The error of
+that sum has a bound, so only documents that may still reach the current k-th score are
+scored exactly, in the blocks of ``BLOCK`` documents that hold one; a query whose lists'
+largest contributions together stay below that score does not read the shard's lists.
+The k-th score is carried from shard to shard of a task, which hands on k rows a query
+whatever the number of its shards.
 
 Tokens are runs of ASCII letters and digits and of all non-ASCII characters, A-Z in
 lower case.  score(q, d) = sum over distinct terms of q, times their number in q, of
@@ -43,6 +45,8 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 FREQUENT = 0.04  #: share of a shard's documents from which a term's list is kept dense
 BATCH = 256
+BATCH_SCORES = 8_000_000  #: rough scores held at once
+EXACT = 1_000_000  #: contributions of an exact sum held at once
 SHARD_CHARS = 48_000_000
 QUERY_TERMS = 2_000_000
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -129,17 +133,17 @@ class Queries:
 
 
 class Searcher:
-    """One opened shard with its block maxima.
+    """One opened shard.
 
-    The lists of terms that many of the shard's documents hold are rows of a dense
-    matrix; a query's frequent terms are then one list, made by a matrix product for
-    a batch of queries, and its block maxima enter the bounds like any other list's."""
+    The lists of terms that many of the shard's documents hold are rows of dense
+    matrices: rough contributions in single precision, and the terms' numbers for
+    exact ones.  A batch of queries multiplies the rows of its own terms only."""
 
     def __init__(self, shard: dict, queries: Queries, k: int):
         s, self.queries, self.k = opened(shard), queries, k
-        self.null = np.array([i is None for i in s["ids"]])
+        self.null = np.array([i is None for i in s["ids"]], dtype=bool)
         self.ids = np.array([0 if i is None else i for i in s["ids"]], dtype=np.int64)
-        n = len(self.ids)
+        n = self.n = len(self.ids)
         at = np.minimum(np.searchsorted(s["terms"], queries.terms), max(len(s["terms"]) - 1, 0))
         here = s["terms"][at] == queries.terms if len(s["terms"]) else np.zeros(len(queries.terms), dtype=bool)
         used = at[here]
@@ -149,73 +153,74 @@ class Searcher:
         self.dense_of, self.local = np.full(len(queries.terms), -1), np.full(len(queries.terms), -1)
         self.dense_of[np.flatnonzero(here)[often]] = np.arange(often.sum())
         self.local[np.flatnonzero(here)[~often]] = np.arange((~often).sum())
-        norm = K1 * (1 - B + B * s["lengths"] / queries.mean)
+        self.norm = K1 * (1 - B + B * s["lengths"] / queries.mean)
         idf = queries.idf[here]
 
         def lists(which):
             place, term = spread(starts[which], ends[which])
-            docs, tf = s["docs"][place], s["tfs"][place].astype(np.float64)
-            return docs, term, idf[which][term] * tf * (K1 + 1) / (tf + norm[docs])
-
-        docs, term, impact = lists(often)
-        self.dense = np.zeros((int(often.sum()), n))
-        self.dense[term, docs] = impact
-        self.docs, term, self.impact = lists(~often)
-        block = self.docs // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, dtype=np.int64)
-        self.piece_start, self.piece_end = first, np.append(first[1:], len(term))
-        self.piece_block = block[first]
-        self.piece_most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.term_pieces = np.searchsorted(term[first], np.arange((~often).sum() + 1))
-        self.edges = np.arange(0, n, BLOCK)
-        self.blocks, self.batch = len(self.edges), (-1, None)
+            docs, tf = s["docs"][place], s["tfs"][place]
+            return docs, term, tf, idf[which][term] * tf * (K1 + 1) / (tf + self.norm[docs])
+
+        docs, term, tf, impact = lists(often)
+        self.rough, self.tfs, self.idf = np.zeros((int(often.sum()), n), dtype=np.float32), np.zeros((int(often.sum()), n), dtype=np.int32), idf[often]
+        self.rough[term, docs], self.tfs[term, docs] = impact, tf
+        self.docs, term, _, self.impact = lists(~often)
+        self.list_start = np.searchsorted(term, np.arange((~often).sum() + 1))
+        first = self.list_start[:-1]
+        # the largest contribution of each of the block's terms in this shard
+        self.most = np.zeros(len(queries.terms))
+        self.most[self.local >= 0] = np.maximum.reduceat(self.impact, first) if len(first) else 0.0
+        self.most[self.dense_of >= 0] = self.rough.max(axis=1) if len(self.rough) else 0.0
+        self.blocks, self.rows = -(-n // BLOCK), max(1, min(BATCH, BATCH_SCORES // max(n, 1)))
+        self.batch = (-1, None)
         self.entered = self.scored = 0
 
     def _frequent(self, number: int) -> np.ndarray:
-        """The scores of all documents from a query's frequent terms."""
-        q, which = self.queries, number // BATCH
+        """Rough scores of all documents from a query's frequent terms."""
+        q, which = self.queries, number // self.rows
         if self.batch[0] != which:
-            lo, last = which * BATCH, min((which + 1) * BATCH, len(q.ids))
+            lo, last = which * self.rows, min((which + 1) * self.rows, len(q.ids))
             ends = np.concatenate([[0], q.ends])
             part = slice(ends[lo], ends[last])
             row, column = np.repeat(np.arange(last - lo), np.diff(ends[lo : last + 1])), self.dense_of[q.which[part]]
-            weights = np.zeros((last - lo, len(self.dense)))
-            weights[row[column >= 0], column[column >= 0]] = q.times[part][column >= 0]
-            self.batch = which, weights @ self.dense
-        return self.batch[1][number % BATCH]
+            there = column >= 0
+            asked, place = np.unique(column[there], return_inverse=True)
+            weights = np.zeros((last - lo, len(asked)), dtype=np.float32)
+            weights[row[there], place] = q.times[part][there]
+            self.batch = which, weights @ (self.rough if len(asked) == len(self.rough) else self.rough[asked])
+        return self.batch[1][number % self.rows]
+
+    def _exact(self, docs: np.ndarray, dense: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Scores of some documents from a query's frequent terms."""
+        out, step = np.zeros(len(docs)), max(1, EXACT // max(len(dense), 1))
+        for at in range(0, len(docs), step):
+            some = docs[at : at + step]
+            tf = self.tfs[np.ix_(dense, some)]
+            out[at : at + step] = (self.idf[dense, None] * tf * (K1 + 1) / (tf + self.norm[some]) * times[:, None]).sum(axis=0)
+        return out
 
     def top(self, number: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(documents, rounded scores) of a query's best k in this shard that reach ``least``."""
         q = self.queries
         lo, hi = (q.ends[number - 1] if number else 0), q.ends[number]
-        term, times = self.local[q.which[lo:hi]], q.times[lo:hi]
-        term, times = term[term >= 0], times[term >= 0]
-        pieces, owner = spread(self.term_pieces[term], self.term_pieces[term + 1])
-        weights, block = times[owner], self.piece_block[pieces]
-        scores = self._frequent(number)
-        bound = np.bincount(block, weights=self.piece_most[pieces] * weights, minlength=self.blocks) + np.maximum.reduceat(scores, self.edges)
-        order = np.argsort(-bound, kind="stable")
-        seen, done, step = np.zeros(0, dtype=np.int64), 0, max(1, self.k // BLOCK + 1)
-        found, values = seen, np.zeros(0)
-        while done < self.blocks:
-            chosen = order[done : done + step]
-            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-6)]
-            if not len(chosen):
-                break
-            mask = np.zeros(self.blocks, dtype=bool)
-            mask[chosen] = True
-            inside = mask[block]
-            place, owner = spread(self.piece_start[pieces[inside]], self.piece_end[pieces[inside]])
-            rest = np.bincount(self.docs[place], weights=self.impact[place] * weights[inside][owner], minlength=len(scores))
-            docs = np.flatnonzero(np.repeat(mask, BLOCK)[: len(scores)])
-            found, values = np.append(found, docs), np.append(values, scores[docs] + rest[docs])
-            self.entered, self.scored = self.entered + len(chosen), self.scored + len(place)
-            if len(values) > self.k:
-                best = np.partition(values, len(values) - self.k)[len(values) - self.k]
-                keep = values >= max(best, least) - 1e-6
-                found, values, least = found[keep], values[keep], max(least, best)
-            done, step = done + step, step * 4
-        values = np.round(values, 6)
+        asked, times = q.which[lo:hi], q.times[lo:hi]
+        # single precision: a half unit for each contribution, weight, product and sum, twice over
+        error = (len(self.rough) + 8) * 1.2e-7
+        reach = lambda score: score * (1 - 2 * error) - 1e-6
+        bound = (self.most[asked] * times).sum()
+        if not bound or bound * (1 + error) < reach(least):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        term, often = self.local[asked], self.dense_of[asked]
+        rare = term >= 0
+        place, owner = spread(self.list_start[term[rare]], self.list_start[term[rare] + 1])
+        rest = np.bincount(self.docs[place], weights=self.impact[place] * times[rare][owner], minlength=self.n)
+        rough = rest + self._frequent(number)
+        found = np.flatnonzero(rough >= max(reach(least), 1e-300))
+        if len(found) > self.k:
+            best = np.partition(rough[found], len(found) - self.k)[len(found) - self.k]
+            found = found[rough[found] >= max(reach(reach(best)), 1e-300)]
+        self.entered, self.scored = self.entered + len(np.unique(found // BLOCK)), self.scored + len(found)
+        values = np.round(self._exact(found, often[often >= 0], times[often >= 0]) + rest[found], 6)
         found, values = found[values > 0], values[values > 0]
         order = np.lexsort((self.ids[found], self.null[found], -values))[: self.k]
         return found[order], values[order]

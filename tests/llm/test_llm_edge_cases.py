@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -305,3 +306,33 @@ def test_equal_query_rows_have_a_list_each(spark):
     assert len(rows) == 8 and rows[::2] == rows[1::2]
     assert len({r[2] for r in rows}) == 4
     assert found.where("query_id = 9").count() == 0
+
+
+def test_search_by_whole_documents_scores_few_exactly(spark):
+    """Long queries: rough sums leave few documents to be scored exactly, and the lists stay exact, ties included."""
+    rng = np.random.default_rng(7)
+    weight = 1 / np.arange(1, 1501)
+    texts = [" ".join(f"w{i}" for i in rng.choice(1500, size=rng.integers(60, 160), p=weight / weight.sum())) for _ in range(1300)]
+    texts[40:60] = [texts[7]] * 20  # copies tie
+    words = [Counter(t.encode().split()) for t in texts]
+    df = Counter(w for found in words for w in found)
+    lengths = np.array([sum(found.values()) for found in words])
+    shard = bm25.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "text", "doc_id").collect()[0].asDict()
+    asked = [7, 300, 900, 1299]
+    queries = bm25.Queries(asked, [texts[i] for i in asked])
+    name = {bm25.xxhash.xxh3_64_intdigest(w): w for w in df}
+    queries.idf = np.array([np.log(1 + (len(texts) - df[name[int(h)]] + 0.5) / (df[name[int(h)]] + 0.5)) for h in queries.terms])
+    queries.mean = lengths.mean()
+    searcher = bm25.Searcher(shard, queries, 10)
+    idf = {name[int(h)]: x for h, x in zip(queries.terms, queries.idf)}
+    for number, i in enumerate(asked):
+        norm = bm25.K1 * (1 - bm25.B + bm25.B * lengths / queries.mean)
+        scores = [sum(n * idf[w] * found[w] * (bm25.K1 + 1) / (found[w] + x) for w, n in words[i].items() if w in found) for found, x in zip(words, norm)]
+        best = sorted((-round(s, 6), d) for d, s in enumerate(scores) if s > 0)[:10]
+        docs, got = searcher.top(number)
+        assert [int(d) for d in searcher.ids[docs]] == [d for _, d in best]
+        assert got == pytest.approx([-s for s, _ in best])
+        docs, got = searcher.top(number, -best[4][0])
+        assert [int(d) for d in searcher.ids[docs]][:5] == [d for _, d in best][:5]
+        assert len(searcher.top(number, 1e9)[0]) == 0
+    assert searcher.entered < searcher.blocks * len(asked)
