@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,30 @@ def test_cross_fitting_equals_fits_without_the_fold(spark, per_slice, standardis
         w[0] = coef[0] + (np.array(coef[1:]) * mean).sum()
         p = 1 / (1 + np.exp(-z @ w))
         assert z.T @ (y - p) - np.r_[0.0, w[1:]] == pytest.approx(np.zeros(3), abs=1e-4) and moved < logistic.SETTLED
+
+
+def test_rows_are_placed_by_columns_and_worked_on_in_large_batches():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 33, size=(500, 6)).astype(np.uint8)
+    for depth in (1, 3, 9):
+        model = trees.Ensemble.empty(1, 3, 1, depth, 0.3, 1)
+        model.feature = rng.integers(-1, 6, size=(1, 2, 2**depth - 1)).astype(np.int16)
+        model.split = rng.integers(0, 33, size=model.feature.shape).astype(np.uint8)
+        model.leaf = rng.normal(size=(1, 2, 2**depth, 3)).astype(np.float32)
+        for tree in range(2):
+            plain = []
+            for row in x:
+                node = 0
+                for _ in range(depth):
+                    f = model.feature[0, tree, node]
+                    node = 2 * node + 1 + int(f >= 0 and row[f] > model.split[0, tree, node])
+                plain.append(node - (2**depth - 1))
+            assert model.laid(0, tree, np.ascontiguousarray(x.T)).tolist() == plain
+            assert model.place(0, tree, x).tolist() == plain
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array([r.tobytes() for r in x], kind)
+        batches = [pa.RecordBatch.from_arrays([column.slice(at, 7)], names=["_x"]) for at in range(0, len(x), 7)]
+        assert (trees.binned_rows(column.slice(3, 11), 6) == x[3:14]).all()
+        joined = list(trees.gathered(iter(batches), 6))
+        assert len(joined) == 1 and (trees.binned_rows(joined[0].column(0), 6) == x).all()
+    assert [b.num_rows for b in trees.gathered(iter(batches), trees.WORKED_BYTES // 100)] == [105, 105, 105, 105, 80]
