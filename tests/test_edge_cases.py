@@ -166,3 +166,14 @@ def test_positions_of_large_order_numbers(spark, tmp_path):
         for n in range(8, 0, -1):
             rows = [r.replace("." * n, str(n)) for r in rows]
         assert found[o].split(" ")[0] == "/".join(rows)
+
+
+def test_panels_read_their_columns_from_a_stored_table(spark):
+    from pacelens.plans import build
+    from pacelens.plans.catalog import players
+
+    tables = Tables(spark, FOLDER)
+    panels = build.profile_panels(players.pool(tables), players.insight_rows(tables))
+    for name in ("summary", "buckets", "premove", "phase_time", "difficulty_curve[]", "clutch", "maia", "skewer", "ratings"):
+        read = panels[name].inputFiles()
+        assert read and not [f for f in read if "lineitem" in f or "orders" in f], name
