@@ -177,3 +177,19 @@ def test_panels_read_their_columns_from_a_stored_table(spark):
     for name in ("summary", "buckets", "premove", "phase_time", "difficulty_curve[]", "clutch", "maia", "skewer", "ratings"):
         read = panels[name].inputFiles()
         assert read and not [f for f in read if "lineitem" in f or "orders" in f], name
+
+
+def test_full_build_reads_stored_plies(spark, monkeypatch):
+    from pacelens.plans import build
+
+    class Seen(Exception):
+        pass
+
+    def seen(features, *_, **__):
+        raise Seen(features.inputFiles())
+
+    monkeypatch.setattr(build.models, "baseline", seen)
+    plies = spark.createDataFrame([(1, 2, "c")], "player long, game_id long, x string")
+    with pytest.raises(Seen) as found:
+        build.full_build(plies, plies, ["c"], [])
+    assert found.value.args[0]  # a stored table, not the plan that made the plies
